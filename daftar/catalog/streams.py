@@ -1 +1,73 @@
+"""Streaming operators (A-4, J), run over all present input."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from daftar.catalog.base import query
+from daftar.session import scratch_path
+from daftar.streaming import flows
+
+
+def _events(spark, sf):
+    return flows.table_stream(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("ingest_stream", "SELECT doc_id, source, n_chars FROM documents")
+def ingest_stream(spark, sf):
+    docs = flows.table_stream(spark, sf, "documents.parquet").select("doc_id", "source", "n_chars")
+    return flows.run_to_table(docs, "ingested")
+
+
+@query("stream_dedup", "SELECT DISTINCT md5(text) AS content_hash FROM documents")
+def stream_dedup(spark, sf):
+    docs = flows.table_stream(spark, sf, "documents.parquet").select(F.md5("text").alias("content_hash"))
+    return flows.run_to_table(flows.stream_dedup(docs, ["content_hash"]), "dedup")
+
+
+_CLAIMS = """(SELECT user_id AS chunk_id, ts, event_type = 'view' AS claim, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt, (SELECT max(ts) FROM events) AS newest FROM events)"""
+
+
+def _claim_log(df):
+    return df.select(F.col("user_id").alias("chunk_id"), F.when(F.col("event_type") == "view", "processing").otherwise("done").alias("status"), "ts")
+
+
+_EXPIRED = f"""SELECT chunk_id, ts AS claimed_at, 'pending' AS status FROM {_CLAIMS}
+WHERE claim AND CASE WHEN nxt IS NULL THEN newest - ts >= INTERVAL 10 MINUTE ELSE nxt - ts > INTERVAL 10 MINUTE END"""
+
+
+@query("stream_claim_timeout", _EXPIRED)
+def stream_claim_timeout(spark, sf):
+    return flows.run_to_table(flows.stream_claim_timeout(_claim_log(_events(spark, sf))), "claims")
+
+
+@query("expired_claims", _EXPIRED)
+def expired_claims(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return flows.expired_claims(_claim_log(events))
+
+
+@query("stream_status_counts", "SELECT event_type AS status, count(*) AS total FROM events GROUP BY 1")
+def stream_status_counts(spark, sf):
+    counts = flows.stream_status_counts(_events(spark, sf).withColumnRenamed("event_type", "status"))
+    return flows.latest_updates(flows.run_to_table(counts, "counts", "complete"), "status")
+
+
+@query("stream_upsert", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def stream_upsert(spark, sf):
+    log = _events(spark, sf).select("user_id", "event_id", "event_type", "ts")
+    path = scratch_path(spark, "upsert")
+    flows.stream_upsert(log, path, path + "-checkpoint", ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).awaitTermination()
+    return flows.latest_generation(spark, path, ["user_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("stream_job_state", "SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS ts FROM events GROUP BY 1")
+def stream_job_state(spark, sf):
+    jobs = _events(spark, sf).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts")
+    return flows.latest_updates(flows.run_to_table(flows.stream_job_state(jobs), "jobs", "update"), "job_id")
+
+
+@query("recent_activity", "SELECT time_bucket(INTERVAL 2 MINUTE, ts) AS window_start, count(*) FILTER (WHERE event_type = 'view') AS pending FROM events GROUP BY 1")
+def recent_activity(spark, sf):
+    rows = _events(spark, sf).select("ts", F.when(F.col("event_type") == "view", "pending").otherwise(F.col("event_type")).alias("status"))
+    return flows.latest_updates(flows.run_to_table(flows.recent_activity(rows), "activity", "update"), "window_start")
