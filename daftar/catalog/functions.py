@@ -128,8 +128,8 @@ _TOPIC = f"(SELECT file_id, n, g, {_TOPIC_SQL} AS topic_title FROM (SELECT *, {_
 
 @query("cleanup_topic", f"SELECT file_id, topic_title FROM {_TOPIC}")
 def cleanup_topic(spark, sf):
-    n = F.col("n")
-    return _named(spark, sf).select("file_id", names.cleanup_topic(n, names.detect_grade_slug(n)).alias("topic_title"))
+    rows = _named(spark, sf).withColumn("g", names.detect_grade_slug(F.col("n")))
+    return rows.select("file_id", names.cleanup_topic(F.col("n"), F.col("g")).alias("topic_title"))
 
 
 @query("metadata_confidence", f"""

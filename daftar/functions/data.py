@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from daftar.functions.names import prompt_language
-from daftar.functions.text import js_trim
+from daftar.functions.text import js_trim, let
 
 
 def _doubles(c: Column) -> Column:
@@ -56,9 +56,8 @@ def json_object_extract(c: Column, schema: str) -> Column:
 def merge_metadata(left: Column, right: Column) -> Column:
     """Shallow merge of two maps; the right one wins, null counts as empty."""
     empty = F.create_map().cast("map<string,string>")
-    a, b = F.coalesce(left, empty), F.coalesce(right, empty)
-    keys = F.map_keys(b)
-    return F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(keys, k)), b)
+    both = F.struct(F.coalesce(left, empty).alias("a"), F.coalesce(right, empty).alias("b"))
+    return let(both, lambda v: F.map_concat(F.map_filter(v["a"], lambda k, _: ~F.map_contains_key(v["b"], k)), v["b"]))
 
 
 def metadata_null(c: Column, key: str, json: bool = False) -> Column:

@@ -32,6 +32,11 @@ TITLE_MIN, TITLE_MAX = 8, 120
 SEGMENT_TITLE_BELOW = 80
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once, however often the body mentions it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def js_trim(c: Column) -> Column:
     return F.trim(c, F.lit(JS_SPACES))
 
@@ -88,12 +93,17 @@ def generated_content(original: Column, repaired: Column) -> Column:
         parts = F.split(F.lower(normalize_content(c)), WS + "+")
         return F.filter(parts, lambda t: F.length(t) > 2)
 
-    seen = words(original)
-    tokens = words(repaired)
-    unseen = F.size(F.filter(tokens, lambda t: ~F.array_contains(seen, t)))
-    drift = F.when(F.size(tokens) > 0, unseen / F.size(tokens)).otherwise(F.lit(0.0))
+    # Both word lists become fields of one value, so that each is made once and
+    # not again for every word compared.
+    both = F.struct(words(original).alias("seen"), words(repaired).alias("tokens"))
+
+    def drift(v):
+        n = F.size(v["tokens"])
+        unseen = F.size(F.filter(v["tokens"], lambda t: ~F.array_contains(v["seen"], t)))
+        return F.when(n > 0, unseen / n).otherwise(F.lit(0.0))
+
     grew = F.length(repaired) > F.length(original) * 1.2
-    return (drift > 0.35) & grew
+    return grew & (let(both, drift) > 0.35)
 
 
 # Leading words that mark a segment.

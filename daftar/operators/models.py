@@ -102,13 +102,14 @@ def embed_chunks(eligible: DataFrame, factory: Callable[[], ModelFn], dim: int,
 
 def classify_by_filename(docs: DataFrame) -> DataFrame:
     """Deterministic classification of ``docs(document_id, filename)`` from the file name."""
-    name = names.normalise_filename(F.col("filename"))
-    slug = names.detect_grade_slug(name)
-    return docs.select(
+    named = docs.withColumn("_name", names.normalise_filename(F.col("filename")))
+    named = named.withColumn("_slug", names.detect_grade_slug(F.col("_name")))
+    name = F.col("_name")
+    return named.select(
         *docs.columns,
-        names.detect_grade_label(name).alias("grade_name"),
+        names.grade_label_of(F.col("_slug")).alias("grade_name"),
         F.lit(None).cast("string").alias("subject_name"),
-        names.cleanup_topic(name, slug).alias("title"),
+        names.cleanup_topic(name, F.col("_slug")).alias("title"),
         names.detect_language(name).alias("language"),
         F.array().cast("array<string>").alias("quality_notes"),
     )
