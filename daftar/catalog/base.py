@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.functions.text import JS_SPACES
+from daftar.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +37,8 @@ def query(name: str, sql: str | None = None, as_text: tuple[str, ...] = ()):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
 
 
 # --- SQL spellings of the text helpers ----------------------------------------
@@ -85,6 +87,14 @@ def pages(spark, sf) -> DataFrame:
     return page_scan(docs(spark, sf), separator="\n")
 
 
+def stored_pages(spark, sf) -> DataFrame:
+    """The pages with low-text marks, as a written table."""
+    from daftar.session import durable
+    from daftar.sources.pages import ocr_mark
+
+    return ocr_mark(durable(pages(spark, sf), "pages"))
+
+
 PAGES = f"""(
   SELECT document_id, page_number, text, CAST(length(text) AS INTEGER) AS extracted_text_length,
          length(text) < 40 AS low_text, false AS ocr_detected

@@ -12,6 +12,7 @@ from daftar.functions import names
 from daftar.functions.text import detect_title
 from daftar.operators import aliases, chunking, dedup, edit, filters, models, quality, retrieval
 from daftar.plans import cleanup, ingest, review
+from daftar.session import durable
 
 
 # --- chunking -----------------------------------------------------------------
@@ -84,9 +85,7 @@ _TITLED = f"""(SELECT x.*, {TITLE.format('line', 'fallback')} AS title, {SEGMENT
 
 @query("chunk_pages", f"SELECT document_id, chunk_index, content, page_start, page_end, ocr_detected, title, language, segment_type, content_hash FROM {_TITLED}")
 def chunk_pages(spark, sf):
-    from daftar.sources.pages import ocr_mark
-
-    out = chunking.chunk_pages(ocr_mark(base.pages(spark, sf)), _classes(spark, sf))
+    out = chunking.chunk_pages(base.stored_pages(spark, sf), _classes(spark, sf))
     return out.drop("original_content", "document_title")
 
 
@@ -171,9 +170,8 @@ SELECT document_id, count(*) AS chunks, count(*) FILTER (WHERE repair_status = '
 def quality_scan_rollup(spark, sf):
     """The review path from pages to scored chunks, counted per document."""
     from daftar.operators import health
-    from daftar.sources.pages import ocr_mark
 
-    scored = review.scored_chunks(ocr_mark(base.pages(spark, sf)), _classes(spark, sf))
+    scored = review.scored_chunks(base.stored_pages(spark, sf), _classes(spark, sf))
     return health.quality_scan_rollup(scored, "document_id")
 
 
@@ -277,9 +275,10 @@ def retrieval_test(spark, sf):
     """Chunks of each source asked with their own opening, after embedding both."""
     c = base.chunks(spark, sf).select("chunk_id", "document_id", "content")
     embedder = models.hashing_embedder(64)
-    corpus = models.embed_text(c, embedder, F.col("content"), 64)
+    corpus = durable(models.embed_text(c, embedder, F.col("content"), 64).drop("content"), "vectors")
     ask = retrieval.query_text(F.lit(None).cast("string"), F.col("content"))
-    asked = models.embed_text(c, embedder, ask, 64).withColumnRenamed("chunk_id", "query_id")
+    asked = models.embed_text(c, embedder, ask, 64).drop("content").withColumnRenamed("chunk_id", "query_id")
+    asked = durable(asked, "queries")
     return retrieval.retrieval_test(asked, corpus, 5, scope="document_id").select("query_id", "passed", "rank", "top_score")
 
 

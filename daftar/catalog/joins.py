@@ -293,7 +293,7 @@ def ann_pairs(spark, sf):
 @query("chunk_detail", """
 SELECT c_custkey AS chunk_id, kind, place, payload FROM customer LEFT JOIN (
   SELECT o_custkey AS k, 'version' AS kind, o_orderkey AS place, o_orderpriority AS payload FROM orders
-  UNION ALL SELECT user_id, 'embedding', epoch_us(ts), event_type FROM events) ON c_custkey = k""")
+  UNION ALL SELECT user_id, 'embedding', epoch_us(ts), event_type FROM events) ON c_custkey = k""", as_text=("place",))
 def chunk_detail(spark, sf):
     chunks = table(spark, sf, "customer").select(F.col("c_custkey").alias("chunk_id"))
     versions = table(spark, sf, "orders").select(F.col("o_custkey").alias("chunk_id"), F.col("o_orderkey").alias("version_index"), F.col("o_orderpriority").alias("content"))

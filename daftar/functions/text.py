@@ -77,7 +77,7 @@ def broken_spacing(c: Column) -> Column:
 
 
 def letter_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{LETTERS_IN}]+", ""))
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{LETTERS_IN}]+", ""))
 
 
 def alpha_density(c: Column) -> Column:

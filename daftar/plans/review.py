@@ -23,8 +23,12 @@ class Prepared:
 
 
 def scored_chunks(pages: DataFrame, classification: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Drafts with duplicate marks and quality; nothing is materialised."""
-    drafts = chunking.chunk_pages(pages, classification)
+    """Drafts with duplicate marks and quality.
+
+    The drafts are written once: both the hash counts and the marked rows read
+    them, and the page fold does not run twice.
+    """
+    drafts = durable(chunking.chunk_pages(pages, classification), "drafts")
     drafts = dedup.mark_duplicates_in_document(drafts, existing)
     known = classification.select(
         "document_id",
@@ -54,11 +58,11 @@ def prepare_corpus(
 ) -> Prepared:
     """docs(document_id, filename, text) to chunks ready for retrieval.
 
-    Scored chunks are written once before the first model call and the answers
+    Pages, drafts and scored chunks are written once each, and the answers
     of each model stage are written before they are used, so a retried task
     never asks a model twice for different results.
     """
-    pages = page_source.page_scan(docs, separator=separator)
+    pages = durable(page_source.page_scan(docs, separator=separator), "pages")
     mode = page_source.extraction_mode(pages)
     pages = page_source.ocr_mark(pages)
     preview = page_source.preview_text(pages)
