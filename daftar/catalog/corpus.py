@@ -267,7 +267,7 @@ def embed_chunks(spark, sf):
 SELECT document_id, count(*) AS done FROM {CHUNKS} WHERE is_active AND repair_status IN ('clean', 'embedded', 'auto_repaired') AND content_hash IS NOT NULL GROUP BY 1""")
 def embed_status(spark, sf):
     done = _embedded(spark, sf).filter((F.col("embedding_status") == "done") & (F.size("embedding") == 64))
-    return done.groupBy("document_id").agg(F.count(F.lit(1)).alias("done"))
+    return done.groupBy("document_id").agg(F.count("*").alias("done"))
 
 
 @query("retrieval_test")

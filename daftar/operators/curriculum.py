@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from daftar.operators.resolve import missing_children
 from daftar.operators.skew import keep_first
 
-N = F.lit(1)
+
 
 
 def coverage_score(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Parents, covered parents, and the covered share in percent."""
     hit = children.select(key).distinct().withColumn("_c", F.lit(1))
     out = parents.select(key).distinct().join(hit, key, "left").agg(
-        F.count(N).alias("parents"), F.count("_c").alias("covered")
+        F.count("*").alias("parents"), F.count("_c").alias("covered")
     )
     share = F.when(F.col("parents") > 0, F.round(100 * F.col("covered") / F.col("parents"), 0)).otherwise(F.lit(0.0))
     return out.withColumn("score", F.least(share, F.lit(100.0)).cast("int"))
@@ -24,9 +24,9 @@ def coverage_score(parents: DataFrame, children: DataFrame, key: str) -> DataFra
 def topic_score(grades: DataFrame, subjects: DataFrame, topics: DataFrame) -> DataFrame:
     """Topics present against a rough expectation from grades times subjects."""
     def count(df: DataFrame) -> Column:
-        return df.agg(F.count(N)).scalar()
+        return df.agg(F.count("*")).scalar()
 
-    out = grades.agg(F.count(N).alias("grades")).withColumn("subjects", count(subjects)).withColumn("topics", count(topics))
+    out = grades.agg(F.count("*").alias("grades")).withColumn("subjects", count(subjects)).withColumn("topics", count(topics))
     possible = F.least(F.col("grades") * F.col("subjects") * 0.4, (F.col("topics") + 15).cast("double"))
     score = F.when((F.col("grades") > 0) & (F.col("subjects") > 0), F.least(F.round(100 * F.col("topics") / possible, 0), F.lit(100.0)))
     return out.select("topics", F.coalesce(score, F.lit(0.0)).cast("int").alias("score"))
@@ -35,7 +35,7 @@ def topic_score(grades: DataFrame, subjects: DataFrame, topics: DataFrame) -> Da
 def generic_score(table: DataFrame) -> DataFrame:
     n = F.col("rows")
     expected = F.when(n == 0, 10).otherwise(2 * n + 5)
-    return table.agg(F.count(N).alias("rows")).withColumn("score", F.round(100 * n / expected, 0).cast("int"))
+    return table.agg(F.count("*").alias("rows")).withColumn("score", F.round(100 * n / expected, 0).cast("int"))
 
 
 def gap_report(grades: DataFrame, subjects: DataFrame, topics: DataFrame, exercises: DataFrame, tracks: DataFrame, exams: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
@@ -72,7 +72,7 @@ def subject_difference(mapped: DataFrame, topics: DataFrame) -> DataFrame:
 
 def _missing_names(missing: DataFrame, n: int, key: str, label: str) -> DataFrame:
     """Count and the first ``n`` labels per grade; the list is bounded by ``n``."""
-    total = missing.groupBy("grade_id").agg(F.count(N).alias("n_missing"))
+    total = missing.groupBy("grade_id").agg(F.count("*").alias("n_missing"))
     first = keep_first(missing, ["grade_id"], [F.col(key)], n)
     pair = F.struct(F.col(key), F.col(label).alias("l"))
     names = first.groupBy("grade_id").agg(
@@ -89,15 +89,15 @@ def planner_steps(grades: DataFrame, mapped: DataFrame, subjects: DataFrame, top
     """
     named = subjects.select("subject_id", F.col("name").alias("subject_name"))
     known = topics.join(named, "subject_id")
-    links = mapped.groupBy("grade_id").agg(F.count(N).alias("n_subjects"))
-    counts = known.groupBy("grade_id").agg(F.count(N).alias("n_topics"), F.countDistinct("subject_name").alias("n_topic_subjects"))
+    links = mapped.groupBy("grade_id").agg(F.count("*").alias("n_subjects"))
+    counts = known.groupBy("grade_id").agg(F.count("*").alias("n_topics"), F.countDistinct("subject_name").alias("n_topic_subjects"))
 
     gap_subjects = subject_difference(mapped, topics).join(named, "subject_id")
     m2 = _missing_names(gap_subjects, 5, "subject_id", "subject_name").withColumnsRenamed({"n_missing": "m2", "first_missing": "f2"})
 
     def children(rows: DataFrame, n: str, m: str, f: str) -> DataFrame:
         topic_rows = known.select("topic_id", "grade_id")
-        per = rows.groupBy("topic_id").agg(F.count(N).alias("_r")).join(topic_rows, "topic_id")
+        per = rows.groupBy("topic_id").agg(F.count("*").alias("_r")).join(topic_rows, "topic_id")
         total = per.groupBy("grade_id").agg(F.sum("_r").alias(n))
         gap = known.select("grade_id", "topic_id", F.concat_ws(": ", "subject_name", "title").alias("label"))
         gap = _missing_names(missing_children(gap, rows, "topic_id"), 5, "topic_id", "label")
@@ -107,7 +107,7 @@ def planner_steps(grades: DataFrame, mapped: DataFrame, subjects: DataFrame, top
     for part in (links, counts, m2, children(outlines, "n_outlines", "m3", "f3"), children(exercises, "n_exercises", "m4", "f4")):
         df = df.join(part, "grade_id", "left")
     df = df.fillna(0, ["n_subjects", "n_topics", "n_topic_subjects", "m2", "m3", "m4", "n_outlines", "n_exercises"])
-    df = df.withColumn("n_tracks", tracks.agg(F.count(N)).scalar())
+    df = df.withColumn("n_tracks", tracks.agg(F.count("*")).scalar())
 
     has_subjects, has_topics = F.col("n_subjects") > 0, F.col("n_topics") > 0
 
@@ -188,13 +188,13 @@ def curriculum_nodes(curricula: DataFrame, cycles: DataFrame, grades: DataFrame,
     nodes = top
     for part in (second, third, leaf, fourth, fifth, last):
         nodes = nodes.unionByName(part)
-    n = nodes.groupBy(F.col("parent_path").alias("_p")).agg(F.count(N).alias("n_children"))
+    n = nodes.groupBy(F.col("parent_path").alias("_p")).agg(F.count("*").alias("n_children"))
     return nodes.join(n, F.col("path") == F.col("_p"), "left").drop("_p").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
 
 
 def node_tasks(nodes: DataFrame, topics: DataFrame) -> DataFrame:
     """Work left per node, from its number of children (of topics for a subject)."""
-    per = topics.groupBy(F.col("grade_id").cast("string").alias("grade"), F.col("subject_id").cast("string").alias("subject")).agg(F.count(N).alias("n_topics"))
+    per = topics.groupBy(F.col("grade_id").cast("string").alias("grade"), F.col("subject_id").cast("string").alias("subject")).agg(F.count("*").alias("n_topics"))
     df = nodes.join(per, ["grade", "subject"], "left").withColumn("n_topics", F.coalesce("n_topics", F.lit(0)))
     done = F.when(F.col("n_children") > 0, "completed").otherwise("actionable")
     t = F.col("type")

@@ -16,7 +16,7 @@ def mark_duplicates_in_document(chunks: DataFrame, existing: DataFrame | None =
     not meet in one task.
     """
     per_hash = chunks.groupBy("document_id", "content_hash").agg(
-        F.min("chunk_index").alias("_first"), F.count(F.lit(1)).alias("_copies"), F.lit(False).alias("_stored")
+        F.min("chunk_index").alias("_first"), F.count("*").alias("_copies"), F.lit(False).alias("_stored")
     )
     if existing is not None:
         known = existing.select("document_id", "content_hash").distinct().withColumn("_known", F.lit(True))
@@ -37,7 +37,7 @@ def dedup_global(chunks: DataFrame, key: str = "chunk_id", hot_rows: int | None
     """``is_duplicate`` and ``duplicate_of`` over the whole corpus; the lowest id survives."""
     copies = (
         chunks.groupBy("content_hash")
-        .agg(F.min(key).alias("_survivor"), F.count(F.lit(1)).alias("_copies"))
+        .agg(F.min(key).alias("_survivor"), F.count("*").alias("_copies"))
         .filter("_copies > 1")
     )
     out = lookup_per_key(chunks, copies, ["content_hash"], key, "_copies", hot_rows)
@@ -56,8 +56,8 @@ def dedup_against_store(new: DataFrame, store: DataFrame, key: str = "chunk_id")
 
 
 def skipped_count(new: DataFrame, kept: DataFrame) -> DataFrame:
-    a = new.agg(F.count(F.lit(1)).alias("total"))
-    return a.withColumn("kept", kept.agg(F.count(F.lit(1))).scalar()).withColumn("skipped", F.col("total") - F.col("kept"))
+    a = new.agg(F.count("*").alias("total"))
+    return a.withColumn("kept", kept.agg(F.count("*")).scalar()).withColumn("skipped", F.col("total") - F.col("kept"))
 
 
 def hash_union(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ from daftar.functions.data import metadata_null
 from daftar.operators.filters import awaiting_embedding
 from daftar.operators.skew import keep_first
 
-N = F.lit(1)
+
 
 
 def status_counts(df: DataFrame, status: str = "embedding_status") -> DataFrame:
     return df.groupBy(F.coalesce(status, F.lit("null")).alias(status)).agg(
-        F.count(N).alias("total"), F.count("embedding").alias("with_embedding")
+        F.count("*").alias("total"), F.count("embedding").alias("with_embedding")
     )
 
 
@@ -25,7 +25,7 @@ def null_diagnosis(df: DataFrame, json: bool = False) -> DataFrame:
         return F.count_if(F.col(c).isNull())
 
     return df.agg(
-        F.count(N).alias("total_rows"),
+        F.count("*").alias("total_rows"),
         nulls("content").alias("null_content"),
         nulls("content_hash").alias("null_hash"),
         nulls("embedding").alias("null_embedding"),
@@ -40,7 +40,7 @@ def null_diagnosis(df: DataFrame, json: bool = False) -> DataFrame:
 def health_check(df: DataFrame) -> DataFrame:
     status = F.col("embedding_status")
     return df.agg(
-        F.count(N).alias("total_chunks"),
+        F.count("*").alias("total_chunks"),
         F.count_if(F.col("content") != "").alias("with_content"),
         F.count("embedding").alias("with_embedding"),
         F.count_if(status == "done").alias("status_done"),
@@ -54,12 +54,12 @@ def unclassified_by_file(df: DataFrame, json: bool = False) -> DataFrame:
     meta = F.col("metadata")
     name = F.get_json_object(meta, "$.filename") if json else F.try_element_at(meta, F.lit("filename"))
     hit = metadata_null(meta, "grade", json) & metadata_null(meta, "subject", json)
-    return df.filter(hit).groupBy(name.alias("filename")).agg(F.count(N).alias("rows_to_drop"))
+    return df.filter(hit).groupBy(name.alias("filename")).agg(F.count("*").alias("rows_to_drop"))
 
 
 def status_missing_report(df: DataFrame) -> DataFrame:
     return df.groupBy("embedding_status").agg(
-        F.count(N).alias("total"),
+        F.count("*").alias("total"),
         F.count_if(F.col("embedding").isNull()).alias("missing_vector"),
         F.count_if(F.col("source_id").isNull()).alias("missing_source_id"),
     )
@@ -68,7 +68,7 @@ def status_missing_report(df: DataFrame) -> DataFrame:
 def quality_scan_rollup(scored: DataFrame, *keys: str) -> DataFrame:
     status = F.col("repair_status")
     return scored.groupBy(*keys).agg(
-        F.count(N).alias("chunks"),
+        F.count("*").alias("chunks"),
         F.count_if(status == "clean").alias("clean"),
         F.count_if(status == "needs_review").alias("needs_review"),
         F.count_if(F.col("is_duplicate")).alias("duplicate"),
@@ -89,7 +89,7 @@ def ingest_counters(outcomes: DataFrame, *keys: str) -> DataFrame:
 def file_progress(files: DataFrame) -> DataFrame:
     status = F.col("status")
     out = files.agg(
-        F.count(N).alias("total"),
+        F.count("*").alias("total"),
         F.count_if(status == "done").alias("done"),
         F.count_if(status == "error").alias("error"),
         F.count_if(status == "pending").alias("pending"),
@@ -99,13 +99,13 @@ def file_progress(files: DataFrame) -> DataFrame:
 
 
 def queue_size(files: DataFrame) -> DataFrame:
-    return files.agg(F.sum("file_size").alias("total_bytes"), F.count(N).alias("files"))
+    return files.agg(F.sum("file_size").alias("total_bytes"), F.count("*").alias("files"))
 
 
 def retrieval_pass_rate(tests: DataFrame, *keys: str) -> DataFrame:
     """Tests with ``passed``, the ``rank`` of the own chunk (null if absent) and ``top_score``."""
     return tests.groupBy(*keys).agg(
-        F.count(N).alias("tests"),
+        F.count("*").alias("tests"),
         F.count_if(F.col("passed")).alias("passed"),
         F.round(F.avg(F.col("passed").cast("int")), 4).alias("pass_rate"),
         F.round(F.avg("rank"), 4).alias("mean_rank"),
@@ -146,7 +146,7 @@ def active_embedding(embeddings: DataFrame, hot_rows: int | None = None) -> Data
     from daftar.operators.skew import lookup_per_key
 
     latest = embeddings.groupBy("chunk_id").agg(
-        F.max(F.struct("created_at", "embedding_id")).alias("_latest"), F.count(N).alias("_n")
+        F.max(F.struct("created_at", "embedding_id")).alias("_latest"), F.count("*").alias("_n")
     )
     out = lookup_per_key(embeddings, latest, ["chunk_id"], "embedding_id", "_n", hot_rows)
     mine = F.struct("created_at", "embedding_id") == F.col("_latest")
@@ -166,7 +166,7 @@ def backfill_classification(pages: DataFrame, hot_rows: int | None = None) -> Da
     from daftar.operators.skew import lookup_per_key
 
     first = pages.groupBy("document_id").agg(
-        F.min(F.when(F.col("is_valid"), F.struct("page_number", "grade", "subject"))).alias("_c"), F.count(N).alias("_n")
+        F.min(F.when(F.col("is_valid"), F.struct("page_number", "grade", "subject"))).alias("_c"), F.count("*").alias("_n")
     )
     keyed = pages.withColumn("_row", F.xxhash64("document_id", "page_number"))
     out = lookup_per_key(keyed, first, ["document_id"], "_row", "_n", hot_rows).filter(F.col("_c").isNotNull())
@@ -198,7 +198,7 @@ def table_inventory(tables: Mapping[str, DataFrame | None]) -> DataFrame:
         if table is None:
             part = spark.range(1).select(F.lit(name).alias("table_name"), F.lit(0).cast("long").alias("row_count"), F.lit(True).alias("missing"))
         else:
-            part = table.agg(F.count(N).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count", F.lit(False).alias("missing"))
+            part = table.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count", F.lit(False).alias("missing"))
         parts.append(part)
     out = parts[0]
     for part in parts[1:]:
@@ -213,9 +213,9 @@ def inventory_todo(inventory: DataFrame, chunks: DataFrame, sections: DataFrame,
     counts = inventory.groupBy().pivot("table_name", ["bac_sections", "bac_tracks", "chunks"]).agg(F.first("row_count"))
     gap = chunks.agg(F.count_if(F.col("embedding").isNull())).scalar()
     rows = F.array_compact(F.array(
-        F.when(F.coalesce("bac_sections", N * 0) == 0, F.struct(F.lit("t1").alias("id"), F.lit("Initialize Bac Sections").alias("task"), F.lit("high").alias("severity"))),
-        F.when((F.col("bac_sections") > 0) & (F.coalesce("bac_tracks", N * 0) == 0), F.struct(F.lit("t2").alias("id"), F.lit("Add Tracks to existing Sections").alias("task"), F.lit("high").alias("severity"))),
-        F.when(F.coalesce("chunks", N * 0) == 0, F.struct(F.lit("t3").alias("id"), F.lit("Populate Content from PDFs").alias("task"), F.lit("medium").alias("severity"))),
+        F.when(F.coalesce("bac_sections", F.lit(0)) == 0, F.struct(F.lit("t1").alias("id"), F.lit("Initialize Bac Sections").alias("task"), F.lit("high").alias("severity"))),
+        F.when((F.col("bac_sections") > 0) & (F.coalesce("bac_tracks", F.lit(0)) == 0), F.struct(F.lit("t2").alias("id"), F.lit("Add Tracks to existing Sections").alias("task"), F.lit("high").alias("severity"))),
+        F.when(F.coalesce("chunks", F.lit(0)) == 0, F.struct(F.lit("t3").alias("id"), F.lit("Populate Content from PDFs").alias("task"), F.lit("medium").alias("severity"))),
         F.when((F.col("chunks") > 0) & (gap > 0), F.struct(F.lit("t_vector_gap").alias("id"), F.lit("Embed Existing Chunks").alias("task"), F.lit("high").alias("severity"))),
     ))
     todo = counts.select(F.explode(rows).alias("r")).select("r.*")

@@ -15,7 +15,7 @@ def unique_names(dim: DataFrame, name: str, payload: list[str]) -> DataFrame:
     return (
         dim.filter(F.col(name).isNotNull())
         .groupBy(F.lower(name).alias("_name"))
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in payload])
+        .agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in payload])
         .filter("_n = 1")
         .drop("_n")
     )
@@ -101,7 +101,7 @@ def resolve_metadata_refs(df: DataFrame, grades: DataFrame, subjects: DataFrame,
     s = unique_names(subjects, "name", ["subject_id"]).withColumnsRenamed({"_name": "_sn", "subject_id": "_sid"})
     t = (
         topics.groupBy(F.col("grade_id").alias("_tg"), F.col("subject_id").alias("_ts"), F.lower("title").alias("_tt"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("topic_id").alias("_tid"))
+        .agg(F.count("*").alias("_n"), F.first("topic_id").alias("_tid"))
         .filter("_n = 1")
         .drop("_n")
     )
@@ -191,7 +191,7 @@ def document_with_jobs(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     """
     first = jobs.groupBy("document_id").agg(
         F.min_by("status", F.struct("created_at", "job_id")).alias("shown_status"),
-        F.count(F.lit(1)).alias("n_jobs"),
+        F.count("*").alias("n_jobs"),
     )
     rows = docs.join(first, "document_id", "left").join(
         jobs.select("document_id", "job_id", F.col("status").alias("job_status")), "document_id", "left"

@@ -41,7 +41,7 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 def inventory_counts(files: DataFrame) -> DataFrame:
     return files.agg(
-        F.count(F.lit(1)).alias("total"),
+        F.count("*").alias("total"),
         F.count_if(F.col("status") == "done").alias("done"),
         F.count_if(F.col("status") == "error").alias("error"),
         F.count_if(F.col("status") == "pending").alias("pending"),

@@ -31,7 +31,7 @@ def page_scan(docs: DataFrame, key: str = "document_id", text: str = "text", sep
 def extraction_mode(pages: DataFrame, key: str = "document_id") -> DataFrame:
     """Per document: text, hybrid or scanned, and the number of pages."""
     low = F.count_if(F.col("low_text"))
-    total = F.count(F.lit(1))
+    total = F.count("*")
     mode = F.when(low == total, "scanned").when(low > 0, "hybrid").otherwise("text")
     return pages.groupBy(key).agg(total.alias("total_pages"), mode.alias("extraction_mode"))
 

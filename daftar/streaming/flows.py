@@ -161,7 +161,7 @@ def expired_claims(events: DataFrame, minutes: int = 10, width: int = 86_400) ->
 
 
 def stream_status_counts(stream: DataFrame, status: str = "status") -> DataFrame:
-    return stream.groupBy(F.coalesce(status, F.lit("null")).alias(status)).agg(F.count(F.lit(1)).alias("total"))
+    return stream.groupBy(F.coalesce(status, F.lit("null")).alias(status)).agg(F.count("*").alias("total"))
 
 
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], version: Sequence[Column]):
