@@ -95,8 +95,8 @@ def gap_report(spark, sf):
 
 def _planner(spark, sf):
     return curriculum.planner_steps(
-        base.grades(spark, sf), base.mapped(spark, sf), base.subjects(spark, sf), base.topics(spark, sf),
-        base.outlines(spark, sf), base.exercises(spark, sf), base.tracks(spark, sf),
+        base.grades(spark, sf), base.stored(base.mapped, spark, sf), base.stored(base.subjects, spark, sf), base.topics(spark, sf),
+        base.stored(base.outlines, spark, sf), base.stored(base.exercises, spark, sf), base.stored(base.tracks, spark, sf),
     )
 
 
@@ -164,8 +164,9 @@ def retrieval_pass_rate(spark, sf):
 
 def _nodes(spark, sf):
     return curriculum.curriculum_nodes(
-        base.curricula(spark, sf), base.cycles(spark, sf), base.grades(spark, sf), base.mapped(spark, sf), base.subjects(spark, sf),
-        base.sections(spark, sf), base.tracks(spark, sf), base.track_subjects(spark, sf),
+        base.curricula(spark, sf), base.cycles(spark, sf), base.grades(spark, sf), base.stored(base.mapped, spark, sf),
+        base.stored(base.subjects, spark, sf), base.stored(base.sections, spark, sf), base.stored(base.tracks, spark, sf),
+        base.stored(base.track_subjects, spark, sf),
     )
 
 

@@ -254,6 +254,13 @@ def track_subjects(spark, sf):
     )
 
 
+def stored(binding, spark, sf) -> DataFrame:
+    """A curriculum table derived from the fact tables, written once for many uses."""
+    from daftar.session import durable
+
+    return durable(binding(spark, sf), "dimension")
+
+
 CURRICULA = "(SELECT r_regionkey AS curriculum_id, r_name AS name FROM region)"
 CYCLES = "(SELECT n_nationkey AS cycle_id, n_name AS name, n_regionkey AS curriculum_id FROM nation)"
 GRADES = "(SELECT s_suppkey AS grade_id, CASE WHEN s_nationkey < 5 THEN 'Bac ' || s_name ELSE s_name END AS name, s_nationkey AS cycle_id FROM supplier)"

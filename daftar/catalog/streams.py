@@ -57,8 +57,9 @@ def stream_status_counts(spark, sf):
 def stream_upsert(spark, sf):
     log = _events(spark, sf).select("user_id", "event_id", "event_type", "ts")
     path = scratch_path(spark, "upsert")
-    flows.stream_upsert(log, path, path + "-checkpoint", ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).awaitTermination()
-    return flows.latest_generation(spark, path, ["user_id"]).select("user_id", "event_id", "event_type")
+    version = [F.col("ts").desc(), F.col("event_id").desc()]
+    flows.stream_upsert(log, path, path + "-checkpoint", ["user_id"], version).awaitTermination()
+    return flows.upserted(spark, path, ["user_id"], version).select("user_id", "event_id", "event_type")
 
 
 @query("stream_job_state", "SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS ts FROM events GROUP BY 1")

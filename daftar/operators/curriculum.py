@@ -67,7 +67,7 @@ def is_bac_for_planner(name: Column) -> Column:
 
 def subject_difference(mapped: DataFrame, topics: DataFrame) -> DataFrame:
     """Mapped (grade, subject) rows without a topic; repeated mappings stay repeated."""
-    return mapped.join(topics.select("grade_id", "subject_id"), ["grade_id", "subject_id"], "left_anti")
+    return mapped.join(topics.select("grade_id", "subject_id").distinct(), ["grade_id", "subject_id"], "left_anti")
 
 
 def _missing_names(missing: DataFrame, n: int, key: str, label: str) -> DataFrame:

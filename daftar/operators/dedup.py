@@ -52,7 +52,7 @@ def keep_first_copy(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 def dedup_against_store(new: DataFrame, store: DataFrame, key: str = "chunk_id") -> DataFrame:
     """New rows whose hash is not stored, one per hash."""
-    return keep_first_copy(new, key).join(store.select("content_hash"), "content_hash", "left_anti")
+    return keep_first_copy(new, key).join(store.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
 def skipped_count(new: DataFrame, kept: DataFrame) -> DataFrame:

@@ -56,12 +56,14 @@ def embed_viability(df: DataFrame, n: int = MIN_EMBED_CHARS, short_status: str =
     )
 
 
+def eligible() -> Column:
+    """Active, in a status that may be embedded, and hashed; never null."""
+    fits = F.col("is_active") & F.col("repair_status").isin(*schema.EMBEDDABLE_STATUS) & F.col("content_hash").isNotNull()
+    return F.coalesce(fits, F.lit(False))
+
+
 def embed_eligible(df: DataFrame) -> DataFrame:
-    return df.filter(
-        F.col("is_active")
-        & F.col("repair_status").isin(*schema.EMBEDDABLE_STATUS)
-        & F.col("content_hash").isNotNull()
-    )
+    return df.filter(eligible())
 
 
 def choice_key(c: Column) -> Column:

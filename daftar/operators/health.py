@@ -219,7 +219,7 @@ def inventory_todo(inventory: DataFrame, chunks: DataFrame, sections: DataFrame,
         F.when((F.col("chunks") > 0) & (gap > 0), F.struct(F.lit("t_vector_gap").alias("id"), F.lit("Embed Existing Chunks").alias("task"), F.lit("high").alias("severity"))),
     ))
     todo = counts.select(F.explode(rows).alias("r")).select("r.*")
-    empty = sections.join(tracks.select("section_id"), "section_id", "left_anti").select(
+    empty = sections.join(tracks.select("section_id").distinct(), "section_id", "left_anti").select(
         F.concat(F.lit("s-"), "name").alias("id"), F.concat(F.lit("Add Tracks for "), "name").alias("task"), F.lit("medium").alias("severity")
     )
     return todo.unionByName(empty)

@@ -193,23 +193,25 @@ def document_with_jobs(docs: DataFrame, jobs: DataFrame) -> DataFrame:
         F.min_by("status", F.struct("created_at", "job_id")).alias("shown_status"),
         F.count("*").alias("n_jobs"),
     )
-    rows = docs.join(first, "document_id", "left").join(
-        jobs.select("document_id", "job_id", F.col("status").alias("job_status")), "document_id", "left"
-    )
-    return rows.withColumn("shown_status", F.coalesce("shown_status", F.lit("metadata_required"))).withColumn(
+    known = docs.join(first, "document_id", "left")
+    # Inner join plus the documents without jobs: unlike an outer join, its job
+    # side can be split when one document has very many.
+    own = jobs.select("document_id", "job_id", F.col("status").alias("job_status"))
+    rows = own.join(known, "document_id").unionByName(known.filter(F.col("n_jobs").isNull()), allowMissingColumns=True)
+    return rows.select(*known.columns, "job_id", "job_status").withColumn("shown_status", F.coalesce("shown_status", F.lit("metadata_required"))).withColumn(
         "n_jobs", F.coalesce("n_jobs", F.lit(0))
     )
 
 
 def already_ingested(files: DataFrame, chunks: DataFrame, present: bool = True) -> DataFrame:
     """Files whose name some chunk carries in ``metadata.filename`` (or the others)."""
-    seen = chunks.select(F.try_element_at("metadata", F.lit("filename")).alias("filename"))
+    seen = chunks.select(F.try_element_at("metadata", F.lit("filename")).alias("filename")).distinct()
     return files.join(seen, "filename", "left_semi" if present else "left_anti")
 
 
 def missing_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Parents no child points to."""
-    return parents.join(children.select(key), key, "left_anti")
+    return parents.join(children.select(key).distinct(), key, "left_anti")
 
 
 def missing_combinations(a: DataFrame, a_key: str, b: DataFrame, b_key: str, existing: DataFrame, limit: int | None = None) -> DataFrame:
@@ -263,7 +265,10 @@ def chunk_detail(chunks: DataFrame, versions: DataFrame, embeddings: DataFrame)
     e = embeddings.select(
         "chunk_id", F.lit("embedding").alias("kind"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("place"), F.col("model").alias("payload")
     )
-    return chunks.join(v.unionByName(e), "chunk_id", "left")
+    parts = v.unionByName(e)
+    alone = chunks.join(parts.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    rows = parts.join(chunks, "chunk_id").unionByName(alone, allowMissingColumns=True)
+    return rows.select(*chunks.columns, "kind", "place", "payload")
 
 
 def first_per(df: DataFrame, key: str, *order: Column) -> DataFrame:

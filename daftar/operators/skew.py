@@ -37,7 +37,7 @@ def lookup_per_key(
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     payload = [c for c in per_key.columns if c not in keys]
-    key = F.to_json(F.struct(*[F.col(k) for k in keys]))
+    key = _single_key(keys)
     table = per_key.select(key.alias("_key"), *payload)
     hot = table.filter(F.col(count_col) > hot_rows).select(
         F.col("_key").alias("_hot_key"), F.struct(*payload).alias("_hot")
@@ -54,6 +54,13 @@ def lookup_per_key(
     return joined.select(*rows.columns, *[out[c].alias(c) for c in payload])
 
 
+def _single_key(keys: Sequence[str]) -> Column:
+    """One string per key; null, and so without a partner, if any part is null."""
+    parts = [F.col(k).cast("string") for k in keys]
+    sized = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts[:-1]]
+    return F.concat(*sized, parts[-1]) if sized else parts[0]
+
+
 def with_bucket(df: DataFrame, order: Column, width: int) -> DataFrame:
     return df.withColumn("_bucket", F.floor(order / F.lit(width)).cast("long"))
 

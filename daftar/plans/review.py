@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.operators import chunking, dedup, edit, health, models, quality
-from daftar.operators.filters import embed_eligible
+from daftar.operators.filters import eligible
 from daftar.session import durable
 from daftar.sources import pages as page_source
 
@@ -89,8 +89,8 @@ def prepare_corpus(
         )
         scored = edited.drop("content_changed", "embedding_status", "updated_at")
 
-    embedded = models.embed_chunks(embed_eligible(scored), embedder, dim)
-    rest = scored.join(embed_eligible(scored).select("chunk_id"), "chunk_id", "left_anti")
+    embedded = models.embed_chunks(scored.filter(eligible()), embedder, dim)
+    rest = scored.filter(~eligible())
     chunks = durable(embedded.unionByName(rest, allowMissingColumns=True), "chunks")
     if versions is None:
         versions = scored.limit(0).select("chunk_id", F.lit(1).alias("version_index"), "content", "content_hash")

@@ -12,7 +12,7 @@ from daftar.operators.skew import keep_first
 
 def insert_if_absent(new: DataFrame, store: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Rows of ``new`` to append: first per key, keys already stored left out."""
-    return keep_first(new, key, order).join(store.select(*key), list(key), "left_anti")
+    return keep_first(new, key, order).join(store.select(*key).distinct(), list(key), "left_anti")
 
 
 def upsert(new: DataFrame, store: DataFrame, key: Sequence[str], version: Sequence[Column]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from daftar.session import scratch_path
-from daftar.sources.stores import upsert
+from daftar.operators.skew import keep_first
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -165,16 +165,15 @@ def stream_status_counts(stream: DataFrame, status: str = "status") -> DataFrame
 
 
 def stream_upsert(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], version: Sequence[Column]):
-    """Keep ``path`` at the latest row per key.
+    """Record each batch's latest row per key under ``path``.
 
-    Each batch writes the next generation of the table under its own number, so
-    repeating a batch after a failure gives the same generation.
+    A batch writes only its own rows, under its own number: repeating it after a
+    failure overwrites the same folder, and the cost follows the batch, not the
+    table.  ``upserted`` reads the table, ``compact`` folds the batches into one.
     """
-    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store = spark.read.parquet(f"{path}/generation={batch_id - 1}") if batch_id else batch.limit(0)
-        upsert(batch, store, key, version).write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        keep_first(batch, key, version).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -182,11 +181,15 @@ def stream_upsert(stream: DataFrame, path: str, checkpoint: str, key: Sequence[s
     )
 
 
-def latest_generation(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """The table ``stream_upsert`` keeps."""
+def upserted(spark: SparkSession, path: str, key: Sequence[str], version: Sequence[Column]) -> DataFrame:
+    """The table ``stream_upsert`` keeps: latest version per key, later batches first."""
     rows = spark.read.option("basePath", path).parquet(path)
-    newest = rows.agg(F.max("generation")).scalar()
-    return rows.filter(F.col("generation") == newest).drop("generation")
+    return keep_first(rows, key, [*version, F.col("batch_id").desc()]).drop("batch_id")
+
+
+def compact(spark: SparkSession, path: str, out: str, key: Sequence[str], version: Sequence[Column]) -> None:
+    """Write the current table to ``out`` as the first batch of a new one."""
+    upserted(spark, path, key, version).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
 
 
 def stream_job_state(stream: DataFrame) -> DataFrame:

@@ -31,7 +31,10 @@ def test_upsert_over_batches(spark, tmp_path):
         write(spark, src, rows, "k string, version int")
         stream = flows.table_stream(spark, str(src), "*.parquet")
         flows.stream_upsert(stream, path, ck, ["k"], [F.col("version").desc()]).awaitTermination()
-    got = {r.k: r.version for r in flows.latest_generation(spark, path, ["k"]).collect()}
+    order = [F.col("version").desc()]
+    flows.compact(spark, path, path + "-2", ["k"], order)
+    assert flows.upserted(spark, path + "-2", ["k"], order).count() == 3
+    got = {r.k: r.version for r in flows.upserted(spark, path, ["k"], order).collect()}
     assert got == {"a": 2, "b": 1, "c": 3}
 
 
