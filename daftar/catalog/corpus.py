@@ -219,7 +219,10 @@ def repair_chunks(spark, sf):
     return models.gate_repairs(rows).select("conv_id", "turn", "repaired_content", "quality_score_after", "generated_content", "repair_status")
 
 
-@query("repair_model_stage")
+@query("repair_model_stage", f"""
+SELECT chunk_id, CASE WHEN contains(content, '###') OR {s_trim("replace(content, '%%%', '')")} = '' THEN content ELSE {s_trim("replace(content, '%%%', '')")} END AS repaired_content,
+  CASE WHEN NOT contains(content, '###') THEN 0.9::DOUBLE END AS quality_score_after, CASE WHEN contains(content, '###') THEN 'needs_review' ELSE 'auto_repaired' END AS repair_status,
+  CASE WHEN contains(content, '###') THEN 'unreadable' END AS repair_error FROM {CHUNKS} WHERE repair_status = 'needs_review'""")
 def repair_model_stage(spark, sf):
     """The repair stage with a model function that fails on some rows."""
     def factory():
@@ -303,7 +306,9 @@ def generate_qa(spark, sf):
     return models.extract_pairs(rows)
 
 
-@query("qa_model_stage")
+@query("qa_model_stage", f"""
+SELECT chunk_id, document_id AS grade_id, 0 AS pair_index, 'What does it say?' AS question, q AS answer FROM (
+  SELECT *, {s_trim("regexp_replace(left(content, 60), '[^\\p{L}\\p{N} ]', '', 'g')")} AS q FROM {CHUNKS} WHERE embedding_status = 'done') WHERE length(q) > 5""")
 def qa_model_stage(spark, sf):
     """Question generation end to end with a function that quotes the text."""
     def factory():
@@ -357,20 +362,47 @@ def format_documents(spark, sf):
 def _files(spark, sf):
     """Documents under names that carry grade, topic and subject."""
     lang = F.col("lang")
-    subject = F.when(lang == "en", "anglais").when(lang == "fr", "math").otherwise("")
-    name = F.concat_ws("-", F.lit("red_ring"), F.concat(F.lit("1bac"), subject), F.col("doc_id").cast("string"))
+    subject = F.when(lang == "en", "anglais").when(lang == "fr", "math")
+    name = F.concat_ws("-", F.lit("red_ring"), F.lit("1bac"), subject, F.col("doc_id").cast("string"))
     return table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), F.concat(name, F.lit(".pdf")).alias("filename"), "text")
 
 
-@query("prepare_corpus")
+_NAME = "concat_ws('-', 'red_ring', '1bac', CASE lang WHEN 'en' THEN 'anglais' WHEN 'fr' THEN 'math' END, doc_id)"
+_REVIEW_ROWS = f"""(SELECT document_id * 1000000 + chunk_index AS id, document_id, chunk_index, page_start, page_end, content, {TITLE.format('line', 'name')} AS title,
+    ocr_detected AS ocr, lang IN ('en', 'fr') AS g, true AS s, true AS t, row_number() OVER (PARTITION BY document_id, md5(content) ORDER BY chunk_index) > 1 AS dup
+  FROM (SELECT a.*, lang, {_NAME} AS name, {s_trim('split_part(content, chr(10), 1)')} AS line FROM {_DRAFTS} a JOIN documents ON doc_id = document_id))"""
+
+
+def _classifier():
+    """A model function that reads the subject word in the file name."""
+    def fn(frame: pd.DataFrame) -> pd.DataFrame:
+        known = frame["filename"].str.contains("anglais|math")
+        return pd.DataFrame({
+            "grade_name": [_ALLOWED[0] if k else "not listed" for k in known], "subject_name": ["Brand#1"] * len(frame),
+            "title": frame["filename"].str.removesuffix(".pdf"), "language": ["fr"] * len(frame), "quality_notes": [[]] * len(frame),
+        })
+
+    return fn
+
+
+@query("prepare_corpus", f"""
+SELECT document_id, chunk_index, page_start, page_end, quality_score, CASE repair_status WHEN 'clean' THEN 'embedded' ELSE repair_status END AS repair_status,
+  CASE repair_status WHEN 'clean' THEN 'done' END AS embedding_status FROM {_scored_sql(_REVIEW_ROWS)}""")
 def prepare_corpus(spark, sf):
+    """The whole review path with a classifier, over all documents."""
     docs = _files(spark, sf).withColumnRenamed("file_id", "document_id")
     grades = spark.createDataFrame([(g,) for g in _ALLOWED], "name string")
-    done = review.prepare_corpus(docs, grades, base.subjects(spark, sf), models.hashing_embedder(64), 64, separator="\n")
+    done = review.prepare_corpus(docs, grades, base.subjects(spark, sf), models.hashing_embedder(64), 64, _classifier, separator="\n")
     return done.chunks.select("document_id", "chunk_index", "page_start", "page_end", "quality_score", "repair_status", "embedding_status")
 
 
-@query("ingest_corpus")
+@query("ingest_corpus", f"""
+SELECT content_hash, doc_id AS file_id, chunk_index, CAST(length(content) AS INTEGER) AS chunk_size, (SELECT min(p_partkey) FROM part WHERE contains(p_name, 'red ring')) AS source_id,
+  '1bac' AS grade_hint, CASE lang WHEN 'en' THEN '{names.ENGLISH}' WHEN 'fr' THEN '{names.MATHS}' END AS subject_hint, 'done' AS embedding_status FROM (
+  SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY md5(doc_id || ':' || chunk_index)) AS r FROM (
+    SELECT doc_id, lang, content, md5(content) AS content_hash, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index
+    FROM {_WINDOWS} JOIN documents d USING (doc_id) WHERE length(content) >= 100 AND length({s_trim('d.text')}) >= 50))
+WHERE r = 1 AND content_hash NOT IN (SELECT content_hash FROM {CHUNKS} WHERE content_hash IS NOT NULL)""")
 def ingest_corpus(spark, sf):
     dims = ingest.Dimensions(
         base.grades(spark, sf), base.cycles(spark, sf), base.subjects(spark, sf), base.topics(spark, sf), aliases.alias_index(aliases.default_aliases(spark))
