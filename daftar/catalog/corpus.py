@@ -257,30 +257,55 @@ def apply_edits(spark, sf):
     return out.select("chunk_id", "content", "language", "repair_status", "content_hash", "embedding_status", "is_active", "content_changed")
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_embedder():
+    """A model function with a SQL twin: how often each letter occurs."""
+    def fn(frame: pd.DataFrame) -> pd.DataFrame:
+        lower = frame["text"].str.lower()
+        return pd.DataFrame({"embedding": [[float(t.count(a)) for a in _ALPHABET] for t in lower]})
+
+    return fn
+
+
+def _letters(x: str) -> str:
+    """SQL twin of the letter counts of ``x`` (lower case)."""
+    return "[" + ", ".join(f"CAST(length({x}) - length(replace({x}, '{a}', '')) AS DOUBLE)" for a in _ALPHABET) + "]"
+
+
 def _embedded(spark, sf):
-    return models.embed_chunks(filters.embed_eligible(base.chunks(spark, sf)), models.hashing_embedder(64), 64)
+    return models.embed_chunks(filters.embed_eligible(base.chunks(spark, sf)), _letter_embedder, 26)
 
 
-@query("embed_chunks")
+@query("embed_chunks", f"""
+SELECT chunk_id, array_to_string(list_transform({_letters('x')}, lambda v: CAST(v AS INTEGER)), ',') AS vector, 'done' AS embedding_status, 'embedded' AS repair_status, 'hashing' AS embedding_model
+FROM (SELECT chunk_id, lower('passage: ' || content) AS x FROM {CHUNKS} WHERE is_active AND repair_status IN ('clean', 'embedded', 'auto_repaired') AND content_hash IS NOT NULL)""")
 def embed_chunks(spark, sf):
-    return _embedded(spark, sf).select("chunk_id", "embedding", "embedding_status", "repair_status", "embedding_model", "embedding_error")
+    vector = F.array_join(F.transform("embedding", lambda v: v.cast("int").cast("string")), ",")
+    return _embedded(spark, sf).select("chunk_id", vector.alias("vector"), "embedding_status", "repair_status", "embedding_model")
 
 
 @query("embed_status", f"""
 SELECT document_id, count(*) AS done FROM {CHUNKS} WHERE is_active AND repair_status IN ('clean', 'embedded', 'auto_repaired') AND content_hash IS NOT NULL GROUP BY 1""")
 def embed_status(spark, sf):
-    done = _embedded(spark, sf).filter((F.col("embedding_status") == "done") & (F.size("embedding") == 64))
+    done = _embedded(spark, sf).filter((F.col("embedding_status") == "done") & (F.size("embedding") == 26))
     return done.groupBy("document_id").agg(F.count("*").alias("done"))
 
 
-@query("retrieval_test")
+@query("retrieval_test", f"""
+WITH v AS MATERIALIZED (SELECT chunk_id, document_id, {_letters('x')} AS c, {_letters('y')} AS q FROM (
+  SELECT chunk_id, document_id, lower(content) AS x, lower('Chunk ' || left(content, 240)) AS y FROM {CHUNKS})),
+p AS (SELECT a.chunk_id AS query_id, b.chunk_id, round(coalesce(list_dot_product(a.q, b.c) / nullif(sqrt(list_dot_product(a.q, a.q)) * sqrt(list_dot_product(b.c, b.c)), 0), 0), 9) AS score FROM v a JOIN v b USING (document_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM p)
+SELECT query_id, bool_or(chunk_id = query_id) AS passed, min(CASE WHEN chunk_id = query_id THEN r END) AS rank, round(max(score), 4) AS top_score FROM r WHERE r <= 5 GROUP BY 1""", as_text=("rank",))
 def retrieval_test(spark, sf):
     """Chunks of each source asked with their own opening, after embedding both."""
     c = base.chunks(spark, sf).select("chunk_id", "document_id", "content")
-    embedder = models.hashing_embedder(64)
-    corpus = durable(models.embed_text(c, embedder, F.col("content"), 64).drop("content"), "vectors")
+    embedder = _letter_embedder
+    corpus = durable(models.embed_text(c, embedder, F.col("content"), 26).drop("content"), "vectors")
     ask = retrieval.query_text(F.lit(None).cast("string"), F.col("content"))
-    asked = models.embed_text(c, embedder, ask, 64).drop("content").withColumnRenamed("chunk_id", "query_id")
+    asked = models.embed_text(c, embedder, ask, 26).drop("content").withColumnRenamed("chunk_id", "query_id")
     asked = durable(asked, "queries")
     return retrieval.retrieval_test(asked, corpus, 5, scope="document_id").select("query_id", "passed", "rank", "top_score")
 
