@@ -35,11 +35,14 @@ def test_token_and_slug(spark):
     got = [tuple(r) for r in df.select(names.normalise_token(F.col("c")), names.slugify_label(F.col("c"))).collect()]
     assert got[0] == ("mathematiques eco", "mathematiques-eco")
     assert got[1][1] == "الرياضيات"
+    more = spark.createDataFrame([("Ｆｉche ﬁnale n²",), ("Άλφα й",), ("المائي",), ("e\u0301te\u0301",)], "c string")
+    slugs = [r[0] for r in more.select(names.slugify_label(F.col("c"))).collect()]
+    assert slugs == ["fiche-finale-n2", "αλφα-и", "الماي-ي", "ete"]
 
 
 def test_compat_form(spark):
-    df = spark.createDataFrame([("ﬁche_1.pdf",)], "c string")
-    assert df.select(names.normalise_filename(F.col("c"), compat=True)).collect()[0][0] == "fiche-1"
+    df = spark.createDataFrame([("ﬁche_1.pdf",), ("anne\u0301e_1.pdf",)], "c string")
+    assert [r[0] for r in df.select(names.normalise_filename(F.col("c"))).collect()] == ["fiche-1", "année-1"]
 
 
 @pytest.fixture(scope="module")
