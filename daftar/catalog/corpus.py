@@ -133,7 +133,8 @@ def quality_score(spark, sf):
         content_hash(F.col("text")).alias("content_hash"), detect_title(F.col("text"), F.lit(None).cast("string")).alias("title"),
         F.lit(False).alias("ocr_detected"), lang.isin("en", "fr").alias("has_grade"), (lang != "es").alias("has_subject"), (F.col("n_chars") > 500).alias("has_topic"),
     )
-    scored = quality.score_chunks(dedup.mark_duplicates_in_document(rows))
+    flagged = quality.content_flags(rows).select("document_id", "chunk_index", "content_hash", "flags")
+    scored = quality.finish_score(dedup.mark_duplicates_in_document(flagged))
     return scored.select(F.col("chunk_index").alias("doc_id"), F.array_join("flags", ",").alias("flags"), "quality_score", "repair_status", "is_rejected")
 
 
@@ -157,7 +158,9 @@ def chunk_quality_rollup(spark, sf):
         detect_title(content, F.lit(None).cast("string")).alias("title"), F.lit(False).alias("ocr_detected"),
         lang.isin("en", "fr").alias("has_grade"), (lang != "es").alias("has_subject"), F.lit(True).alias("has_topic"),
     )
-    return health.quality_scan_rollup(quality.score_chunks(dedup.dedup_global(rows)), "language")
+    # Flags are set in the scan stage, so no text travels to find the copies.
+    flagged = quality.content_flags(rows).select("chunk_id", "language", "content_hash", "flags")
+    return health.quality_scan_rollup(quality.finish_score(dedup.dedup_global(flagged)), "language")
 
 
 _PAGE_ROWS = f"""(SELECT document_id * 1000000 + chunk_index AS id, document_id, content, title, ocr_detected AS ocr, language = 'en' AS g, language IN ('en', 'fr') AS s,

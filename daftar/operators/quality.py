@@ -47,20 +47,26 @@ def flag_conditions(script_aware: bool = False) -> dict[str, Column]:
         "missing_topic": ~F.col("has_topic"),
         "ocr_detected": F.col("ocr_detected"),
         "low_educational_value": ~trimmed.rlike(f"[{LETTERS_IN}0-9]"),
-        "duplicate": F.col("is_duplicate"),
     }
 
 
-def score_chunks(chunks: DataFrame, script_aware: bool = False) -> DataFrame:
-    """Adds flags, quality_score, repair_status and is_rejected.
+def content_flags(chunks: DataFrame, script_aware: bool = False) -> DataFrame:
+    """Adds ``flags``: all but the duplicate and threshold flags.
 
-    Expects content, title, ocr_detected, is_duplicate, has_grade, has_subject,
-    has_topic.  Scores are summed in whole hundredths.
+    Needs the text but no other row, so it runs in the scan stage; the text can be
+    dropped before the rows are compared with each other.
     """
     empty = F.length(js_trim(F.col("content"))) == 0
     conditions = flag_conditions(script_aware)
     found = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in conditions.items()]))
-    df = chunks.withColumn("_found", F.when(empty, F.array(F.lit("empty_content"))).otherwise(found))
+    return chunks.withColumn("flags", F.when(empty, F.array(F.lit("empty_content"))).otherwise(found))
+
+
+def finish_score(flagged: DataFrame) -> DataFrame:
+    """Score, status and final flags from ``flags`` and ``is_duplicate``."""
+    empty = F.array_contains("flags", "empty_content")
+    marked = F.concat("flags", F.array(F.lit("duplicate")))
+    df = flagged.withColumn("_found", F.when(~empty & F.col("is_duplicate"), marked).otherwise(F.col("flags")))
     weights = F.create_map(*[F.lit(x) for kv in PENALTIES.items() for x in kv])
     lost = F.aggregate("_found", F.lit(0), lambda s, f: s + F.coalesce(F.try_element_at(weights, f), F.lit(0)))
     df = df.withColumn("_points", F.when(empty, F.lit(0)).otherwise(F.greatest(F.lit(0), F.lit(100) - lost)))
@@ -78,3 +84,12 @@ def score_chunks(chunks: DataFrame, script_aware: bool = False) -> DataFrame:
         "quality_score": F.col("_points") / F.lit(100.0),
         "repair_status": status,
     }).drop("_found", "_points")
+
+
+def score_chunks(chunks: DataFrame, script_aware: bool = False) -> DataFrame:
+    """Adds flags, quality_score, repair_status and is_rejected.
+
+    Expects content, title, ocr_detected, is_duplicate, has_grade, has_subject,
+    has_topic.  Scores are summed in whole hundredths.
+    """
+    return finish_score(content_flags(chunks, script_aware))
