@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from daftar.functions.data import append_log
 from daftar.functions.names import slugify_label
-from daftar.operators.skew import keep_first
 
 
 def unique_names(dim: DataFrame, name: str, payload: list[str]) -> DataFrame:
@@ -269,7 +268,3 @@ def chunk_detail(chunks: DataFrame, versions: DataFrame, embeddings: DataFrame)
     alone = chunks.join(parts.select("chunk_id").distinct(), "chunk_id", "left_anti")
     rows = parts.join(chunks, "chunk_id").unionByName(alone, allowMissingColumns=True)
     return rows.select(*chunks.columns, "kind", "place", "payload")
-
-
-def first_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    return keep_first(df, [key], order)

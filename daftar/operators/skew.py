@@ -92,28 +92,6 @@ def running_index(
     )
 
 
-def running_sum(
-    df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[Column], value: Column, name: str, width: int = 10_000
-) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the key, bucket by bucket."""
-    cut = with_bucket(df, position, width).withColumn("_v", value)
-    by = [*keys, "_bucket"]
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        cut.groupBy(*by)
-        .agg(F.sum("_v").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = cut.withColumn("_inside", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return (
-        _same_keys(numbered, offsets, by)
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_offset", "_inside", "_bucket", "_v")
-    )
-
-
 def previous_value(
     df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[Column], value: str, name: str, width: int = 10_000
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -212,11 +212,3 @@ def recent_activity(stream: DataFrame, minutes: int = 2, delay: str = "1 minute"
         .agg(F.count_if(pending).alias("pending"))
         .select(F.col("w.start").alias("window_start"), "pending")
     )
-
-
-def for_each_batch(stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Apply a batch operator to every micro-batch of a stream."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
