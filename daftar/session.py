@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,11 +52,45 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors reach: ``spark.checkpoint.dir`` of the session, or
+    the one given to ``setCheckpointDir``.
 
-    Only where it is unset (tests on one machine) a temporary folder stands in.
+    Only in local mode, where one machine does everything, a temporary folder
+    stands in for it; on a cluster its absence is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found:
+        return found
+    if re.match(r"local(\[|$)", context.master):
+        return _own_folder()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+
+
+@functools.cache
+def _package_zip() -> str:
+    """The package as a zip in a temporary folder of the driver, from where Spark fetches it."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="daftar-code-"), "daftar.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if not name.endswith((".pyc", ".pyo")):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("daftar", os.path.relpath(full, here)))
+    return path
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import the package, whatever folder the driver started in."""
+    context = spark.sparkContext
+    if _shipped.get("to") != context.applicationId:
+        context.addPyFile(_package_zip())
+        _shipped["to"] = context.applicationId
+    return spark
+
+
+_shipped: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
