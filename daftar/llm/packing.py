@@ -23,6 +23,7 @@ result.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ CLASSES = 256
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words in each of a worker's two generations of remembered words.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 #: Rows of a length class that are numbered in one group, on average.
 GROUP = 50_000
 
@@ -134,6 +135,12 @@ class WordTokenizer:
 
 #: Letters below U+0130, which lower-case by themselves and are composed already, and a mark.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([.,;:!?]?)").fullmatch
+@functools.lru_cache(maxsize=1)
+def _word_tokenizer(file: str) -> WordTokenizer:
+    """One per worker process, whatever number of tasks it runs."""
+    return WordTokenizer(file)
+
+
 _BLOCK = 100_000
 
 
@@ -150,7 +157,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, end: int = END, tokenize
     mark = np.array([end], "<u4").tobytes()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_file(tokenizer))
+        words = _word_tokenizer(tokenizer_file(tokenizer))
         for batch in rows:
             cols: list[list] = [[] for _ in range(6)]
             texts = [t or "" for t in batch.column(1).to_pylist()]
