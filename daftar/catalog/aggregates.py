@@ -95,8 +95,8 @@ def gap_report(spark, sf):
 
 def _planner(spark, sf):
     return curriculum.planner_steps(
-        base.grades(spark, sf), base.stored(base.mapped, spark, sf), base.stored(base.subjects, spark, sf), base.topics(spark, sf),
-        base.stored(base.outlines, spark, sf), base.stored(base.exercises, spark, sf), base.stored(base.tracks, spark, sf),
+        base.grades(spark, sf), base.stored(base.mapped, spark, sf), base.subjects(spark, sf), base.topics(spark, sf),
+        base.outlines(spark, sf), base.exercises(spark, sf), base.tracks(spark, sf),
     )
 
 
@@ -222,7 +222,7 @@ def recent_jobs(spark, sf):
 
 @query("ordered_names", f"SELECT topic_id, title FROM {TOPICS} WHERE title <> '' ORDER BY title, topic_id LIMIT 2000")
 def ordered_names(spark, sf):
-    return curriculum.ordered_names(base.topics(spark, sf), "topic_id", "title")
+    return curriculum.ordered_names(base.topics(spark, sf), "topic_id", "title", limit=2000)
 
 
 @query("top_missing", f"""

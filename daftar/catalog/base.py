@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.functions.text import JS_SPACES
-from daftar.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,8 +36,7 @@ def query(name: str, sql: str | None = None, as_text: tuple[str, ...] = ()):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(df, "doc_id") if name == "documents" else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # --- SQL spellings of the text helpers ----------------------------------------
@@ -220,12 +218,14 @@ def mapped(spark, sf):
     )
 
 
+# Children of topics come from tables whose ids cover only a part of the part keys,
+# so that gaps are real and no filter is needed.
 def exercises(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_quantity = 50 AND l_returnflag = 'R'").select(F.col("l_partkey").alias("topic_id"))
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("topic_id"))
 
 
 def outlines(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_quantity < 3 AND l_returnflag = 'A'").select(F.col("l_partkey").alias("topic_id"))
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("topic_id"))
 
 
 def sections(spark, sf):
@@ -242,11 +242,13 @@ def tracks(spark, sf):
 
 
 def exams(spark, sf):
-    return _orders_customers(spark, sf).filter("o_totalprice > 499000").select("track_id")
+    """One exam per nation, for the track of its largest order; tracks that no nation picks have none."""
+    largest = F.max_by("track_id", F.struct("o_totalprice", "o_orderkey")).alias("track_id")
+    return _orders_customers(spark, sf).groupBy("c_nationkey").agg(largest).select("track_id")
 
 
 def track_subjects(spark, sf):
-    oc = _orders_customers(spark, sf).filter("o_totalprice > 490000").select("o_orderkey", "track_id")
+    oc = _orders_customers(spark, sf).select("o_orderkey", "track_id")
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
     return (
         oc.join(line, oc.o_orderkey == line.l_orderkey).join(part, line.l_partkey == part.p_partkey)
@@ -267,14 +269,14 @@ GRADES = "(SELECT s_suppkey AS grade_id, CASE WHEN s_nationkey < 5 THEN 'Bac ' |
 SUBJECTS = "(SELECT DISTINCT p_brand AS subject_id, p_brand AS name FROM part)"
 TOPICS = "(SELECT p_partkey AS topic_id, p_name AS title, p_brand AS subject_id, CAST(p_size AS BIGINT) AS grade_id FROM part)"
 MAPPED = "(SELECT DISTINCT l_suppkey AS grade_id, p_brand AS subject_id FROM lineitem JOIN part ON l_partkey = p_partkey)"
-EXERCISES = "(SELECT l_partkey AS topic_id FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R')"
-OUTLINES = "(SELECT l_partkey AS topic_id FROM lineitem WHERE l_quantity < 3 AND l_returnflag = 'A')"
+EXERCISES = "(SELECT doc_id AS topic_id FROM labels)"
+OUTLINES = "(SELECT o_custkey AS topic_id FROM orders)"
 SECTIONS = "(SELECT DISTINCT c_mktsegment AS section_id, c_mktsegment AS name FROM customer)"
 _OC = "(SELECT *, c_mktsegment || ':' || o_orderpriority AS track_id FROM orders JOIN customer ON o_custkey = c_custkey)"
 TRACKS = f"(SELECT DISTINCT track_id, c_mktsegment AS section_id, o_orderpriority AS name FROM {_OC})"
-EXAMS = f"(SELECT track_id FROM {_OC} WHERE o_totalprice > 499000)"
+EXAMS = f"(SELECT arg_max(track_id, (o_totalprice, o_orderkey)) AS track_id FROM {_OC} GROUP BY c_nationkey)"
 TRACK_SUBJECTS = f"""(SELECT DISTINCT track_id, p_brand AS subject_id FROM {_OC}
-  JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_totalprice > 490000)"""
+  JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
 # --- file names derived from the part table --------------------------------------------

@@ -336,13 +336,13 @@ def generate_qa(spark, sf):
 
 @query("qa_model_stage", f"""
 SELECT chunk_id, document_id AS grade_id, 0 AS pair_index, 'What does it say?' AS question, q AS answer FROM (
-  SELECT *, {s_trim("regexp_replace(left(content, 60), '[^\\p{L}\\p{N} ]', '', 'g')")} AS q FROM {CHUNKS} WHERE embedding_status = 'done') WHERE length(q) > 5""")
+  SELECT *, {s_trim("regexp_replace(content, '[^\\p{L}\\p{N} ]', '', 'g')")} AS q FROM {CHUNKS} WHERE embedding_status = 'done') WHERE length(q) > 5""")
 def qa_model_stage(spark, sf):
     """Question generation end to end with a function that quotes the text."""
     def factory():
         def fn(frame: pd.DataFrame) -> pd.DataFrame:
             def answer(t: str) -> str:
-                quote = "".join(ch for ch in (t or "")[:60] if ch.isalnum() or ch == " ")
+                quote = "".join(ch for ch in (t or "") if ch.isalnum() or ch == " ")
                 return '{"pairs":[{"question":"What does it say?","answer":"%s"}]}' % quote
             return pd.DataFrame({"answer_text": frame["content"].map(answer)})
         return fn
@@ -358,11 +358,11 @@ def qa_model_stage(spark, sf):
 @query("question_match", f"""
 SELECT query_id, question_id, answer, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, question_id) AS r FROM (
   SELECT q.vec_id AS query_id, c.vec_id AS question_id, 'a' || c.label AS answer, c.label AS chunk_id, round({s_cosine('q.embedding', 'c.embedding')}, 9) AS score
-  FROM embeddings q JOIN embeddings c ON c.label < 5)) WHERE r <= 2""")
+  FROM embeddings q, embeddings c)) WHERE r <= 2""")
 def question_match(spark, sf):
     e = table(spark, sf, "embeddings")
     asked = e.select(F.col("vec_id").alias("query_id"), "embedding")
-    stored = e.filter("label < 5").select(
+    stored = e.select(
         F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_embedding"), F.concat(F.lit("a"), F.col("label").cast("string")).alias("answer"), F.col("label").alias("chunk_id")
     )
     return retrieval.question_match(asked, stored, 2).drop("rank")

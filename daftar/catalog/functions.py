@@ -82,7 +82,7 @@ def detect_grade(spark, sf):
 
 
 _TYPE = "CASE " + " ".join(
-    f"WHEN regexp_matches(n, '(?i){names.type_pattern(t, chr(92) + 'b')}') THEN '{k}'" for k, t in names.TYPE_RULES
+    f"WHEN regexp_matches(n, '(?i){names.type_pattern(arabic, french, chr(92) + 'b')}') THEN '{k}'" for k, arabic, french in names.TYPE_WORDS
 ) + " ELSE 'unknown' END"
 
 
@@ -102,16 +102,16 @@ def detect_variant(spark, sf):
 
 def _topic_sql() -> str:
     x = s_re("n", f"(?i)(?:{_VAR})", "' '")
-    x = s_re(x, "تمارين|تمرين|فروض|فرض|درس|ملخص|تصحيح", "' '")
-    x = s_re(x, r"(?i)\b(?:exercices?|devoirs?|contr[oô]les?|cours|r[eé]sum[eé]s?|corrections?|corrig[eé]s?)\b", "' '")
-    x = s_re(x, rf"(?i)\b(?:unknown{names.S}*(?:grade|subject)|document)\b", "' '")
+    x = s_re(x, "|".join(arabic for _, arabic, _ in names.TYPE_WORDS), "' '")
+    x = s_re(x, rf"(?i)\b(?:{'|'.join(french for _, _, french in names.TYPE_WORDS)})\b", "' '")
+    x = s_re(x, rf"(?i)\b(?:{names.PLACEHOLDERS})\b", "' '")
     x = s_re(x, rf"\({WS}*[0-9]+{WS}*\)", "' '")
     for slug, _, patterns in names.GRADE_RULES:
         for p in patterns:
             p = p.replace("(?=$|", "(?:$|")
             x = _once(x, slug, p)
-    x = s_re(x, r"(?i)\b(?:pdf|doc|document)\b", "' '")
-    x = s_re(x, r"(?i)\b(?:ann[eé]e|primaire|college|coll[eè]ge)\b", "' '")
+    x = s_re(x, rf"(?i)\b(?:{names.FILE_WORDS})\b", "' '")
+    x = s_re(x, rf"(?i)\b(?:{names.GRADE_WORDS})\b", "' '")
     x = s_re(x, rf"(?i)\b[0-9]+{WS}*(?:e|eme|ème)\b", "' '")
     x = s_re(x, r"[-_–—]+", "' '")
     return f"nullif({s_trim(s_re(x, WS + '+', chr(39) + ' ' + chr(39)))}, '')"
@@ -150,7 +150,7 @@ def _sql_map(entries: dict[str, str], x: str) -> str:
     return "CASE " + x + " " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in entries.items()) + " END"
 
 
-_HINT_FILES = f"""(SELECT file_id, CASE WHEN file_id % 3 = 0 THEN '2bac-' WHEN file_id % 3 = 1 THEN 'premiere bac ' ELSE '' END ||
+_HINT_FILES = f"""(SELECT file_id, CASE file_id % 6 WHEN 0 THEN '2bac-' WHEN 3 THEN 'الأولى باك ' WHEN 1 THEN 'premiere bac ' WHEN 4 THEN 'première bac ' WHEN 2 THEN '1physique-' ELSE '' END ||
   CASE WHEN file_id % 5 = 0 THEN 'svt ' WHEN file_id % 5 = 1 THEN 'sciences vie ' ELSE '' END || filename AS filename FROM {FILENAMES})"""
 _FIRST = "list_filter(list_transform(parts, lambda p: {0}), lambda v: v IS NOT NULL)[1]"
 
@@ -162,7 +162,7 @@ def _phrases(kind: str, tokens: list[tuple[str, str]]) -> str:
     JOIN (VALUES {values}) a(t, c) ON t = phrase GROUP BY 1)"""
 
 
-_PHRASE_GRADES = [("premiere bac", "1ère année Bac"), ("premiere primaire", "1ère année primaire"), ("6eme primaire", "6ème année primaire"), ("2eme annee", "x")]
+_PHRASE_GRADES = [("premiere bac", "1ère année Bac"), ("الأولى باك", "1ère année Bac"), ("premiere primaire", "1ère année primaire"), ("6eme primaire", "6ème année primaire"), ("2eme annee", "x")]
 _PHRASE_SUBJECTS = [("sciences vie", names.LIFE), ("controle ring", "x")]
 
 
@@ -173,15 +173,16 @@ def _hint_aliases(spark):
 
 @query("parse_filename_hints", f"""
 WITH f AS (SELECT *, {_FIRST.format(_sql_map(names.GRADE_TOKENS, 'p'))} AS g1, {_FIRST.format(_sql_map(names.SUBJECT_TOKENS, 'p'))} AS s1 FROM (
-  SELECT file_id, filename, list_filter(string_split(regexp_replace(lower(regexp_replace(filename, '\\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '-'), lambda p: p <> '') AS parts FROM {_HINT_FILES})),
+  SELECT file_id, filename, list_filter(string_split(regexp_replace(strip_accents(lower(regexp_replace(filename, '\\.[^.]*$', ''))), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), lambda p: p <> '') AS parts FROM {_HINT_FILES})),
 g2 AS {_phrases('g2', _PHRASE_GRADES)}, s2 AS {_phrases('s2', _PHRASE_SUBJECTS)}
 SELECT file_id, filename,
-  coalesce(lower(coalesce(nullif(regexp_extract(filename, '(?i)[0-9]bac'), ''), nullif(regexp_extract(filename, '(?i)tcs'), ''), nullif(regexp_extract(filename, '(?i)[0-9]col'), ''), nullif(regexp_extract(filename, '(?i)[0-9]p'), ''))), g1, g2) AS grade_hint,
+  coalesce(lower(coalesce(nullif(regexp_extract(filename, '(?i)[0-9]bac'), ''), nullif(regexp_extract(filename, '(?i)tcs'), ''), nullif(regexp_extract(filename, '(?i)[0-9]col'), ''), nullif(regexp_extract(filename, '(?i)([0-9]p)(?:rim|[^\\p{{L}}]|$)', 1), ''))), g1, g2) AS grade_hint,
   nullif(regexp_extract(regexp_replace(filename, '\\.[^.]*$', ''), '^[^-]+'), '') AS topic_hint, coalesce(s1, s2) AS subject_hint
 FROM f LEFT JOIN g2 USING (file_id) LEFT JOIN s2 USING (file_id)""")
 def parse_filename_hints(spark, sf):
     i = F.col("file_id")
-    grade = F.when(i % 3 == 0, "2bac-").when(i % 3 == 1, "premiere bac ").otherwise("")
+    grade = F.try_element_at(names.literal_map({"0": "2bac-", "3": "الأولى باك ", "1": "premiere bac ", "4": "première bac ", "2": "1physique-"}), (i % 6).cast("string"))
+    grade = F.coalesce(grade, F.lit(""))
     subject = F.when(i % 5 == 0, "svt ").when(i % 5 == 1, "sciences vie ").otherwise("")
     files = base.filenames(spark, sf).withColumn("filename", F.concat(grade, subject, "filename"))
     return aliases.filename_hints(files, _hint_aliases(spark))
@@ -319,13 +320,13 @@ def url_hash(spark, sf):
 @query("build_prompt", f"""
 SELECT chunk_id, 'File: ' || md_filename || chr(10) || 'Grades to choose from: a, b' || chr(10) || 'Subjects to choose from: c' || chr(10) ||
   'Answer with one JSON object: grade_name, subject_name, title, language, quality_notes.' || chr(10) || 'Use null for a grade or subject that is not listed or not certain.' || chr(10) ||
-  'Text:' || chr(10) || left(content, 4000) AS classification,
+  'Text:' || chr(10) || content AS classification,
   'Grade: ' || coalesce(md_grade, 'unknown') || chr(10) || 'Subject: ' || coalesce(md_subject, 'unknown') || chr(10) || 'Title: ' || language || chr(10) || 'Pages: ' ||
   coalesce(CAST(chunk_index AS VARCHAR), '?') || '-?' || chr(10) || 'Flags: ' || CASE WHEN md_grade IS NULL THEN 'none' ELSE md_grade || ', x' END || chr(10) ||
   'Fix scanning damage only and mark added text with generated_content=true.' || chr(10) || 'Original:' || chr(10) || content || chr(10) || 'Current:' || chr(10) || content AS repair,
   'Grade: ' || coalesce(md_grade, 'unknown') || chr(10) || 'Subject: ' || coalesce(md_subject, 'unknown') || chr(10) || 'Write in ' ||
   CASE WHEN regexp_matches(content, '{AR}') THEN 'Arabic' WHEN regexp_matches(content, '(?i)[àâçéèêëîïôùûüœæ]') THEN 'French' ELSE 'the language of the text' END || '.' || chr(10) ||
-  'Write 3 questions with answers taken from the text, as JSON {{"pairs":[{{"question":"","answer":""}}]}}.' || chr(10) || 'Text:' || chr(10) || left(content, 2000) AS question
+  'Write 3 questions with answers taken from the text, as JSON {{"pairs":[{{"question":"","answer":""}}]}}.' || chr(10) || 'Text:' || chr(10) || content AS question
 FROM {CHUNKS}""")
 def build_prompt(spark, sf):
     c = base.chunks(spark, sf)

@@ -37,7 +37,7 @@ def alias_join(spark, sf):
 
 
 @query("alias_ngram_join", f"""
-WITH f AS (SELECT file_id, list_filter(string_split(regexp_replace(lower(regexp_replace(filename, '\\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '-'), lambda p: p <> '') AS parts FROM {FILENAMES}),
+WITH f AS (SELECT file_id, list_filter(string_split(regexp_replace(strip_accents(lower(regexp_replace(filename, '\\.[^.]*$', ''))), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-'), lambda p: p <> '') AS parts FROM {FILENAMES}),
 g AS (SELECT file_id, n, i, array_to_string(list_slice(parts, i, i + n - 1), ' ') AS phrase
   FROM f, (VALUES (3), (2), (1)) v(n), range(1, 20) r(i) WHERE i + n - 1 <= len(parts)),
 h AS (SELECT file_id, arg_min(canonical, row(3 - n, i)) AS canonical FROM g JOIN {_ALIASES} a ON a.token = phrase GROUP BY file_id)
@@ -252,20 +252,20 @@ def missing_combinations(spark, sf):
 
 @query("bridge_join", f"""
 SELECT g.grade_id, m.subject_id, coalesce(s.name, 'Unknown') AS child_name FROM {GRADES} g JOIN {MAPPED} m USING (grade_id)
-LEFT JOIN (SELECT * FROM {SUBJECTS} WHERE name <> 'Brand#7') s ON m.subject_id = s.subject_id""")
+LEFT JOIN {SUBJECTS} s ON m.subject_id = s.subject_id""")
 def bridge_join(spark, sf):
-    subjects = base.subjects(spark, sf).filter("name <> 'Brand#7'")
-    out = resolve.bridge_join(base.grades(spark, sf), "grade_id", base.mapped(spark, sf), subjects, "subject_id")
+    out = resolve.bridge_join(base.grades(spark, sf), "grade_id", base.mapped(spark, sf), base.subjects(spark, sf), "subject_id")
     return out.select("grade_id", "subject_id", "child_name")
 
 
 @query("hierarchy_flatten", f"""
 SELECT g.grade_id, g.name, coalesce(c.name, 'Unknown Cycle') AS cycle_name, coalesce(u.name, 'Unknown Curriculum') AS curriculum_name
-FROM (SELECT c_custkey AS grade_id, c_name AS name, c_nationkey AS cycle_id FROM customer) g
-LEFT JOIN {CYCLES} c ON g.cycle_id = c.cycle_id AND c.cycle_id <> 3 LEFT JOIN {CURRICULA} u ON c.curriculum_id = u.curriculum_id AND u.curriculum_id <> 1""")
+FROM (SELECT p_partkey AS grade_id, p_name AS name, p_size AS cycle_id FROM part) g
+LEFT JOIN {CYCLES} c ON g.cycle_id = c.cycle_id LEFT JOIN {CURRICULA} u ON c.curriculum_id = u.curriculum_id""")
 def hierarchy_flatten(spark, sf):
-    grades = table(spark, sf, "customer").select(F.col("c_custkey").alias("grade_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("cycle_id"))
-    return resolve.hierarchy_flatten(grades, base.cycles(spark, sf).filter("cycle_id <> 3"), base.curricula(spark, sf).filter("curriculum_id <> 1"))
+    # Sizes go up to 50 and cycles to 24, so half the grades have an unknown cycle.
+    grades = table(spark, sf, "part").select(F.col("p_partkey").alias("grade_id"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("cycle_id"))
+    return resolve.hierarchy_flatten(grades, base.cycles(spark, sf), base.curricula(spark, sf))
 
 
 @query("cosine_pairs", f"""
@@ -317,7 +317,7 @@ def subject_difference(spark, sf):
 def _inventory(spark, sf):
     return health.table_inventory({
         "bac_sections": base.sections(spark, sf), "bac_tracks": base.tracks(spark, sf), "chunks": base.chunks(spark, sf),
-        "topics": base.topics(spark, sf), "lessons": table(spark, sf, "orders").filter("o_orderstatus = 'none'"), "quizzes": None,
+        "topics": base.topics(spark, sf), "lessons": table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), "quizzes": None,
     })
 
 
@@ -325,14 +325,16 @@ def _inventory(spark, sf):
 SELECT table_name, row_count, missing, CASE WHEN missing THEN 'missing' WHEN row_count > 0 THEN 'populated' ELSE 'empty' END AS state FROM (
   SELECT 'bac_sections' AS table_name, count(*) AS row_count, false AS missing FROM {SECTIONS}
   UNION ALL SELECT 'bac_tracks', count(*), false FROM {TRACKS} UNION ALL SELECT 'chunks', count(*), false FROM documents
-  UNION ALL SELECT 'topics', count(*), false FROM part UNION ALL SELECT 'lessons', 0, false UNION ALL SELECT 'quizzes', 0, true)""")
+  UNION ALL SELECT 'topics', count(*), false FROM part UNION ALL SELECT 'lessons', count(*), false FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'quizzes', 0, true)""")
 def table_inventory(spark, sf):
     return _inventory(spark, sf)
 
 
 @query("inventory_todo", f"""
 SELECT 't_vector_gap' AS id, 'Embed Existing Chunks' AS task, 'high' AS severity WHERE (SELECT count(*) FROM {CHUNKS} WHERE embedding IS NULL) > 0
-UNION ALL SELECT 's-' || name, 'Add Tracks for ' || name, 'medium' FROM {SECTIONS} WHERE section_id NOT IN (SELECT section_id FROM {TRACKS} WHERE section_id <> 'BUILDING')""")
+UNION ALL SELECT 's-' || name, 'Add Tracks for ' || name, 'medium' FROM (SELECT * FROM {SECTIONS} UNION SELECT event_type, event_type FROM events)
+  WHERE section_id NOT IN (SELECT section_id FROM {TRACKS})""")
 def inventory_todo(spark, sf):
-    tracks = base.tracks(spark, sf).filter("section_id <> 'BUILDING'")
-    return health.inventory_todo(_inventory(spark, sf), base.chunks(spark, sf), base.sections(spark, sf), tracks)
+    # Event types are sections, too, and have no track.
+    kinds = table(spark, sf, "events").select(F.col("event_type").alias("section_id"), F.col("event_type").alias("name")).distinct()
+    return health.inventory_todo(_inventory(spark, sf), base.chunks(spark, sf), base.sections(spark, sf).unionByName(kinds), base.tracks(spark, sf))

@@ -19,10 +19,11 @@ def ingest_stream(spark, sf):
     return flows.run_to_table(docs, "ingested")
 
 
-@query("stream_dedup", "SELECT DISTINCT md5(text) AS content_hash FROM documents")
+@query("stream_dedup", "SELECT DISTINCT md5(props) AS content_hash FROM events")
 def stream_dedup(spark, sf):
-    docs = flows.table_stream(spark, sf, "documents.parquet").select(F.md5("text").alias("content_hash"))
-    return flows.run_to_table(flows.stream_dedup(docs, ["content_hash"]), "dedup")
+    # The log spans 30 days; keys older than that are forgotten.
+    rows = _events(spark, sf).select(F.md5("props").alias("content_hash"), "ts")
+    return flows.run_to_table(flows.stream_dedup(rows, ["content_hash"], "ts", "31 days").select("content_hash"), "dedup")
 
 
 _CLAIMS = """(SELECT user_id AS chunk_id, ts, event_type = 'view' AS claim, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt, (SELECT max(ts) FROM events) AS newest FROM events)"""
@@ -36,7 +37,9 @@ _EXPIRED = f"""SELECT chunk_id, ts AS claimed_at, 'pending' AS status FROM {_CLA
 WHERE claim AND CASE WHEN nxt IS NULL THEN newest - ts >= INTERVAL 10 MINUTE ELSE nxt - ts > INTERVAL 10 MINUTE END"""
 
 
-@query("stream_claim_timeout", _EXPIRED)
+# The stream knows what happened up to its watermark, 10 minutes before the newest event.
+@query("stream_claim_timeout", f"""SELECT chunk_id, ts AS claimed_at, 'pending' AS status FROM {_CLAIMS}
+WHERE claim AND ts + INTERVAL 10 MINUTE <= newest - INTERVAL 10 MINUTE AND (nxt IS NULL OR nxt - ts > INTERVAL 10 MINUTE)""")
 def stream_claim_timeout(spark, sf):
     return flows.run_to_table(flows.stream_claim_timeout(_claim_log(_events(spark, sf))), "claims")
 
@@ -50,7 +53,7 @@ def expired_claims(spark, sf):
 @query("stream_status_counts", "SELECT event_type AS status, count(*) AS total FROM events GROUP BY 1")
 def stream_status_counts(spark, sf):
     counts = flows.stream_status_counts(_events(spark, sf).withColumnRenamed("event_type", "status"))
-    return flows.latest_updates(flows.run_to_table(counts, "counts", "complete"), "status")
+    return flows.latest_updates(flows.run_to_table(counts, "counts", "update"), "status")
 
 
 @query("stream_upsert", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -59,12 +62,13 @@ def stream_upsert(spark, sf):
     path = scratch_path(spark, "upsert")
     version = [F.col("ts").desc(), F.col("event_id").desc()]
     flows.stream_upsert(log, path, path + "-checkpoint", ["user_id"], version).awaitTermination()
-    return flows.upserted(spark, path, ["user_id"], version).select("user_id", "event_id", "event_type")
+    flows.compact(spark, path, path + "-table", ["user_id"], version)
+    return spark.read.parquet(path + "-table/batch_id=-1").select("user_id", "event_id", "event_type")
 
 
-@query("stream_job_state", "SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS ts FROM events GROUP BY 1")
+@query("stream_job_state", "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY 1")
 def stream_job_state(spark, sf):
-    jobs = _events(spark, sf).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts")
+    jobs = _events(spark, sf).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts", "event_id")
     return flows.latest_updates(flows.run_to_table(flows.stream_job_state(jobs), "jobs", "update"), "job_id")
 
 

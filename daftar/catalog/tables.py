@@ -179,7 +179,7 @@ def register_documents(spark, sf):
 SELECT chunk_id, document_id, repair_status, quality_score, updated_at FROM {CHUNKS}
 WHERE repair_status = 'clean' AND quality_score >= 0.9 ORDER BY updated_at DESC NULLS LAST, chunk_id LIMIT 500""")
 def filter_chunks(spark, sf):
-    return filters.filter_chunks(chunks(spark, sf), status="clean", min_quality=0.9).select(
+    return filters.filter_chunks(chunks(spark, sf), status="clean", min_quality=0.9, limit=500).select(
         "chunk_id", "document_id", "repair_status", "quality_score", "updated_at"
     )
 
@@ -256,7 +256,7 @@ def distinct_grades(spark, sf):
 
 @query("vector_gap", f"SELECT chunk_id FROM {CHUNKS} WHERE embedding IS NULL ORDER BY chunk_id LIMIT 100")
 def vector_gap(spark, sf):
-    return filters.vector_gap(chunks(spark, sf)).select("chunk_id")
+    return filters.vector_gap(chunks(spark, sf), limit=100).select("chunk_id")
 
 
 @query("enum_check", f"""
@@ -291,7 +291,8 @@ def ocr_logs(spark, sf):
 @query("preview_text", f"""
 SELECT document_id, left(string_agg(text, chr(10) ORDER BY page_number), 5000) AS preview FROM {PAGES} GROUP BY document_id""")
 def preview_text(spark, sf):
-    return page_source.preview_text(pages(spark, sf))
+    # Numbers with wide gaps: only their order may count.
+    return page_source.preview_text(pages(spark, sf).withColumn("page_number", F.col("page_number") * 7919))
 
 
 @query("extraction_mode", f"""

@@ -75,13 +75,13 @@ def latest_per_key(spark, sf):
 
 
 @query("backfill_classification", f"""
-WITH p AS (SELECT document_id, page_number, left(text, 3) AS grade, right(text, 3) AS subject, length(text) >= 200 AS ok FROM {PAGES}),
+WITH p AS (SELECT document_id, page_number, md5(text) AS grade, sha256(text) AS subject, length(text) >= 200 AS ok FROM {PAGES}),
 c AS (SELECT document_id, arg_min(grade, page_number) AS grade, arg_min(subject, page_number) AS subject FROM p WHERE ok GROUP BY 1)
 SELECT p.document_id, p.page_number, c.grade, c.subject FROM p JOIN c USING (document_id)""")
 def backfill_classification(spark, sf):
     text = F.col("text")
     rows = base.pages(spark, sf).select(
-        "document_id", "page_number", F.left(text, F.lit(3)).alias("grade"), F.right(text, F.lit(3)).alias("subject"), (F.length(text) >= 200).alias("is_valid")
+        "document_id", "page_number", F.md5(text).alias("grade"), F.sha2(text, 256).alias("subject"), (F.length(text) >= 200).alias("is_valid")
     )
     return health.backfill_classification(rows).drop("is_valid")
 

@@ -82,7 +82,7 @@ def _known(c: Column, absent: str = "unknown") -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(absent))
 
 
-def classification_prompt(filename: Column, preview: Column, grades: Column, subjects: Column, chars: int = 4000) -> Column:
+def classification_prompt(filename: Column, preview: Column, grades: Column, subjects: Column) -> Column:
     """Ask for grade, subject, title and language out of closed lists."""
     return F.concat_ws(
         "\n",
@@ -91,7 +91,7 @@ def classification_prompt(filename: Column, preview: Column, grades: Column, sub
         F.concat(F.lit("Subjects to choose from: "), F.array_join(subjects, ", ")),
         F.lit("Answer with one JSON object: grade_name, subject_name, title, language, quality_notes."),
         F.lit("Use null for a grade or subject that is not listed or not certain."),
-        F.concat(F.lit("Text:\n"), F.left(preview, F.lit(chars))),
+        F.concat(F.lit("Text:\n"), preview),
     )
 
 
@@ -121,7 +121,7 @@ def format_prompt(subject: Column, text: Column) -> Column:
     )
 
 
-def question_prompt(grade: Column, subject: Column, content: Column, n: int = 3, chars: int = 2000) -> Column:
+def question_prompt(grade: Column, subject: Column, content: Column, n: int = 3) -> Column:
     language = F.coalesce(prompt_language(content), F.lit("the language of the text"))
     return F.concat_ws(
         "\n",
@@ -129,5 +129,5 @@ def question_prompt(grade: Column, subject: Column, content: Column, n: int = 3,
         F.concat(F.lit("Subject: "), _known(subject)),
         F.concat(F.lit("Write in "), language, F.lit(".")),
         F.lit(f'Write {n} questions with answers taken from the text, as JSON {{"pairs":[{{"question":"","answer":""}}]}}.'),
-        F.concat(F.lit("Text:\n"), F.left(content, F.lit(chars))),
+        F.concat(F.lit("Text:\n"), content),
     )

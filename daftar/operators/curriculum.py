@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daftar.operators.resolve import missing_children
+from daftar.operators.resolve import with_every
 from daftar.operators.skew import keep_first
-
-
+from daftar.session import durable
 
 
 def coverage_score(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
@@ -70,15 +69,12 @@ def subject_difference(mapped: DataFrame, topics: DataFrame) -> DataFrame:
     return mapped.join(topics.select("grade_id", "subject_id").distinct(), ["grade_id", "subject_id"], "left_anti")
 
 
-def _missing_names(missing: DataFrame, n: int, key: str, label: str) -> DataFrame:
-    """Count and the first ``n`` labels per grade; the list is bounded by ``n``."""
-    total = missing.groupBy("grade_id").agg(F.count("*").alias("n_missing"))
+def _first_names(missing: DataFrame, n: int, key: str, label: str, output: str) -> DataFrame:
+    """The first ``n`` labels per grade; the list is bounded by ``n``."""
     first = keep_first(missing, ["grade_id"], [F.col(key)], n)
     pair = F.struct(F.col(key), F.col(label).alias("l"))
-    names = first.groupBy("grade_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["l"]), " | ").alias("first_missing")
-    )
-    return total.join(names, "grade_id")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["l"]), " | ")
+    return first.groupBy("grade_id").agg(joined.alias(output))
 
 
 def planner_steps(grades: DataFrame, mapped: DataFrame, subjects: DataFrame, topics: DataFrame, outlines: DataFrame, exercises: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -88,23 +84,28 @@ def planner_steps(grades: DataFrame, mapped: DataFrame, subjects: DataFrame, top
     name), topics(topic_id, title, grade_id, subject_id), outlines/exercises(topic_id).
     """
     named = subjects.select("subject_id", F.col("name").alias("subject_name"))
-    known = topics.join(named, "subject_id")
     links = mapped.groupBy("grade_id").agg(F.count("*").alias("n_subjects"))
-    counts = known.groupBy("grade_id").agg(F.count("*").alias("n_topics"), F.countDistinct("subject_name").alias("n_topic_subjects"))
-
-    gap_subjects = subject_difference(mapped, topics).join(named, "subject_id")
-    m2 = _missing_names(gap_subjects, 5, "subject_id", "subject_name").withColumnsRenamed({"n_missing": "m2", "first_missing": "f2"})
 
-    def children(rows: DataFrame, n: str, m: str, f: str) -> DataFrame:
-        topic_rows = known.select("topic_id", "grade_id")
-        per = rows.groupBy("topic_id").agg(F.count("*").alias("_r")).join(topic_rows, "topic_id")
-        total = per.groupBy("grade_id").agg(F.sum("_r").alias(n))
-        gap = known.select("grade_id", "topic_id", F.concat_ws(": ", "subject_name", "title").alias("label"))
-        gap = _missing_names(missing_children(gap, rows, "topic_id"), 5, "topic_id", "label")
-        return total.join(gap.withColumnsRenamed({"n_missing": m, "first_missing": f}), "grade_id", "full")
+    def per_topic(rows: DataFrame, n: str) -> DataFrame:
+        return rows.groupBy("topic_id").agg(F.count("*").alias(n))
 
+    # One row per topic with its numbers of children, written once for the three uses below.
+    known = durable(
+        topics.join(named, "subject_id").join(per_topic(outlines, "_o"), "topic_id", "left").join(per_topic(exercises, "_e"), "topic_id", "left")
+        .select("grade_id", "topic_id", "subject_name", "_o", "_e", F.concat_ws(": ", "subject_name", "title").alias("label")),
+        "topics",
+    )
+    counts = known.groupBy("grade_id").agg(
+        F.count("*").alias("n_topics"), F.countDistinct("subject_name").alias("n_topic_subjects"), F.sum("_o").alias("n_outlines"), F.sum("_e").alias("n_exercises"),
+        F.count_if(F.col("_o").isNull()).alias("m3"), F.count_if(F.col("_e").isNull()).alias("m4"),
+    )
+    gap = durable(subject_difference(mapped, topics).join(named, "subject_id"), "gaps")
+    parts = (
+        links, counts, gap.groupBy("grade_id").agg(F.count("*").alias("m2")), _first_names(gap, 5, "subject_id", "subject_name", "f2"),
+        _first_names(known.filter("_o IS NULL"), 5, "topic_id", "label", "f3"), _first_names(known.filter("_e IS NULL"), 5, "topic_id", "label", "f4"),
+    )
     df = grades.select("grade_id", "name")
-    for part in (links, counts, m2, children(outlines, "n_outlines", "m3", "f3"), children(exercises, "n_exercises", "m4", "f4")):
+    for part in parts:
         df = df.join(part, "grade_id", "left")
     df = df.fillna(0, ["n_subjects", "n_topics", "n_topic_subjects", "m2", "m3", "m4", "n_outlines", "n_exercises"])
     df = df.withColumn("n_tracks", tracks.agg(F.count("*")).scalar())
@@ -170,9 +171,8 @@ def curriculum_nodes(curricula: DataFrame, cycles: DataFrame, grades: DataFrame,
             F.coalesce("_sname", F.lit("Unknown")).alias("name"), s("grade_id").alias("grade"), s("subject_id").alias("subject"),
         )
     )
-    # Every Bac grade shows every section; the section list is a small dimension.
-    every = sections.agg(F.collect_list(F.struct("section_id", F.col("name").alias("section_name")))).scalar()
-    sec = grd.filter(is_bac(F.col("name"))).select("grade_id", "_path", F.explode(every).alias("_s")).select("grade_id", "_path", "_s.*")
+    # Every Bac grade shows every section.
+    sec = with_every(grd.filter(is_bac(F.col("name"))).select("grade_id", "_path"), sections.select("section_id", F.col("name").alias("section_name")), "section_id")
     sec = sec.withColumn("_sec", F.concat_ws("/", "_path", s("section_id")))
     fourth = sec.select(F.col("_sec").alias("path"), F.col("_path").alias("parent_path"), F.lit("section").alias("type"), F.col("section_name").alias("name"), s("grade_id").alias("grade"), empty.alias("subject"))
     trk = sec.join(tracks.select("track_id", "section_id", F.col("name").alias("_tname")), "section_id").withColumn("_trk", F.concat_ws("/", "_sec", s("track_id")))
@@ -216,9 +216,10 @@ def node_tasks(nodes: DataFrame, topics: DataFrame) -> DataFrame:
     return df.select("path", "type", F.explode(tasks).alias("k")).select("path", "type", "k.*")
 
 
-def ordered_names(dim: DataFrame, key: str, name: str = "name", limit: int = 2000) -> DataFrame:
-    """Option list sorted by name; the limit is the length of the list shown."""
-    return dim.filter(F.col(name) != "").orderBy(name, key).limit(limit).select(key, name)
+def ordered_names(dim: DataFrame, key: str, name: str = "name", limit: int | None = None) -> DataFrame:
+    """Option list sorted by name; a list box passes the length it shows."""
+    rows = dim.filter(F.col(name) != "").orderBy(name, key)
+    return (rows if limit is None else rows.limit(limit)).select(key, name)
 
 
 def recent(df: DataFrame, at: str, key: str, n: int) -> DataFrame:

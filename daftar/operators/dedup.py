@@ -46,8 +46,9 @@ def dedup_global(chunks: DataFrame, key: str = "chunk_id", hot_rows: int | None
 
 
 def keep_first_copy(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Only the surviving row of each hash."""
-    return keep_first(chunks, ["content_hash"], [F.col(key)])
+    """Only the surviving row of each hash; rows without a hash all stay."""
+    hashed = F.col("content_hash").isNotNull()
+    return keep_first(chunks.filter(hashed), ["content_hash"], [F.col(key)]).unionByName(chunks.filter(~hashed))
 
 
 def dedup_against_store(new: DataFrame, store: DataFrame, key: str = "chunk_id") -> DataFrame:

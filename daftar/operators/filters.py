@@ -22,9 +22,9 @@ def filter_chunks(
     min_quality: float | None = None,
     ocr: bool | None = None,
     duplicate: bool | None = None,
-    limit: int | None = 500,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Chunks meeting every given condition, newest first."""
+    """Chunks meeting every given condition; the ``limit`` newest, if one is given."""
     equal = {
         "document_id": document_id, "grade_id": grade_id, "subject_id": subject_id,
         "repair_status": status, "ocr_detected": ocr, "is_duplicate": duplicate,
@@ -93,8 +93,8 @@ def distinct_grades(df: DataFrame) -> DataFrame:
     return df.select("detected_grade").filter(F.col("detected_grade").isNotNull()).distinct()
 
 
-def vector_gap(df: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Chunks without a vector; the limit is the page size of the listing."""
+def vector_gap(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Chunks without a vector; a listing passes its page size."""
     gap = df.filter(F.col("embedding").isNull())
     return gap if limit is None else gap.orderBy("chunk_id").limit(limit)
 

@@ -213,16 +213,41 @@ def missing_children(parents: DataFrame, children: DataFrame, key: str) -> DataF
     return parents.join(children.select(key).distinct(), key, "left_anti")
 
 
+#: Keys in a bucket, on average, where rows of one table visit all keys of another.
+BUCKET_KEYS = 1000
+
+
+def buckets_for(keys: DataFrame) -> int:
+    return max(1, -(-keys.count() // BUCKET_KEYS))
+
+
+def bucket_of(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_bucket")
+
+
+def with_every(a: DataFrame, b: DataFrame, b_key: str) -> DataFrame:
+    """Every row of ``a`` with every row of ``b``, where that is the result asked for.
+
+    Rows of ``a`` visit the buckets of ``b``; neither side is collected.
+    """
+    n = buckets_for(b)
+    visits = a.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return visits.join(b.withColumn("_bucket", bucket_of(b_key, n)), "_bucket").drop("_bucket")
+
+
 def missing_combinations(a: DataFrame, a_key: str, b: DataFrame, b_key: str, existing: DataFrame, limit: int | None = None) -> DataFrame:
     """(a, b) pairs absent from ``existing``.
 
-    Each ``a`` row takes the difference of the key list of ``b`` (a dimension) and
-    the distinct keys it already has, so only missing pairs are produced.
+    The keys of ``b`` are dealt to buckets of about ``BUCKET_KEYS``.  Each ``a`` row
+    visits every bucket and takes the difference to the keys it already has there,
+    so only missing pairs are produced and no list grows with the tables.
     """
-    universe = b.agg(F.array_sort(F.collect_set(b_key)).alias("u"))
-    have = existing.groupBy(a_key).agg(F.collect_set(b_key).alias("_have"))
-    rows = a.select(a_key).distinct().join(have, a_key, "left")
-    gap = F.array_except(universe.scalar(), F.coalesce("_have", F.array().cast(existing.select(F.collect_set(b_key)).schema[0].dataType)))
+    n = buckets_for(b)
+    universe = b.select(b_key).filter(F.col(b_key).isNotNull()).groupBy(bucket_of(b_key, n)).agg(F.collect_set(b_key).alias("_all"))
+    have = existing.groupBy(a_key, bucket_of(b_key, n)).agg(F.collect_set(b_key).alias("_have"))
+    visits = a.select(a_key).distinct().withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = visits.join(universe, "_bucket").join(have, [a_key, "_bucket"], "left")
+    gap = F.when(F.col("_have").isNull(), F.col("_all")).otherwise(F.array_except("_all", "_have"))
     out = rows.select(a_key, F.explode(gap).alias(b_key))
     return out if limit is None else out.orderBy(a_key, b_key).limit(limit)
 

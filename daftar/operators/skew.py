@@ -22,6 +22,13 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: i
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def any_null(keys: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for k in keys:
+        out = out | F.col(k).isNull()
+    return out
+
+
 def lookup_per_key(
     rows: DataFrame,
     per_key: DataFrame,

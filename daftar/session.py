@@ -108,13 +108,3 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table of few files over all cores before heavy text work.
-
-    A table of many files is read in parallel as it is and stays unshuffled; the
-    test tables are one file with one row group, hence one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)

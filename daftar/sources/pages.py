@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.functions.text import LOW_TEXT, collapse_spaces, normalize_content
+from daftar.operators.skew import keep_first
 
 
 def page_scan(docs: DataFrame, key: str = "document_id", text: str = "text", separator: str = "\f", keep_newlines: bool = False) -> DataFrame:
@@ -63,10 +64,11 @@ def ocr_logs(pages: DataFrame, key: str = "document_id") -> DataFrame:
 def preview_text(pages: DataFrame, key: str = "document_id", n: int = 5000) -> DataFrame:
     """The first ``n`` characters of the page texts joined by newlines.
 
-    Every page adds at least the joining newline, so pages past ``n + 1`` cannot
-    contribute: what is collected per document is bounded.
+    Page numbers may start anywhere and have gaps.  A page adds one character at
+    least, so of each document the first ``n + 1`` pages in order are enough; the
+    rank filter runs before the shuffle and bounds what meets per document.
     """
-    head = pages.filter(F.col("page_number") <= n + 1)
-    part = F.struct("page_number", F.left("text", F.lit(n)).alias("text"))
+    head = keep_first(pages.select(key, "page_number", F.left("text", F.lit(n)).alias("text")), [key], [F.col("page_number")], n + 1)
+    part = F.struct("page_number", "text")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n")
     return head.groupBy(key).agg(F.left(joined, F.lit(n)).alias("preview"))

@@ -7,22 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daftar.operators.skew import keep_first
+from daftar.operators.skew import any_null, keep_first
 
 
 def insert_if_absent(new: DataFrame, store: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Rows of ``new`` to append: first per key, keys already stored left out."""
-    return keep_first(new, key, order).join(store.select(*key).distinct(), list(key), "left_anti")
+    """Rows of ``new`` to append: first per key, keys already stored left out.
+
+    As in a unique index, a null in the key equals nothing: such rows all stay.
+    """
+    keyless = any_null(key)
+    fresh = keep_first(new.filter(~keyless), key, order).join(store.select(*key).distinct(), list(key), "left_anti")
+    return fresh.select(*new.columns).unionByName(new.filter(keyless))
 
 
 def upsert(new: DataFrame, store: DataFrame, key: Sequence[str], version: Sequence[Column]) -> DataFrame:
     """The table after inserting or overwriting by key.
 
     ``version`` orders the rows of one key, latest first; on equal versions the
-    new row wins over the stored one.
+    new row wins over the stored one.  Rows with a null in the key equal nothing
+    and all stay.
     """
     both = new.withColumn("_new", F.lit(1)).unionByName(store.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-    return keep_first(both, key, [*version, F.col("_new").desc()]).drop("_new")
+    keyless = any_null(key)
+    keyed = keep_first(both.filter(~keyless), key, [*version, F.col("_new").desc()])
+    return keyed.unionByName(both.filter(keyless)).drop("_new")
 
 
 def sync_delta(local: DataFrame, remote: DataFrame) -> tuple[DataFrame, DataFrame]:

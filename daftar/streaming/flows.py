@@ -79,7 +79,12 @@ def stream_dedup(stream: DataFrame, key: Sequence[str], at: str | None = None, d
 
 
 class ClaimTimeout(StatefulProcessor):
-    """Per chunk: a claim not followed by another event in time is given back."""
+    """Per chunk: a claim not followed by another event in time is given back.
+
+    Rows may come in any order within the watermark's delay: they wait, one by
+    one, in the state until the watermark has passed them, and are then taken in
+    the order of their times.  What waits per chunk is bounded by the delay.
+    """
 
     def __init__(self, minutes: int) -> None:
         self.limit = pd.Timedelta(minutes=minutes)
@@ -87,31 +92,47 @@ class ClaimTimeout(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.claim = handle.getValueState("claim", "claimed_at timestamp")
-
-    def _drop_timers(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        self.waiting = handle.getListState("waiting", "ts timestamp, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        held = self.claim.get()[0] if self.claim.exists() else None
-        expired = []
-        for status, ts in zip(events["status"], events["ts"]):
+        for frame in rows:
+            new = [(ts.to_pydatetime(), status) for ts, status in zip(frame["ts"], frame["status"])]
+            if new:
+                self.waiting.appendList(new)
+        yield self._released(key, self._advance(timerValues))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._released(key, self._advance(timerValues))
+
+    def _advance(self, timerValues) -> list:
+        """Take all rows up to the watermark; the claims that ran out on the way."""
+        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        rows = sorted((pd.Timestamp(ts), status or "") for ts, status in self.waiting.get()) if self.waiting.exists() else []
+        held = pd.Timestamp(self.claim.get()[0]) if self.claim.exists() else None
+        later, expired = [], []
+        for ts, status in rows:
+            if ts > now:
+                later.append((ts.to_pydatetime(), status))
+                continue
             if held is not None and ts > held + self.limit:
                 expired.append(held)
             held = ts if status == "processing" else None
-        self._drop_timers()
-        if held is None:
-            self.claim.clear()
-        else:
-            self.claim.update((held.to_pydatetime() if hasattr(held, "to_pydatetime") else held,))
-            self.handle.registerTimer(int((pd.Timestamp(held) + self.limit).timestamp() * 1000))
-        yield self._released(key, expired)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = [self.claim.get()[0]] if self.claim.exists() else []
+        if held is not None and held + self.limit <= now:
+            expired.append(held)
+            held = None
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
         self.claim.clear()
-        yield self._released(key, held)
+        if held is not None:
+            self.claim.update((held.to_pydatetime(),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        wake = [pd.Timestamp(later[0][0])] if later else []
+        wake += [held + self.limit] if held is not None else []
+        if wake:
+            self.handle.registerTimer(int(min(wake).timestamp() * 1000))
+        return expired
 
     def _released(self, key, claims) -> pd.DataFrame:
         return pd.DataFrame({
@@ -124,11 +145,12 @@ class ClaimTimeout(StatefulProcessor):
         pass
 
 
-def stream_claim_timeout(stream: DataFrame, minutes: int = 10, delay: str = "0 seconds") -> DataFrame:
+def stream_claim_timeout(stream: DataFrame, minutes: int = 10, delay: str = "10 minutes") -> DataFrame:
     """Claims returned to pending: stream(chunk_id, status, ts) in event time.
 
-    The claim expires when the next event of the chunk, or the watermark, passes
-    the timeout.  Needs the RocksDB state store.
+    The claim expires when the watermark has passed the timeout and no event of
+    the chunk lies between; rows later than ``delay`` are dropped.  Needs the
+    RocksDB state store.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     key = stream.schema["chunk_id"].dataType.simpleString()
@@ -192,9 +214,9 @@ def compact(spark: SparkSession, path: str, out: str, key: Sequence[str], versio
     upserted(spark, path, key, version).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
 
 
-def stream_job_state(stream: DataFrame) -> DataFrame:
-    """Latest status per job."""
-    return stream.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+def stream_job_state(stream: DataFrame, tie: str = "event_id") -> DataFrame:
+    """Latest status per job; of rows at one time the one with the largest ``tie``."""
+    return stream.groupBy("job_id").agg(F.max_by("status", F.struct("ts", tie)).alias("status"), F.max("ts").alias("ts"))
 
 
 def latest_updates(updates: DataFrame, key: str) -> DataFrame:

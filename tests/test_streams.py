@@ -49,12 +49,16 @@ def test_claim_timeout_over_batches(spark, tmp_path):
 
     first = [(1, "processing", at(0)), (2, "processing", at(1)), (2, "done", at(5)), (3, "processing", at(2)), (3, "done", at(20))]
     second = [(4, "processing", at(30)), (1, "done", at(31)), (5, "done", at(60))]
-    write(spark, src, first, schema)
-    write(spark, src, second, schema)
-    batch = spark.createDataFrame(first + second, schema)
+    # The later rows come first; the last file lets the watermark pass all others.
+    last = [(6, "done", at(300))]
+    for rows in (second, first, last):
+        write(spark, src, rows, schema)
+    batch = spark.createDataFrame(first + second + last, schema)
     want = sorted((r.chunk_id, r.claimed_at) for r in flows.expired_claims(batch).collect())
-    stream = flows.table_stream(spark, str(src), "*.parquet")
-    got = sorted((r.chunk_id, r.claimed_at) for r in flows.run_to_table(flows.stream_claim_timeout(stream), "claims").collect())
+    stream = flows.table_stream(spark, str(src), "*.parquet", files_per_trigger=1)
+    got = sorted((r.chunk_id, r.claimed_at) for r in flows.run_to_table(flows.stream_claim_timeout(stream, delay="6 hours"), "late").collect())
+    assert got == []  # nothing is certain yet
+    got = sorted((r.chunk_id, r.claimed_at) for r in flows.run_to_table(flows.stream_claim_timeout(stream, delay="3 hours"), "claims").collect())
     assert got == want == [(1, at(0)), (3, at(2)), (4, at(30))]
 
 
