@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daftar.functions import names
@@ -121,15 +121,30 @@ def alias_ngram_join(df: DataFrame, index: DataFrame, key: str, parts: str, kind
 def alias_fuzzy_join(df: DataFrame, index: DataFrame, column: str, kind: str, output: str, max_dist: int = 2) -> DataFrame:
     """Nearest spelling within ``max_dist`` edits for tokens of three or more characters.
 
-    Distinct tokens are matched once.  Two strings within distance d differ in
-    length by at most d, so the dictionary is keyed by every length it can serve
-    and joined on that; the bounded Levenshtein test runs inside the join.
+    Distinct tokens are matched once.  A spelling cut into ``max_dist + 1`` segments
+    keeps one of them whole under ``max_dist`` edits, shifted by as many places at
+    most; words and spellings meet on such a segment, and the bounded Levenshtein
+    test runs on what has met.
     """
     tokens = df.select(F.col(column).alias("_word")).filter(F.length("_word") >= 3).distinct()
-    band = F.explode(F.sequence(F.length("_token") - max_dist, F.length("_token") + max_dist))
-    table = _of_kind(index, kind).withColumn("_len", band)
+    cut = F.explode(F.sequence(F.lit(0), F.lit(max_dist))).alias("_seg")
+
+    def edge(seg: Column) -> Column:
+        return F.floor(seg * F.col("_len") / F.lit(max_dist + 1)).cast("int")
+
+    def segment(text: str, at: Column) -> Column:
+        return F.col(text).substr(at + 1, F.col("_size")).alias("_piece")
+
+    start, size = edge(F.col("_seg")), edge(F.col("_seg") + 1) - edge(F.col("_seg"))
+    spellings = _of_kind(index, kind).withColumn("_len", F.length("_token")).select("*", cut).withColumn("_size", size)
+    table = spellings.select("_token", "_canonical", "_ord", "_len", "_seg", segment("_token", start))
+    n = F.length("_word")
+    places = tokens.select("_word", F.explode(F.sequence(F.greatest(n - max_dist, F.lit(1)), n + max_dist)).alias("_len")).select("*", cut).withColumn("_size", size)
+    places = places.select("*", F.explode(F.sequence(start - max_dist, start + max_dist)).alias("_at")).filter((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= n))
+    keys = places.select("_word", "_len", "_seg", segment("_word", F.col("_at"))).distinct()
+    met = keys.join(table, ["_len", "_seg", "_piece"]).select("_word", "_token", "_canonical", "_ord").distinct()
     distance = F.levenshtein("_word", "_token", max_dist)
-    near = tokens.join(table, (F.length("_word") == F.col("_len")) & (distance >= 0))
+    near = met.filter(distance >= 0)
     best = near.groupBy("_word").agg(F.min_by("_canonical", F.struct(distance, "_ord")).alias(output))
     return df.join(best, F.col(column) == F.col("_word"), "left").drop("_word")
 
