@@ -52,9 +52,9 @@ def status_missing_report(spark, sf):
 @query("ingest_counters", f"""
 SELECT document_id, count(*) FILTER (WHERE content_hash IS NOT NULL) AS inserted,
   count(*) FILTER (WHERE content_hash IS NOT NULL AND embedding IS NOT NULL) AS embedded,
-  count(*) FILTER (WHERE content_hash IS NULL) AS skipped FROM {CHUNKS} GROUP BY 1""")
+  count(*) FILTER (WHERE content_hash IS NULL AND is_active) AS skipped, count(*) FILTER (WHERE content_hash IS NULL AND NOT is_active) AS skipped_short FROM {CHUNKS} GROUP BY 1""")
 def ingest_counters(spark, sf):
-    rows = base.chunks(spark, sf).withColumn("outcome", F.when(F.col("content_hash").isNotNull(), "inserted").otherwise("skipped"))
+    rows = base.chunks(spark, sf).withColumn("outcome", F.when(F.col("content_hash").isNotNull(), "inserted").when(F.col("is_active"), "skipped").otherwise("skipped_short"))
     return health.ingest_counters(rows, "document_id")
 
 

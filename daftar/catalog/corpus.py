@@ -440,6 +440,29 @@ def ingest_corpus(spark, sf):
     return rows.select("file_id", "chunk_index", "chunk_size", "content_hash", "source_id", "grade_hint", "subject_hint", "embedding_status")
 
 
+@query("ingest_corpus_counters", f"""
+WITH w AS (
+  SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY md5(doc_id || ':' || chunk_index)) = 1
+    AND content_hash NOT IN (SELECT content_hash FROM {CHUNKS} WHERE content_hash IS NOT NULL) AS fresh FROM (
+    SELECT doc_id, md5(content) AS content_hash, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index
+    FROM {_WINDOWS} JOIN documents d USING (doc_id) WHERE length(content) >= 100 AND length({s_trim('d.text')}) >= 50))
+SELECT {_NAME} || '.pdf' AS filename, count(*) FILTER (WHERE fresh) AS inserted, count(*) FILTER (WHERE fresh) AS embedded,
+  count(*) FILTER (WHERE NOT fresh) AS skipped, count(*) FILTER (WHERE fresh IS NULL) AS skipped_short
+FROM documents LEFT JOIN w USING (doc_id) GROUP BY 1""")
+def ingest_corpus_counters(spark, sf):
+    """Counters of every file, also of those too short to give a chunk; with a formatter that changes nothing."""
+    dims = ingest.Dimensions(
+        base.grades(spark, sf), base.cycles(spark, sf), base.subjects(spark, sf), base.topics(spark, sf), aliases.alias_index(aliases.default_aliases(spark))
+    )
+    store = base.chunks(spark, sf).select("content_hash", "metadata")
+    _, counters = ingest.ingest_corpus(_files(spark, sf), store, dims, models.hashing_embedder(64), 64, _plain_formatter)
+    return counters
+
+
+def _plain_formatter():
+    return lambda frame: pd.DataFrame({"formatted": [None] * len(frame)})
+
+
 @query("ingest_chunks", f"""
 SELECT content_hash, doc_id AS file_id, chunk_index FROM (
   SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY md5(doc_id || ':' || chunk_index)) AS r FROM (

@@ -77,12 +77,16 @@ def quality_scan_rollup(scored: DataFrame, *keys: str) -> DataFrame:
 
 
 def ingest_counters(outcomes: DataFrame, *keys: str) -> DataFrame:
-    """Inserted, embedded and skipped rows per file from ``outcome`` and ``embedding``."""
+    """Inserted, embedded and skipped rows per file from ``outcome`` and ``embedding``.
+
+    ``skipped_short`` counts files that were too short to give a chunk.
+    """
     inserted = F.col("outcome") == "inserted"
     return outcomes.groupBy(*keys).agg(
         F.count_if(inserted).alias("inserted"),
         F.count_if(inserted & F.col("embedding").isNotNull()).alias("embedded"),
         F.count_if(F.col("outcome") == "skipped").alias("skipped"),
+        F.count_if(F.col("outcome") == "skipped_short").alias("skipped_short"),
     )
 
 

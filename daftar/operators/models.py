@@ -27,32 +27,60 @@ DEFAULT_REPAIR_SCORE = 0.8
 ERROR_CHARS = 400
 
 
+def _call(fn: ModelFn, frame: pd.DataFrame, fields: list[str]) -> pd.DataFrame:
+    """The model's outputs and ``error``; a failing batch is asked again row by row."""
+    try:
+        out = fn(frame)[fields].reset_index(drop=True)
+        if len(out) != len(frame):
+            raise ValueError(f"model returned {len(out)} rows for {len(frame)}")
+        return out.assign(error=None)
+    except Exception as exc:  # the model is foreign code
+        if len(frame) == 1:
+            return pd.DataFrame([[None] * len(fields) + [str(exc)[:ERROR_CHARS]]], columns=[*fields, "error"])
+        parts = [_call(fn, frame.iloc[i:i + 1].reset_index(drop=True), fields) for i in range(len(frame))]
+        return pd.concat(parts, ignore_index=True)
+
+
+def _in_batches(fn: ModelFn, frame: pd.DataFrame, fields: list[str], batch: int) -> pd.DataFrame:
+    parts = [_call(fn, frame.iloc[i:i + batch].reset_index(drop=True), fields) for i in range(0, len(frame), batch)]
+    return pd.concat(parts, ignore_index=True).astype(object) if parts else pd.DataFrame(columns=[*fields, "error"])
+
+
+def _model_udf(run, out_type: T.DataType):
+    run.__annotations__ = {"frames": Iterator[pd.DataFrame], "return": Iterator[pd.Series if isinstance(out_type, T.ArrayType) else pd.DataFrame]}
+    return F.pandas_udf(run, out_type).asNondeterministic()
+
+
 def model_column(factory: Callable[[], ModelFn], inputs: list[Column], schema: str, batch: int = 32) -> Column:
     """Struct column of the model's outputs plus ``error``."""
     out_type = T.StructType.fromDDL(f"{schema}, error string")
     fields = [f.name for f in out_type.fields[:-1]]
 
-    def call(fn: ModelFn, frame: pd.DataFrame) -> pd.DataFrame:
-        try:
-            out = fn(frame)[fields].reset_index(drop=True)
-            if len(out) != len(frame):
-                raise ValueError(f"model returned {len(out)} rows for {len(frame)}")
-            return out.assign(error=None)
-        except Exception as exc:  # the model is foreign code
-            if len(frame) == 1:
-                return pd.DataFrame([[None] * len(fields) + [str(exc)[:ERROR_CHARS]]], columns=[*fields, "error"])
-            parts = [call(fn, frame.iloc[i:i + 1].reset_index(drop=True)) for i in range(len(frame))]
-            return pd.concat(parts, ignore_index=True)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = factory()
         for frame in frames:
-            parts = [call(fn, frame.iloc[i:i + batch].reset_index(drop=True)) for i in range(0, len(frame), batch)]
-            yield pd.concat(parts, ignore_index=True).astype(object) if parts else pd.DataFrame(columns=[*fields, "error"])
+            yield _in_batches(fn, frame, fields, batch)
+
+    return _model_udf(run, out_type)(F.struct(*inputs))
+
+
+def model_lists(factory: Callable[[], ModelFn], inputs: list[Column], output: str, batch: int = 32) -> Column:
+    """One output string per element of the input lists, null where the model failed.
+
+    The lists of a row, which are of one length, are its pieces; the model sees
+    pieces of several rows together.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        fn = factory()
+        for frame in frames:
+            sizes = [0 if v is None else len(v) for v in frame.iloc[:, 0]]
+            flat = pd.DataFrame({c: [x for v in frame[c] if v is not None for x in v] for c in frame.columns})
+            got = _in_batches(fn, flat, [output], batch)[output].tolist()
+            ends = np.cumsum(sizes)
+            yield pd.Series([got[e - n:e] for e, n in zip(ends, sizes)], dtype=object)
 
-    run.__annotations__ = {"frames": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    udf = F.pandas_udf(run, out_type).asNondeterministic()
-    return udf(F.struct(*inputs))
+    return _model_udf(run, T.ArrayType(T.StringType()))(F.struct(*inputs))
 
 
 # --- embedding ---------------------------------------------------------------
@@ -193,33 +221,20 @@ FORMAT_PIECE, FORMAT_MIN = 3000, 50
 FORMATTED_SUBJECTS = [names.MATHS, names.ISLAMIC]
 
 
-def format_pieces(docs: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-    """The texts of the two formatted subjects in pieces a prompt can hold."""
-    n = F.length(text)
-    return (
-        docs.filter(F.col("subject_hint").isin(*FORMATTED_SUBJECTS) & (n > 0))
-        .select(key, "subject_hint", F.col(text), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / FORMAT_PIECE))).alias("piece"))
-        .withColumn("piece_text", F.substring(F.col(text), (F.col("piece") * FORMAT_PIECE + 1).cast("int"), F.lit(FORMAT_PIECE)))
-        .drop(text)
-    )
-
-
-def join_formatted(pieces: DataFrame, key: str = "document_id") -> DataFrame:
-    """Whole texts from pieces with ``formatted``; a short answer keeps its piece."""
-    answer = F.col("formatted")
-    use = F.when(F.length(answer) > FORMAT_MIN, js_trim(answer)).otherwise(F.col("piece_text"))
-    part = F.struct("piece", use.alias("t"))
-    parts = F.array_sort(F.collect_list(part))
-    return pieces.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("formatted_text"))
-
-
 def format_documents(docs: DataFrame, factory: Callable[[], ModelFn], key: str = "document_id", text: str = "text") -> DataFrame:
-    """Reformat mathematics and Islamic education texts, whole, piece by piece."""
-    pieces = format_pieces(docs, key, text)
-    prompt = data.format_prompt(F.col("subject_hint"), F.col("piece_text"))
-    pieces = pieces.withColumn("formatted", model_column(factory, [prompt.alias("prompt"), F.col("piece_text")], "formatted string")["formatted"])
-    done = join_formatted(pieces, key)
-    return docs.join(done, key, "left").withColumn(text, F.coalesce("formatted_text", text)).drop("formatted_text")
+    """Reformat mathematics and Islamic education texts, whole, in pieces a prompt can hold.
+
+    Pieces stay lists inside the row, so no text is shuffled; texts of other
+    subjects never go near the model.  A short answer keeps its piece.
+    """
+    asked = F.coalesce(F.col("subject_hint").isin(*FORMATTED_SUBJECTS) & (F.length(text) > 0), F.lit(False))
+    starts = F.sequence(F.lit(0), F.floor((F.length(text) - 1) / FORMAT_PIECE).cast("int"))
+    cut = docs.filter(asked).withColumn("_pieces", F.transform(starts, lambda i: F.substring(F.col(text), i * FORMAT_PIECE + 1, F.lit(FORMAT_PIECE))))
+    prompts = F.transform("_pieces", lambda p: data.format_prompt(F.col("subject_hint"), p))
+    answered = cut.withColumn("_answers", model_lists(factory, [prompts.alias("prompt"), F.col("_pieces").alias("piece_text")], "formatted"))
+    parts = F.zip_with("_pieces", "_answers", lambda p, a: F.when(F.length(a) > FORMAT_MIN, js_trim(a)).otherwise(p))
+    done = answered.withColumn(text, F.array_join(parts, "")).select(*docs.columns)
+    return done.unionByName(docs.filter(~asked))
 
 
 # --- questions --------------------------------------------------------------------

@@ -65,7 +65,7 @@ def ingest_corpus(
         subject = classes.select("file_id", "subject_hint")
         ready = new.join(subject, "file_id").withColumn("text", wash_text(F.col("text")))
         new = durable(models.format_documents(ready, formatter, key="file_id").drop("subject_hint"), "formatted")
-    cut = file_chunks(new)
+    cut = durable(file_chunks(new), "cut")  # texts are cut once, for the rows and for the counters
     fresh = dedup.dedup_against_store(cut, store)
     embedded = models.embed_text(fresh, embedder, F.col("content"), dim)
     rows = embedded.join(classes.drop("filename"), "file_id", "left")
@@ -79,4 +79,6 @@ def ingest_corpus(
     rows = durable(rows, "ingested")
     done = rows.select("chunk_id", F.lit("inserted").alias("outcome"), "embedding")
     outcome = cut.select("chunk_id", "filename").join(done, "chunk_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("skipped")))
+    short = new.select("filename").join(cut.select("filename").distinct(), "filename", "left_anti").withColumn("outcome", F.lit("skipped_short"))
+    outcome = outcome.unionByName(short, allowMissingColumns=True)
     return rows, health.ingest_counters(outcome, "filename")
