@@ -424,6 +424,36 @@ def prepare_corpus(spark, sf):
     return done.chunks.select("document_id", "chunk_index", "page_start", "page_end", "quality_score", "repair_status", "embedding_status")
 
 
+_REPAIRABLE = "repair_status = 'needs_review' AND page_start % 7 <> 0"
+
+
+@query("prepare_corpus_repaired", f"""
+SELECT document_id, chunk_index,
+  CASE WHEN {_REPAIRABLE} THEN CASE WHEN page_start % 2 = 1 THEN 'embedded' ELSE 'rejected' END WHEN repair_status = 'clean' THEN 'embedded' ELSE repair_status END AS repair_status,
+  CASE WHEN {_REPAIRABLE} THEN CASE WHEN page_start % 2 = 1 THEN '0.9' ELSE '0.3' END END AS quality_score_after,
+  CASE WHEN {_REPAIRABLE} THEN 'page ' || page_start END AS notes,
+  CASE WHEN repair_status = 'needs_review' AND page_start % 7 = 0 THEN 'unreadable' END AS repair_error
+FROM {_scored_sql(_REVIEW_ROWS)}""", as_text=("quality_score_after",))
+def prepare_corpus_repaired(spark, sf):
+    """The review path with a classifier and a repairer that rejects some chunks and fails on others."""
+    def repairer():
+        def fn(frame: pd.DataFrame) -> pd.DataFrame:
+            page = frame["page_start"].astype(int)
+            if (page % 7 == 0).any():
+                raise ValueError("unreadable")
+            n = len(frame)
+            return pd.DataFrame({
+                "repaired_content": [None] * n, "detected_language": [None] * n, "suggested_title": [None] * n, "quality_score_after": [0.9 if p % 2 else 0.3 for p in page],
+                "repair_notes": [[f"page {p}"] for p in page], "generated_content": [False] * n,
+            })
+        return fn
+
+    docs = _files(spark, sf).withColumnRenamed("file_id", "document_id")
+    grades = spark.createDataFrame([(g,) for g in _ALLOWED], "name string")
+    done = review.prepare_corpus(docs, grades, base.subjects(spark, sf), models.hashing_embedder(64), 64, _classifier, repairer, separator="\n")
+    return done.chunks.select("document_id", "chunk_index", "repair_status", "quality_score_after", F.array_join("repair_notes", ",").alias("notes"), "repair_error")
+
+
 @query("ingest_corpus", f"""
 SELECT content_hash, doc_id AS file_id, chunk_index, CAST(length(content) AS INTEGER) AS chunk_size, (SELECT min(p_partkey) FROM part WHERE contains(p_name, 'red ring')) AS source_id,
   '1bac' AS grade_hint, CASE lang WHEN 'en' THEN '{names.ENGLISH}' WHEN 'fr' THEN '{names.MATHS}' END AS subject_hint, 'done' AS embedding_status FROM (

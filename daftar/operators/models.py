@@ -178,8 +178,17 @@ REPAIR_SCHEMA = (
 
 
 def call_repair(chunks: DataFrame, factory: Callable[[], ModelFn]) -> DataFrame:
-    """Model answers for the chunks that need review, in ``repair`` (a struct)."""
-    inputs = [F.col(c) for c in ("content", "original_content", "title", "flags")]
+    """Model answers for the chunks that need review, in ``repair`` (a struct).
+
+    The model sees the chunk's text, title, flags, grade, subject and pages, and
+    the prompt made of them; what the chunks lack is null.
+    """
+    kinds = {"grade_name": "string", "subject_name": "string", "page_start": "int", "page_end": "int"}
+    given = {c: F.col(c) if c in chunks.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()}
+    content = F.col("content")
+    original = F.coalesce(F.nullif("original_content", F.lit("")), content)
+    prompt = data.repair_prompt(*[given[c] for c in ("grade_name", "subject_name")], F.col("title"), *[given[c] for c in ("page_start", "page_end")], F.col("flags"), original, content)
+    inputs = [content, *[F.col(c) for c in ("original_content", "title", "flags")], *given.values(), prompt.alias("prompt")]
     return chunks.filter(F.col("repair_status") == "needs_review").withColumn(
         "repair", model_column(factory, inputs, REPAIR_SCHEMA)
     )
@@ -206,6 +215,7 @@ def gate_repairs(answered: DataFrame) -> DataFrame:
         "repair_status": F.when(failed, F.col("repair_status")).when(score < MIN_REPAIRED, "rejected").otherwise("auto_repaired"),
         "title": F.coalesce(r["suggested_title"], "title"),
         "language": F.coalesce(r["detected_language"], "language"),
+        "repair_notes": r["repair_notes"] if "repair_notes" in answered.schema["repair"].dataType.names else F.lit(None).cast("array<string>"),
         "repair_error": r["error"],
     }).drop("repair")
 

@@ -35,6 +35,7 @@ def scored_chunks(pages: DataFrame, classification: DataFrame, existing: DataFra
         F.col("grade_name").isNotNull().alias("has_grade"),
         F.col("subject_name").isNotNull().alias("has_subject"),
         (F.coalesce("title", F.lit("")) != "").alias("has_topic"),
+        "grade_name", "subject_name",
     ).withColumnRenamed("document_id", "_doc")
     joined = drafts.join(known, F.col("document_id") == F.col("_doc"), "left").drop("_doc")
     joined = joined.fillna(False, ["has_grade", "has_subject", "has_topic"])
@@ -87,14 +88,34 @@ def prepare_corpus(
         versions = scored.join(edited.filter("content_changed").select("chunk_id"), "chunk_id", "left_semi").select(
             "chunk_id", F.lit(1).alias("version_index"), "content", "content_hash"
         )
-        scored = edited.drop("content_changed", "embedding_status", "updated_at")
+        told = answers.select("chunk_id", "repair_notes", "quality_score_after", F.col("generated_content").alias("has_generated"), "repair_error")
+        scored = durable(edited.drop("content_changed", "embedding_status", "updated_at").join(told, "chunk_id", "left"), "repaired")
 
     embedded = models.embed_chunks(scored.filter(eligible()), embedder, dim)
     rest = scored.filter(~eligible())
     chunks = durable(embedded.unionByName(rest, allowMissingColumns=True), "chunks")
     if versions is None:
         versions = scored.limit(0).select("chunk_id", F.lit(1).alias("version_index"), "content", "content_hash")
-    return Prepared(documents, chunks, versions, page_source.ocr_logs(pages))
+    return Prepared(documents, chunks, versions, page_source.ocr_logs(pages).unionByName(_failures(chunks)))
+
+
+def _failures(chunks: DataFrame) -> DataFrame:
+    """A log line for each repair that was rejected or failed, and each vector that could not be made."""
+    def has(name: str) -> bool:
+        return name in chunks.columns
+
+    at = F.concat(F.lit("Chunk "), F.col("chunk_index").cast("string"), F.lit(": "))
+    lines = []
+    if has("repair_error"):
+        rejected = (F.col("repair_status") == "rejected") & F.col("quality_score_after").isNotNull()
+        score = F.col("quality_score_after").cast("string")
+        lines.append(F.when(rejected, F.struct(F.lit("warn").alias("level"), F.concat(at, F.lit("repair rejected, score "), score, F.lit(".")).alias("message"))))
+        failed = F.col("repair_error").isNotNull()
+        lines.append(F.when(failed, F.struct(F.lit("error").alias("level"), F.concat(at, F.lit("repair failed: "), F.col("repair_error")).alias("message"))))
+    failed = F.col("embedding_error").isNotNull()
+    lines.append(F.when(failed, F.struct(F.lit("error").alias("level"), F.concat(at, F.lit("embedding failed: "), F.col("embedding_error")).alias("message"))))
+    rows = chunks.select("document_id", F.col("page_start").cast("int").alias("page_number"), F.posexplode(F.array(*lines)).alias("line", "_log"))
+    return rows.filter(F.col("_log").isNotNull()).select("document_id", "page_number", "line", "_log.level", "_log.message")
 
 
 def stage_counts(prepared: Prepared) -> DataFrame:
