@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daftar.operators import chunking, dedup, edit, health, models, quality
 from daftar.operators.filters import eligible
-from daftar.session import durable
+from daftar.session import durable, release, tracked
 from daftar.sources import pages as page_source
 
 
@@ -20,6 +20,11 @@ class Prepared:
     chunks: DataFrame
     versions: DataFrame
     logs: DataFrame
+    paths: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Delete the tables of the stages; call it when the results are stored."""
+        release(self.chunks.sparkSession, self.paths)
 
 
 def scored_chunks(pages: DataFrame, classification: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -56,14 +61,24 @@ def prepare_corpus(
     repairer: Callable[[], models.ModelFn] | None = None,
     existing: DataFrame | None = None,
     separator: str = "\f",
+    keep_newlines: bool = False,
 ) -> Prepared:
     """docs(document_id, filename, text) to chunks ready for retrieval.
 
     Pages, drafts and scored chunks are written once each, and the answers
     of each model stage are written before they are used, so a retried task
-    never asks a model twice for different results.
+    never asks a model twice for different results.  ``keep_newlines`` keeps the
+    paragraph breaks of pages, so that long pages can be cut at them.  The caller
+    stores the results and then calls ``close``.
     """
-    pages = durable(page_source.page_scan(docs, separator=separator), "pages")
+    with tracked() as paths:
+        prepared = _prepare(docs, grades, subjects, embedder, dim, classifier, repairer, existing, separator, keep_newlines)
+    prepared.paths = list(paths)
+    return prepared
+
+
+def _prepare(docs, grades, subjects, embedder, dim, classifier, repairer, existing, separator, keep_newlines) -> Prepared:
+    pages = durable(page_source.page_scan(docs, separator=separator, keep_newlines=keep_newlines), "pages")
     mode = page_source.extraction_mode(pages)
     pages = page_source.ocr_mark(pages)
     preview = page_source.preview_text(pages)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,5 +108,30 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for paths in _tracking:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_tracking: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def tracked() -> Iterator[list[str]]:
+    """Collects the paths that ``durable`` writes meanwhile, for ``release``."""
+    paths: list[str] = []
+    _tracking.append(paths)
+    try:
+        yield paths
+    finally:
+        _tracking.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``durable`` wrote, once what was made of them is stored."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+    paths.clear()

@@ -169,3 +169,18 @@ def test_ingest_twice_adds_nothing(spark):
     assert sum(a for a, _ in counts.values()) == len(got) == sum(b for _, b in counts.values())
     again, _ = ingest.ingest_corpus(new, rows.select("content_hash", "metadata"), dims, models.hashing_embedder(8), 8)
     assert again.count() == 0
+
+
+def test_review_leaves_no_tables(spark):
+    import os
+
+    from daftar.plans import review
+
+    docs = spark.createDataFrame([(1, "1ac.pdf", "Les fractions sont des nombres. " * 20), (2, "x.pdf", "court")], "document_id int, filename string, text string")
+    names = spark.createDataFrame([("English",)], "name string")
+    done = review.prepare_corpus(docs, names, names, models.hashing_embedder(8), 8, keep_newlines=True)
+    assert done.chunks.count() > 0 and done.logs.count() >= 2
+    paths = list(done.paths)
+    assert len(paths) >= 3 and all(os.path.isdir(p.removeprefix("file:")) for p in paths)
+    done.close()
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
