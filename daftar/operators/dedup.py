@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from daftar.operators.skew import keep_first, lookup_per_key
 
 
-def mark_duplicates_in_document(chunks: DataFrame, existing: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+def mark_duplicates_in_document(chunks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``is_duplicate``: hash stored for the document already, or seen earlier in it.
 
     ``chunks(document_id, chunk_index, content_hash, ...)``.  The first index per
@@ -27,20 +27,19 @@ def mark_duplicates_in_document(chunks: DataFrame, existing: DataFrame | None =
         )
     # Only groups that make something a duplicate have to be looked up.
     per_hash = per_hash.filter((F.col("_copies") > 1) | F.col("_stored"))
-    keyed = chunks.withColumn("_row", F.xxhash64("document_id", "chunk_index"))
-    out = lookup_per_key(keyed, per_hash, ["document_id", "content_hash"], "_row", "_copies", hot_rows)
+    out = lookup_per_key(chunks, per_hash, ["document_id", "content_hash"])
     dup = F.coalesce(F.col("_stored") | (F.col("chunk_index") > F.col("_first")), F.lit(False))
     return out.withColumn("is_duplicate", dup).select(*chunks.columns, "is_duplicate")
 
 
-def dedup_global(chunks: DataFrame, key: str = "chunk_id", hot_rows: int | None = None) -> DataFrame:
+def dedup_global(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``is_duplicate`` and ``duplicate_of`` over the whole corpus; the lowest id survives."""
     copies = (
-        chunks.groupBy("content_hash")
+        chunks.filter(F.col("content_hash").isNotNull()).groupBy("content_hash")
         .agg(F.min(key).alias("_survivor"), F.count("*").alias("_copies"))
         .filter("_copies > 1")
     )
-    out = lookup_per_key(chunks, copies, ["content_hash"], key, "_copies", hot_rows)
+    out = lookup_per_key(chunks, copies, ["content_hash"])
     dup = F.coalesce(F.col("_survivor") != F.col(key), F.lit(False))
     return out.withColumn("is_duplicate", dup).withColumn("duplicate_of", F.when(dup, F.col("_survivor"))).drop("_survivor", "_copies")
 

@@ -145,14 +145,14 @@ def ingest_active(df: DataFrame, now: Column, minutes: int = 2) -> DataFrame:
     ).withColumn("active", (F.col("processing") > 0) | (F.col("recent") > 0))
 
 
-def active_embedding(embeddings: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def active_embedding(embeddings: DataFrame) -> DataFrame:
     """``is_active`` is true for the latest vector of each chunk only."""
     from daftar.operators.skew import lookup_per_key
 
     latest = embeddings.groupBy("chunk_id").agg(
         F.max(F.struct("created_at", "embedding_id")).alias("_latest"), F.count("*").alias("_n")
     )
-    out = lookup_per_key(embeddings, latest, ["chunk_id"], "embedding_id", "_n", hot_rows)
+    out = lookup_per_key(embeddings, latest, ["chunk_id"])
     mine = F.struct("created_at", "embedding_id") == F.col("_latest")
     return out.withColumn("is_active", mine).select(*[c for c in embeddings.columns if c != "is_active"], "is_active")
 
@@ -161,7 +161,7 @@ def latest_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return keep_first(df, [key], order)
 
 
-def backfill_classification(pages: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def backfill_classification(pages: DataFrame) -> DataFrame:
     """Give every page its document's first valid classification, in page order.
 
     ``pages(document_id, page_number, grade, subject, is_valid, ...)``; documents
@@ -173,7 +173,7 @@ def backfill_classification(pages: DataFrame, hot_rows: int | None = None) -> Da
         F.min(F.when(F.col("is_valid"), F.struct("page_number", "grade", "subject"))).alias("_c"), F.count("*").alias("_n")
     )
     keyed = pages.withColumn("_row", F.xxhash64("document_id", "page_number"))
-    out = lookup_per_key(keyed, first, ["document_id"], "_row", "_n", hot_rows).filter(F.col("_c").isNotNull())
+    out = lookup_per_key(keyed, first, ["document_id"]).filter(F.col("_c").isNotNull())
     return out.withColumn("grade", F.col("_c.grade")).withColumn("subject", F.col("_c.subject")).select(*pages.columns)
 
 

@@ -7,11 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is "hot".  There are at most total/HOT_ROWS hot
-# keys (100,000 for 10^11 rows), which bounds the broadcast below.
-HOT_ROWS = 1_000_000
-
-
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """First ``n`` rows per key.
 
@@ -29,43 +24,14 @@ def any_null(keys: Sequence[str]) -> Column:
     return out
 
 
-def lookup_per_key(
-    rows: DataFrame,
-    per_key: DataFrame,
-    keys: Sequence[str],
-    row_id: str,
-    count_col: str,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Left join of ``rows`` to a table with one row per key and the key's row count.
+def lookup_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of ``rows`` to a table with one row per key, on the keys' own types.
 
-    Hot keys are few by arithmetic and are broadcast; their rows then carry a
-    per-row join key, so the shuffle for the remaining keys spreads them evenly.
+    No rows are gathered per key here, so a hot key's partition can be split: the
+    session's adaptive execution does that, and broadcasts ``per_key`` if it turns
+    out small.
     """
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    payload = [c for c in per_key.columns if c not in keys]
-    key = _single_key(keys)
-    table = per_key.select(key.alias("_key"), *payload)
-    hot = table.filter(F.col(count_col) > hot_rows).select(
-        F.col("_key").alias("_hot_key"), F.struct(*payload).alias("_hot")
-    )
-    cold = table.filter(F.col(count_col) <= hot_rows).select(
-        F.col("_key").alias("_cold_key"), F.struct(*payload).alias("_cold")
-    )
-    step = rows.withColumn("_key", key).join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left")
-    spread = F.when(F.col("_hot_key").isNull(), F.col("_key")).otherwise(
-        F.concat(F.lit("#"), F.col(row_id).cast("string"))
-    )
-    joined = step.withColumn("_join", spread).join(cold, F.col("_join") == F.col("_cold_key"), "left")
-    out = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return joined.select(*rows.columns, *[out[c].alias(c) for c in payload])
-
-
-def _single_key(keys: Sequence[str]) -> Column:
-    """One string per key; null, and so without a partner, if any part is null."""
-    parts = [F.col(k).cast("string") for k in keys]
-    sized = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts[:-1]]
-    return F.concat(*sized, parts[-1]) if sized else parts[0]
+    return rows.join(per_key, list(keys), "left").select(*rows.columns, *[c for c in per_key.columns if c not in keys])
 
 
 def with_bucket(df: DataFrame, order: Column, width: int) -> DataFrame:

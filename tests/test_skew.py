@@ -17,21 +17,19 @@ def rows(spark):
     return spark.createDataFrame(ROWS, "chunk_id int, content_hash string, document_id int, at int").cache()
 
 
-@pytest.mark.parametrize("hot", [1, 5, 50, 10_000])
-def test_dedup_global_any_threshold(rows, hot):
+def test_dedup_global(rows):
     lowest = {}
     for i, h, _, _ in ROWS:
         lowest.setdefault(h, i)
-    got = {r.chunk_id: (r.is_duplicate, r.duplicate_of) for r in dedup.dedup_global(rows, hot_rows=hot).collect()}
+    got = {r.chunk_id: (r.is_duplicate, r.duplicate_of) for r in dedup.dedup_global(rows).collect()}
     assert got == {i: (lowest[h] != i, lowest[h] if lowest[h] != i else None) for i, h, _, _ in ROWS}
 
 
-@pytest.mark.parametrize("hot", [1, 10_000])
-def test_duplicates_in_document(spark, rows, hot):
+def test_duplicates_in_document(spark, rows):
     chunks = rows.select("document_id", F.col("chunk_id").alias("chunk_index"), "content_hash")
     stored = {(3, "hot"), (4, "k1")}
     existing = spark.createDataFrame(list(stored), "document_id int, content_hash string")
-    got = {(r.document_id, r.chunk_index): r.is_duplicate for r in dedup.mark_duplicates_in_document(chunks, existing, hot).collect()}
+    got = {(r.document_id, r.chunk_index): r.is_duplicate for r in dedup.mark_duplicates_in_document(chunks, existing).collect()}
     seen, want = set(stored), {}
     for i, h, d, _ in ROWS:
         want[d, i] = (d, h) in seen
@@ -77,9 +75,8 @@ def test_backfill_classification(spark):
         [(1, 1, "x", "x", False), (1, 2, "g", "s", True), (1, 3, "h", "t", True), (2, 1, "x", "x", False)],
         "document_id int, page_number int, grade string, subject string, is_valid boolean",
     )
-    for hot in (1, 100):
-        got = sorted((r.document_id, r.page_number, r.grade, r.subject) for r in health.backfill_classification(pages, hot).collect())
-        assert got == [(1, 1, "g", "s"), (1, 2, "g", "s"), (1, 3, "g", "s")]
+    got = sorted((r.document_id, r.page_number, r.grade, r.subject) for r in health.backfill_classification(pages).collect())
+    assert got == [(1, 1, "g", "s"), (1, 2, "g", "s"), (1, 3, "g", "s")]
 
 
 def vectors(spark, n, dim, seed, name):
