@@ -53,7 +53,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATI
 
     Columns of these names that the input has are replaced.
     """
-    lists = boilerplate(pages, host, ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
+    # Written first: Spark then knows the lists' size when it plans the join, and texts are shuffled only if it is large.
+    lists = durable(boilerplate(pages, host, ratio, min_pages), "boilerplate").select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
     key, bad = fresh(pages, "_host"), fresh(pages, "_bad")
     lists = lists.withColumnsRenamed({"_host": key, "_bad": bad})
     joined = pages.join(lists, F.col(host).eqNullSafe(F.col(key)), "left")
