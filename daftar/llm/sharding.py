@@ -10,8 +10,8 @@ Records are laid in the order of a key, and the key's order is cut into ranges:
    in the whole order; a shard is an equal share of the bytes.
 
 The key is (hash of the text, doc_id, checksum): equal texts are neighbours, and
-a group of any size is divided by id like any other range.  The sample's size and
-the number of splitters are parameters, not functions of the data.
+a group of any size is divided by id like any other range.  The number of
+splitters follows the rows up to a parameter, and the sample follows it.
 
 Nulls and edge cases: a null text has size 16 like an empty one, but its checksum
 is null; a null ``doc_id`` sorts first; rows alike in every key column share a
@@ -31,8 +31,8 @@ from daftar.llm.common import durable
 SHARDS = 40
 #: Overhead of a record, in bytes.
 OVERHEAD = 16
-#: Keys drawn, on average; splitters are a tenth of them.
-SAMPLE = 10_000
+#: Splitters at most, and keys drawn per splitter, on average.
+SPLITTERS, OVERSAMPLE = 10_000, 20
 #: A range with more than this many times its share of rows or bytes is divided, in so many rounds at most.
 OVERFULL, ROUNDS = 4, 3
 #: Rows that a range may hold whatever its share.
@@ -74,16 +74,17 @@ def _dealt(rows: DataFrame, splitters: np.ndarray) -> DataFrame:
     return rows.withColumn("range", range_of("group", F.coalesce("doc_id", F.lit(-(1 << 63)))))
 
 
-def ranges(rows: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[DataFrame, pd.DataFrame]:
+def ranges(rows: DataFrame, splitters: int = SPLITTERS, rounds: int = ROUNDS) -> tuple[DataFrame, pd.DataFrame]:
     """``rows`` with ``range``, and rows and bytes of each range."""
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
+    want = max(1, min(splitters, -(-n // (SMALL // 4))))
+    sample = OVERSAMPLE * want
     keys = _draw(rows, sample / max(total or 1, 1), 0)
-    want = max(1, min(sample // 10, -(-n // (SMALL // 4))))
-    splitters = np.unique(keys[np.linspace(0, len(keys), want, endpoint=False).astype(int)[1:]]) if len(keys) else keys
+    cuts = np.unique(keys[np.linspace(0, len(keys), want, endpoint=False).astype(int)[1:]]) if len(keys) else keys
     for r in range(rounds + 1):
-        dealt = _dealt(rows, splitters)
+        dealt = _dealt(rows, cuts)
         sizes = dealt.groupBy("range").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).toPandas()
-        share, part = max(n / (len(splitters) + 1) * OVERFULL, SMALL), max(total or 1, 1) / (len(splitters) + 1) * OVERFULL
+        share, part = max(n / (len(cuts) + 1) * OVERFULL, SMALL), max(total or 1, 1) / (len(cuts) + 1) * OVERFULL
         over = sizes[(sizes["rows"] > share) | ((sizes["bytes"] > part) & (sizes["rows"] > SMALL))]
         if over.empty or r == rounds:
             return dealt, sizes
@@ -91,18 +92,18 @@ def ranges(rows: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple
         inside = dealt.filter(F.col("range").isin([int(x) for x in over["range"]])).withColumn("size", F.col("size") + F.lit(max((total or 0) // max(n, 1), 1)))
         more = _draw(inside, sample / float(over["bytes"].sum() + over["rows"].sum() * max((total or 0) // max(n, 1), 1)), r + 1)
         step = max(1, len(more) // max(1, int(-(-over["rows"].sum() // (SMALL // 4)))))
-        splitters = np.unique(np.concatenate([splitters, more[::step]]))
+        cuts = np.unique(np.concatenate([cuts, more[::step]]))
     raise AssertionError("unreachable")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, sample: int = SAMPLE) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, splitters: int = SPLITTERS) -> DataFrame:
     """(doc_id, size, text_crc32, group, shard, slot) of every document.
 
     Shard s holds the records whose middle byte lies in the s-th equal share of
     all bytes, so shards differ by no more than the sizes at their two borders.
     """
     rows = durable(records(docs), "records")
-    dealt, sizes = ranges(rows, sample)
+    dealt, sizes = ranges(rows, splitters)
     sizes = sizes.sort_values("range")
     total, starts = int(sizes["bytes"].sum()), {}
     at_bytes = at_rows = 0

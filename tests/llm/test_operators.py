@@ -362,11 +362,11 @@ def test_shards(spark, sf, odd_docs, no_docs):
 def test_shards_divide_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SMALL", 100)
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "the same text").otherwise(F.repeat(F.lit("y"), (F.col("id") % 50).cast("int"))).alias("text"))
-    dealt, sizes = sharding.ranges(sharding.records(docs), sample=500)
+    dealt, sizes = sharding.ranges(sharding.records(docs))
     assert sizes["rows"].max() < 600
-    rows = sharding.shard(docs, 7, sample=500).collect()
+    rows = sharding.shard(docs, 7).collect()
     check_shards(docs, rows, 7)
-    again = sharding.shard(docs.repartition(3), 7, sample=500).collect()
+    again = sharding.shard(docs.repartition(3), 7).collect()
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in rows} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
 
 
