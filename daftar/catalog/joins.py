@@ -290,6 +290,15 @@ def ann_pairs(spark, sf):
     return retrieval.ann_pairs(q, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 5, dim=64)
 
 
+@query("ann_recall", "SELECT 5 * count(*) AS neighbours, true AS enough FROM embeddings")
+def ann_recall(spark, sf):
+    """Whether the approximate search finds nine of ten exact neighbours, and all rows it owes."""
+    e = table(spark, sf, "embeddings")
+    q, c = e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    out = retrieval.ann_recall(retrieval.ann_pairs(q, c, 5, dim=64), retrieval.cosine_topk(q, c, 5))
+    return out.select("neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("chunk_detail", """
 SELECT c_custkey AS chunk_id, kind, place, payload FROM customer LEFT JOIN (
   SELECT o_custkey AS k, 'version' AS kind, o_orderkey AS place, o_orderpriority AS payload FROM orders
