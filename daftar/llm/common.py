@@ -28,11 +28,6 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return session.durable(df, f"llm-{name}")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package wherever the driver started."""
-    session.ship(spark)
-
-
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

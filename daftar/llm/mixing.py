@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daftar.llm.common import durable, numbered, parts_for, word_count
+from daftar.llm.common import durable, fresh, numbered, parts_for, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -119,11 +119,10 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
     there are too many sources to broadcast.
     """
     sizes = durable(document_sizes(docs, seed), "sizes")
-    limits = thresholds(sizes, targets(sizes, weights, share, cap)).select(
-        F.struct("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("below").alias("_mix_below")
-    )
+    limit, copy = fresh(docs, "_limit"), fresh(docs, "_copy")
+    limits = thresholds(sizes, targets(sizes, weights, share, cap)).select(F.struct("source", "whole", "below").alias(limit))
     top = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"].cast("long")), 64 - BITS * ROUNDS)
-    joined = docs.join(limits, docs["source"].cast("string").eqNullSafe(F.col("_mix_source.source")), "left")
-    times = F.col("_mix_whole") + (top < F.col("_mix_below")).cast("long")
+    joined = docs.join(limits, docs["source"].cast("string").eqNullSafe(F.col(limit)["source"]), "left")
+    times = F.col(limit)["whole"] + (top < F.col(limit)["below"]).cast("long")
     copies = F.sequence(F.lit(1), times.cast("int"))
-    return joined.withColumn("_mix_copy", F.explode(F.when(times > 0, copies))).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn(copy, F.explode(F.when(times > 0, copies))).select(*[docs[c] for c in docs.columns])

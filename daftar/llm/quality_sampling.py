@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.llm.common import batches, durable, kth_key, word_starts
+from daftar.llm.common import batches, durable, fresh, kth_key, word_starts
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -241,4 +241,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, seed:
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(key >= least))
 
     dice = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
-    return docs.select(*[docs[c] for c in docs.columns], dice.alias("dice")).mapInArrow(keep, docs.schema)
+    return docs.select(*[docs[c] for c in docs.columns], dice.alias(fresh(docs, "dice"))).mapInArrow(keep, docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daftar.llm.common import durable
+from daftar.llm.common import durable, fresh
 
 SHINGLE = 5
 RADIUS = 4
@@ -244,7 +244,8 @@ def keep_representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = S
     its group.
     """
     classes = near_duplicates(docs, radius, shingle)
-    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    first, n = fresh(docs, "_first"), fresh(docs, "_n")
+    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
+    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col(first)), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.xxhash64(c) for c in docs.columns if c != "doc_id"]))
-    return kept.withColumn("_n", rank).filter("_n = 1").select(*[kept[c] for c in docs.columns])
+    return kept.withColumn(n, rank).filter(F.col(n) == 1).select(*docs.columns)
