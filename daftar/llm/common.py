@@ -47,7 +47,7 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def batches(batch: pa.RecordBatch, text: int, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(batch: pa.RecordBatch, text: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about ``limit`` text bytes.
 
     Yields first row, row after the last, the bytes, and each row's first byte

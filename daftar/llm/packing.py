@@ -87,8 +87,8 @@ class WordTokenizer:
 
     def _learn(self, words: set[str]) -> None:
         """Ids of new words; those asked for since the last turn-over are kept longer."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        if not words:
+            return
         known, older = self.known, self.older
         if older:
             again = words & older.keys()
@@ -110,27 +110,51 @@ class WordTokenizer:
         for w, e in zip(rest, self.inner.encode_batch_fast(rest, add_special_tokens=False)):
             known[w] = np.array(e.ids, "<u4").tobytes()
 
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece; words that are new to them are looked up together."""
+        if len(self.known) > REMEMBERED:  # a new generation; what it needs of the old one is taken over
+            self.older, self.known = self.known, {}
+        cut = [_words(p) for p in pieces]
+        self._learn(set(chain.from_iterable(cut)).difference(self.known))
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in cut]
+
     def many(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; blocks of words bound what is looked up at once."""
-        cut: list = [_words(t) for t in texts]
-        for at, words in enumerate(cut):
-            cut[at] = None
-            out = []
-            for a in range(0, max(len(words), 1), _BLOCK):
-                part = words if len(words) <= _BLOCK else words[a : a + _BLOCK]
-                try:
-                    out.append(b"".join(map(self.known.__getitem__, part)))
-                except KeyError:
-                    missing = set(part)
-                    for later in cut[at + 1 : at + 200]:  # learn for the texts that follow, too
-                        if len(missing) > 200_000:
-                            break
-                        missing.update(later if len(later) <= _BLOCK else ())
-                    self._learn(missing.difference(self.known))
-                    if lost := set(part).difference(self.known):  # a turn-over came between
-                        self._learn(lost)
-                    out.append(b"".join(map(self.known.__getitem__, part)))
-            yield b"".join(out)
+        """Ids of each text, in order; texts of any length are read in pieces."""
+        now, ids = 0, []
+        for group in _grouped(texts):
+            for i, got in zip([i for i, _ in group], self._ids([p for _, p in group])):
+                while now < i:
+                    yield b"".join(ids)
+                    now, ids = now + 1, []
+                ids.append(got)
+        for _ in range(now, len(texts)):
+            yield b"".join(ids)
+            ids = []
+
+
+#: Characters of text that are cut into words at once.
+PIECE = 500_000
+_SPACES = re.compile(r"[\x20\x09-\x0D]")
+
+
+def _grouped(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Texts, or pieces of long ones that end at white space, with their numbers, in groups of about PIECE characters."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            found = _SPACES.search(text, at + PIECE) if len(text) - at > PIECE else None
+            end = found.start() if found else len(text)
+            group.append((i, text[at:end]))
+            size += end - at
+            if size >= PIECE:
+                yield group
+                group, size = [], 0
+            if not found:
+                break
+            at = end
+    if group:
+        yield group
 
 
 #: Letters below U+0130, which lower-case by themselves and are composed already, and a mark.
@@ -141,9 +165,6 @@ def _word_tokenizer(file: str) -> WordTokenizer:
     return WordTokenizer(file)
 
 
-_BLOCK = 100_000
-
-
 def _words(text: str) -> list[str]:
     """Cut at white space: Python's kind, without the four separators that the vocabulary keeps."""
     if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
