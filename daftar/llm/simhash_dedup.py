@@ -19,7 +19,8 @@ Nulls and edge cases: a null text has no words; texts without words have
 fingerprint zero, which links like any other; texts with fewer words than a
 shingle are one shingle; repeated rows fall together; a null ``doc_id`` is the
 largest id of its group (and its group's id only if all ids are null); an empty
-table gives an empty result.
+table gives an empty result.  Where one row of a group is kept, rows are told apart
+by hashes of all their columns, not by ids, which may be null or repeat.
 """
 
 from __future__ import annotations
@@ -67,15 +68,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view(np.dtype("<u8"))[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's bits in a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, and the long columns ``carried``) with the fingerprint's bits in a signed long."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             fps = np.fromiter((fingerprint(t, shingle) for t in map(pa.StringScalar.as_py, batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carried)))
 
 
 def _forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -223,29 +225,48 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def rooted(rows: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(fp, root, least) of every distinct fingerprint of ``rows``: the group's smallest fingerprint and the fingerprint's smallest doc_id."""
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(near_links(distinct.select("fp"), radius, tile))
+    return durable(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """(doc_id, fp, component_id) of every document; the component's id is its smallest doc_id."""
     rows = durable(fingerprints(docs, shingle), "fingerprints")
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_links(distinct.select("fp"), radius, tile))
-    rooted = durable(
-        distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted"
-    )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
+    roots = rooted(rows, radius, tile)
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = roots.join(named, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of near duplicates, with all columns: the smallest doc_id's.
+def marked(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two hashes of the whole row, in which nulls count, and the names of the two columns."""
+    parts = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    mark, second = fresh(docs, "_mark"), fresh(docs, "_second")
+    return docs.withColumns({mark: F.xxhash64(*parts), second: F.hash(*parts).cast("long")}), mark, second
+
+
+def one_per_group(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root``: the smallest doc_id's, null last.
 
-    Of repeated rows of that id, one stays.  Only ids are compared and shuffled
-    before the texts; a document that no other resembles is never shuffled for
-    its group.
+    ``rows`` has (mark, second, doc_id, root) of every row, with the hashes of
+    ``marked``.  Rows are told apart by these, not by their ids; of rows that
+    agree in all columns one stays, and goes through the shuffle once per task.
     """
-    classes = near_duplicates(docs, radius, shingle)
-    first, n = fresh(docs, "_first"), fresh(docs, "_n")
-    firsts = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
-    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col(first)), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.xxhash64(c) for c in docs.columns if c != "doc_id"]))
-    return kept.withColumn(n, rank).filter(F.col(n) == 1).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "second")).alias("first")
+    wide, mark, second = marked(docs)
+    chosen = rows.groupBy("root").agg(first).select(F.col("first.mark").alias(mark), F.col("first.second").alias(second))
+    n = fresh(wide, "_n")
+    rank = F.row_number().over(Window.partitionBy(mark, second).orderBy(mark))
+    return wide.withColumn(n, rank).filter(F.col(n) == 1).join(chosen, [mark, second], "left_semi").select(*docs.columns)
+
+
+def keep_representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of near duplicates, with all columns: the smallest doc_id's, whatever ids the group has."""
+    wide, mark, second = marked(docs)
+    named = wide.select("doc_id", "text", F.col(mark).alias("mark"), F.col(second).alias("second"))
+    rows = durable(fingerprints(named, shingle, ("mark", "second")), "fingerprints")
+    roots = rooted(rows, radius).select("fp", "root")
+    return one_per_group(docs, rows.join(roots, "fp"))

@@ -195,6 +195,14 @@ def test_simhash_keeps_one_of_a_group(spark, odd_docs, no_docs):
     assert simhash_dedup.keep_representatives(no_docs).count() == 0
 
 
+def test_one_row_of_every_group(spark):
+    """Several null ids, one id on two texts, and repeated rows: one row of each text stays."""
+    text = lambda i: " ".join(f"t{i}w{j}" for j in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4)), (3, text(4)), (9, text(0))]
+    kept = simhash_dedup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(9, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (3, text(4))])
+
+
 def test_long_text_blocks(monkeypatch):
     text = " ".join(f"w{i % 89}" for i in range(3000))
     whole = simhash_dedup.fingerprint(text)
