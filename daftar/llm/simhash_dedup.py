@@ -248,19 +248,46 @@ def marked(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return docs.withColumns({mark: F.xxhash64(*parts), second: F.hash(*parts).cast("long")}), mark, second
 
 
+def bitmap(df: DataFrame, key: str, bits: int = 22) -> np.ndarray:
+    """Bits of the cells (leading bits) in which ``df`` has a key; a cell without one can't hold it."""
+    cells = df.select(F.shiftrightunsigned(key, 64 - bits).cast("int").alias("c")).distinct().toPandas()["c"].to_numpy()
+    out = np.zeros(1 << bits, bool)
+    out[cells] = True
+    return np.packbits(out)
+
+
+def in_bitmap(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    bits = int(len(packed) * 8).bit_length() - 1
+    cell = (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def one_per_group(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row of ``docs`` for each ``root``: the smallest doc_id's, null last.
 
     ``rows`` has (mark, second, doc_id, root) of every row, with the hashes of
     ``marked``.  Rows are told apart by these, not by their ids; of rows that
     agree in all columns one stays, and goes through the shuffle once per task.
+    Rows that a bitmap shows to be alone in their group are not shuffled.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "second")).alias("first")
     wide, mark, second = marked(docs)
-    chosen = rows.groupBy("root").agg(first).select(F.col("first.mark").alias(mark), F.col("first.second").alias(second))
+    groups = durable(rows.groupBy("root").agg(first, F.count("*").alias("n")).select("root", "n", F.col("first.mark").alias(mark), F.col("first.second").alias(second)), "chosen")
+    several = groups.filter("n > 1")
+    packed = bitmap(rows.join(several.select("root"), "root", "left_semi"), "mark")
+    spot = wide.columns.index(mark)
+
+    def part(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(batch.column(spot).to_numpy(), packed) == hit))
+
+        return wide.mapInArrow(run, wide.schema)
+
     n = fresh(wide, "_n")
     rank = F.row_number().over(Window.partitionBy(mark, second).orderBy(mark))
-    return wide.withColumn(n, rank).filter(F.col(n) == 1).join(chosen, [mark, second], "left_semi").select(*docs.columns)
+    judged = part(True).withColumn(n, rank).filter(F.col(n) == 1).join(groups.select(mark, second), [mark, second], "left_semi")
+    return part(False).select(*docs.columns).unionByName(judged.select(*docs.columns))
 
 
 def keep_representatives(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from daftar.llm import chat_examples, host_rules, line_dedup, mixing, packing, quality_sampling, secrets, sharding, simhash_dedup, voronoi_knn
+from daftar.llm import chat_examples, host_rules, jaccard_dedup, line_dedup, mixing, packing, quality_sampling, secrets, sharding, simhash_dedup, voronoi_knn
 from daftar.llm import queries as llm
 from daftar.llm.common import kth_key, numbered, tokenizer_file
 
@@ -203,6 +203,61 @@ def test_one_row_of_every_group(spark):
     assert Counter(map(tuple, kept)) == Counter([(9, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (3, text(4))])
 
 
+def brute_jaccard(texts, least=80):
+    """The smallest row that links at Jaccard 0.8 of 5-word sets reach, for every row."""
+    sets = []
+    for t in texts:
+        w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def test_jaccard_keeps_one_of_a_group(spark, odd_docs, no_docs):
+    """Copies with more and more words changed, on both sides of 0.8, chains, short texts and shared passages, against all pairs."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"W{v}" for v in rng.integers(0, 5000, n)]
+    passage, texts = word(60), [None, " ", "a b", "A  b", "a b c", "p q r s t u v w", "p q r s t u v w x", "p q r s t u v w x y z"]
+    for _ in range(25):
+        base = word(int(rng.integers(30, 200))) + (passage if rng.random() < 0.4 else [])
+        for changed in (0, 1, 2, 3, 4, 6):
+            copy = list(base)
+            for at in rng.integers(0, len(base), changed):
+                copy[at] = f"n{rng.integers(0, 1 << 30)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base + word(len(base) // 6)))
+    chain = word(100)
+    for _ in range(12):
+        texts.append(" ".join(chain))
+        chain = chain[6:] + word(6)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(5)
+    kept = sorted(r["doc_id"] for r in jaccard_dedup.keep_representatives(docs).collect())
+    assert kept == sorted(set(brute_jaccard(texts)))
+    kept = jaccard_dedup.keep_representatives(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.count() == 8
+    assert jaccard_dedup.keep_representatives(no_docs).count() == 0
+
+
+def test_jaccard_keeps_rows_without_ids(spark):
+    text = lambda i: " ".join(f"t{i}w{j}" for j in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (3, text(3) + " end")]
+    kept = jaccard_dedup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, text(0)), (None, text(1)), (7, text(2)), (3, text(3) + " end")])
+
+
 def test_long_text_blocks(monkeypatch):
     text = " ".join(f"w{i % 89}" for i in range(3000))
     whole = simhash_dedup.fingerprint(text)
