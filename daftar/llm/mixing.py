@@ -9,9 +9,9 @@ compares hashes; nothing is sorted, and thresholds of smaller budgets are nested
 in those of larger ones.
 
 Nulls and edge cases: a null source is a source of its own and comes last; a null
-text has no words; a null ``doc_id`` hashes like any other value; rows of one id
-share a hash, so they stay or go together; sources without words have target 0;
-an empty table gives an empty result.
+text has no words; the hash is of id and text, nulls included, so only rows that
+agree in both stay or go together; sources without words have target 0; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +30,16 @@ BITS, ROUNDS = 10, 5
 SEED = 11
 
 
+def _hash(docs: DataFrame, seed: int) -> Column:
+    """BITS * ROUNDS bits of id and text; rows without an id, or with one id, differ by their text."""
+    text = docs["text"].cast("string")
+    whole = F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), F.xxhash64(text.isNull(), text))
+    return F.shiftrightunsigned(whole, 64 - BITS * ROUNDS)
+
+
 def document_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, hash) of every row; the hash has BITS * ROUNDS bits."""
-    top = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 64 - BITS * ROUNDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), top.alias("hash"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), _hash(docs, seed).alias("hash"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, cap: float = CAP) -> DataFrame:
@@ -121,8 +127,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
     sizes = durable(document_sizes(docs, seed), "sizes")
     limit, copy = fresh(docs, "_limit"), fresh(docs, "_copy")
     limits = thresholds(sizes, targets(sizes, weights, share, cap)).select(F.struct("source", "whole", "below").alias(limit))
-    top = F.shiftrightunsigned(F.xxhash64(F.lit(seed), docs["doc_id"].cast("long")), 64 - BITS * ROUNDS)
     joined = docs.join(limits, docs["source"].cast("string").eqNullSafe(F.col(limit)["source"]), "left")
-    times = F.col(limit)["whole"] + (top < F.col(limit)["below"]).cast("long")
+    times = F.col(limit)["whole"] + (_hash(docs, seed) < F.col(limit)["below"]).cast("long")
     copies = F.sequence(F.lit(1), times.cast("int"))
     return joined.withColumn(copy, F.explode(F.when(times > 0, copies))).select(*[docs[c] for c in docs.columns])

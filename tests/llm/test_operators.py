@@ -479,6 +479,18 @@ def test_mixing(spark, sf, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    """Most rows have a null id or one id: the target is still met within a document."""
+    rows = [(None if i % 3 else 4 if i % 2 else i, "x" if i % 4 else "y", " ".join(f"w{i}" for _ in range(5 + i % 7))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken, want = Counter(), {}
+    for r in mixing.mix(docs, share=0.6).collect():
+        taken[r["source_size"]] += r["taken"]
+        want[r["source_size"]] = r["target"]
+    assert all(0 <= want[s] - taken[s] + 1e-6 <= 11 for s in want)
+    assert sum(len(words(r["text"])) for r in mixing.mixed(docs, share=0.6).collect()) == sum(taken.values())
+
+
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"), F.when(F.col("id") % 2 == 0, "a").alias("y"))
     got = numbered(df, [F.col("y").asc_nulls_last(), F.col("x")], "n", 7).orderBy("n").collect()
