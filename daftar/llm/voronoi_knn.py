@@ -6,7 +6,7 @@ then distance^2 = |q|^2 + M^2 - 2 q.x.  In that space:
 
 1. pivots are drawn from the data, and queries and data go to their nearest pivot;
 2. each cell is summarised: how far its queries and its data lie from the pivot,
-   and the distances of the k + 1 nearest data;
+   and the distances of the k + 1 nearest data, an id counting once in all cells;
 3. from the summaries alone, each query cell gets a bound on the distance of its
    queries' k-th neighbour, and a data vector is sent to the query cell only if
    the triangle inequality can't rule it out;
@@ -97,11 +97,12 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SC
     reach = {r["cell"]: (r["far"], r["n"]) for r in located.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     near = data.select("vec_id", "v").mapInPandas(place_data, "vec_id long, cell int, far double")
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("far", "vec_id"))
-    nearest = near.withColumn("_n", rank).filter(F.col("_n") <= k + 1).select("cell", "far").toPandas()
+    once = near.groupBy("vec_id").agg(F.min(F.struct("far", "cell")).alias("at")).select("vec_id", "at.cell", "at.far")
+    nearest = once.withColumn("_n", rank).filter(F.col("_n") <= k + 1).select("cell", "far").toPandas()
     between = np.sqrt(np.maximum((points * points).sum(1)[:, None] + (points * points).sum(1)[None] - 2 * points @ points.T, 0))
     cells = np.array(sorted(reach))
     radius = np.array([reach[c][0] for c in cells])
-    # A query of cell c is at most radius + |c j| + far away from a vector of cell j; k + 1, for the query's own row may be among them.
+    # A query of cell c is at most radius + |c j| + far away from a vector of cell j; k + 1 distinct ids, for the query's own may be among them.
     upper = radius[:, None] + between[cells][:, nearest["cell"].to_numpy()] + nearest["far"].to_numpy()[None]
     upper.sort(axis=1)
     bound = upper[:, k] if upper.shape[1] > k else np.full(len(cells), np.inf)

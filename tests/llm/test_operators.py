@@ -398,6 +398,17 @@ def test_knn_odd_rows(spark):
     assert voronoi_knn.knn_join(vectors.filter("false"), asked.filter("false")).count() == 0
 
 
+def test_knn_repeated_query_rows(spark):
+    """A query's row repeated 30 times fills no bound: its true neighbours lie in other cells."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [1.0, 0.0, 0.0])] * 30 + [(i, [float(x) for x in rng.normal(0, 0.4, 3)]) for i in range(1, 60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    score = {i: int(np.floor(64 * np.array(v)) @ np.array([64.0, 0, 0])) for i, v in rows if i}
+    want = sorted(score, key=lambda i: (-score[i], i))[:5]
+    got = voronoi_knn.knn_join(vectors, vectors.filter("vec_id = 0"), k=5, pivots=89).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 # --- 7: sharding -----------------------------------------------------------------------
 
 
