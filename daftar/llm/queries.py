@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.llm import (
-    chat_examples, host_rules, line_dedup, mixing, packing, quality_sampling, secrets, sharding, simhash_dedup, voronoi_knn,
+    chat_examples, filter_audit, host_rules, line_dedup, mixing, packing, quality_sampling, secrets, sharding, simhash_dedup, spelling_groups, voronoi_knn,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,16 @@ def op10_secret_spans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_spelling_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_groups.group_spellings(_table(spark, sf, "documents"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 # --- check SQL ---------------------------------------------------------------------
 
 _WS = r"[\x20\x09-\x0D]"
@@ -183,3 +193,74 @@ WITH d AS (
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) END AS text,
   CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped
 FROM k"""
+
+
+# CRC-32, four bits at a time: the step of each value of the low four bits, by the polynomial's rule.
+def _crc_step(x: int) -> int:
+    for _ in range(4):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+_CRC_STEPS = "[" + ", ".join(f"{_crc_step(i)}::BIGINT" for i in range(16)) + "]"
+
+SQL["op11_spelling_groups"] = rf"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling_groups._UPPER}', '{spelling_groups._LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]{{{spelling_groups.MIN_LETTERS},}}')) AS run FROM documents)
+), d AS (
+  SELECT run, count(*) AS times, hex(encode(id || run)) AS x FROM r GROUP BY id, run
+), c AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x) + 1), lambda i: strpos('0123456789ABCDEF', x[i + 1 - 2 * ((i + 1) % 2)]) - 1)),
+    lambda a, b: xor(a >> 4, ({_CRC_STEPS})[xor(a & 15, b) + 1])), 4294967295::BIGINT) AS h FROM d
+), m AS (
+  SELECT times, CASE WHEN h % {spelling_groups.SLIP} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM c
+), w AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM m WHERE length(word) >= {spelling_groups.MIN_LETTERS} GROUP BY word HAVING sum(times) >= {spelling_groups.MIN_COUNT}
+), k AS (
+  SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)
+), p AS (
+  SELECT x.word, y.word AS other, y.n FROM k x JOIN k y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.a || k.b = w.word
+  UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.a || k.b = w.word
+), b AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(other, (-n, other)) AS best FROM p GROUP BY word
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {spelling_groups.RATIO} * w.n THEN best END AS form,
+    CASE WHEN best_n >= {spelling_groups.RATIO} * w.n THEN best_n END AS form_n FROM w LEFT JOIN b USING (word)
+), t AS (
+  SELECT word, word AS root FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL
+), e AS (
+  SELECT t.word, t.root FROM t JOIN f ON t.root = f.word WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)"""
+
+SQL["op12_filter_audit"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS words FROM documents
+), m AS (
+  SELECT doc_id, part, [len(words) < {filter_audit.MIN_WORDS}, 100 * len(list_distinct(words)) < {filter_audit.MIN_DISTINCT_PERCENT} * len(words),
+    100 * len(regexp_extract_all(text, '[A-Z]')) > {filter_audit.MAX_UPPER_PERCENT} * length(text), regexp_matches(text, '{filter_audit.SYMBOLS}'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM d
+), l AS (
+  SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), g AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL
+), o AS (
+  SELECT '' AS o, 0 AS k UNION ALL SELECT o || f, k + 1 FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)
+), s AS (
+  SELECT o AS filter_order, step, strpos('ABCDE', o[step]) AS f, list_transform(range(1, step), lambda j: strpos('ABCDE', o[j])) AS before
+  FROM (SELECT o, unnest(range(1, 6)) AS step FROM o WHERE k = 5)
+), x AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails[f] AS failing, len(list_filter(before, lambda j: fails[j])) = 0 AS alive,
+    fails[f] AND len(list_filter(fails, lambda j: j)) = 1 AS sole FROM g, s
+), a AS (
+  SELECT part, filter_order, step, f, sum(CASE WHEN alive AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN alive AND failing THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failing AND NOT alive THEN n ELSE 0 END) AS redundant, sum(CASE WHEN sole THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN alive AND failing THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN alive AND failing THEN toxic ELSE 0 END) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM a"""
