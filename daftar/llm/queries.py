@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.llm import (
-    chat_examples, filter_audit, host_rules, line_dedup, mixing, packing, quality_sampling, secrets, sharding, simhash_dedup, spelling_groups, voronoi_knn,
+    chat_examples, filter_audit, host_rules, line_dedup, mixing, packing, quality_sampling, repeated_passages, secrets, sharding, simhash_dedup, spelling_groups, voronoi_knn,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,6 +102,11 @@ def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.audit_filters(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+@query
+def op13_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages.remove_repeats(_table(spark, sf, "documents"))
+
+
 # --- check SQL ---------------------------------------------------------------------
 
 _WS = r"[\x20\x09-\x0D]"
