@@ -11,10 +11,12 @@ that equal strings always meet, and each part is merged on its own:
 2. In every string of ``WIDTH`` bytes the ``GRAM`` bytes with the smallest hash are its anchor.  Equal
    strings have equal anchors.  A run lists its anchors' hashes; a part of the hash range tells each
    run which of them other documents have, too.  Truncated hashes only let more through.
-3. A run sends, for each shared anchor, the bytes around it that hold the anchor's strings, once per
-   different content, with the smallest id.  Anchors in ``HOT`` documents or more are sent string by
-   string, under the strings' own hashes, so that no part gathers all surroundings of a common anchor.
-4. A part sorts the suffixes of shards of what arrived, and merges the shards' transforms: the
+3. Around each shared anchor lies a content: the bytes of the strings that have it as their anchor.  A
+   run offers the contents' digests with the smallest id of each; the part says which contents another
+   document owns (all their strings go), which are alone with their anchor (nothing to compare), and
+   which the run shall send.  Anchors in ``HOT`` documents or more are offered string by string, under
+   the strings' own digests, so that no part gathers all surroundings of a common anchor.
+4. A part sorts the suffixes of shards of the contents it was sent, and merges the shards' transforms: the
    interleaving starts without order and is refined by ``STEP`` bytes a round, each round dealing the
    shards' symbols out stably in the present order.  What shares its first bytes is a block; blocks
    of one suffix need no further rounds.  After ``WIDTH`` bytes the blocks are the repeated intervals;
@@ -45,7 +47,7 @@ from daftar.llm.common import durable
 
 WIDTH, GRAM = 50, 16
 #: Bytes of a run, of the text that a part answers for, and of a merge.
-RUN, PART, MERGE = 4 << 20, 16 << 20, 2 << 20
+RUN, PART, MERGE = 4 << 20, 16 << 20, 1 << 19
 #: Documents from which on an anchor's strings are sent one by one.
 HOT = 2000
 #: Bytes of a symbol of the transform, and shards of a merge.
@@ -55,6 +57,10 @@ _CHUNK = 1 << 15
 _REACH = WIDTH - GRAM + 1  # places of an anchor in its string; also the most strings of one anchor
 _SEGMENT = _REACH + WIDTH - 1
 _ALL = np.uint64((1 << 63) - 1)
+#: What a part says of a content: its strings stay, they all go, or its bytes are asked for.
+_STAYS, _GOES, _ASKED = range(3)
+#: Kinds of rows that a run is told.
+_SHARED, _VERDICT, _MASK = range(3)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -344,8 +350,25 @@ def _shared_of(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _send(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    names = ["part", "run", "keys", "digests", "ids", "sizes", "texts"]
+def _of_kind(told: pa.Table, kind: int) -> pa.Table:
+    return told.filter(pc.equal(told.column("kind"), kind))
+
+
+def _in_order(told: pa.Table, kind: int, contents: _Contents, bits: int, of: type) -> np.ndarray:
+    """The parts' replies of a kind, one after the other as the contents are; a part that was not asked has none."""
+    own = _of_kind(told, kind)
+    by_part = dict(zip(own.column("part").to_pylist(), own.column("data").to_pylist()))
+    pieces = [np.frombuffer(by_part[p], of) for p, _, _ in contents.parts(bits) if p in by_part]
+    return np.concatenate(pieces) if pieces else np.zeros(0, of)
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * (len(names) - 2)]
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, kinds))})
+
+
+def _offer(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The digests of a run's contents, for each part."""
 
     def run(rows: pa.Table, shared: pa.Table) -> pa.Table:
         out = []
@@ -353,13 +376,52 @@ def _send(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             own = _Run(rows)
             found = own.contents(_shared_of(shared), bits)
             number = rows.column("run")[0].as_py()
+            key = split_hash(found.key[found.at], bits)[1].astype("<u4")
+            digest, doc = found.digest[found.at], own.doc[found.row[found.at]]
+            for part, a, b in found.parts(bits):
+                out.append((part, number, key[a:b].tobytes(), digest[a:b].tobytes(), doc[a:b].tobytes()))
+        return _table(out, ["part", "run", "keys", "digests", "ids"])
+
+    return run
+
+
+def _decide(table: pa.Table) -> pa.Table:
+    """For each run, a verdict on each content it offered, in its order."""
+    cols = {c: table.column(c).to_pylist() for c in table.column_names}
+    key = np.concatenate([np.frombuffer(x, "<u4") for x in cols["keys"]])
+    digest = np.concatenate([np.frombuffer(x, np.uint64) for x in cols["digests"]])
+    doc = np.concatenate([np.frombuffer(x, np.int64) for x in cols["ids"]])
+    order = np.lexsort((doc, digest, key))
+    k, d = key[order], digest[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    new = new_key | np.concatenate([[True], d[1:] != d[:-1]])
+    of, group = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+    several = np.bincount(group[new])[group] > 1
+    verdict = np.empty(len(order), np.uint8)
+    verdict[order] = np.where(doc[order] > doc[order][new][of], _GOES, np.where(several, _ASKED, _STAYS))
+    edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in cols["keys"]])]).tolist()
+    return _table([(run, part, verdict[a:b].tobytes()) for run, part, a, b in zip(cols["run"], cols["part"], edges[:-1], edges[1:])], ["run", "part", "data"])
+
+
+def _send(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The bytes of the contents that the parts asked for."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and told.num_rows:
+            own = _Run(rows)
+            found = own.contents(_shared_of(_of_kind(told, _SHARED)), bits)
+            asked = _in_order(told, _VERDICT, found, bits, np.uint8) == _ASKED
+            number = rows.column("run")[0].as_py()
+            key = split_hash(found.key[found.at], bits)[1].astype("<u4")
             for part, a, b in found.parts(bits):
-                at = found.at[a:b]
-                first, size = found.first[at], found.n[at] + WIDTH - 1
-                text = b"".join(own.raw[f : f + n].tobytes() for f, n in zip(first.tolist(), size.tolist()))
-                out.append((part, number, found.key[at].tobytes(), found.digest[at].tobytes(), own.doc[found.row[at]].tobytes(), size.astype(np.uint8).tobytes(), text))
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-        return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names, kinds))})
+                pick = a + np.flatnonzero(asked[a:b])
+                if len(pick):
+                    at = found.at[pick]
+                    size = found.n[at] + WIDTH - 1
+                    text = b"".join(own.raw[f : f + n].tobytes() for f, n in zip(found.first[at].tolist(), size.tolist()))
+                    out.append((part, number, key[pick].tobytes(), own.doc[found.row[at]].tobytes(), size.astype(np.uint8).tobytes(), text))
+        return _table(out, ["part", "run", "keys", "ids", "sizes", "texts"])
 
     return run
 
@@ -367,47 +429,35 @@ def _send(bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def _answer(table: pa.Table) -> pa.Table:
     """For each run, a bit mask per content it sent, in its order."""
     cols = {c: table.column(c).to_pylist() for c in table.column_names}
-    key, digest = (np.concatenate([np.frombuffer(x, np.uint64) for x in cols[c]]) for c in ("keys", "digests"))
+    key = np.concatenate([np.frombuffer(x, "<u4") for x in cols["keys"]])
     doc = np.concatenate([np.frombuffer(x, np.int64) for x in cols["ids"]])
     size = np.concatenate([np.frombuffer(x, np.uint8) for x in cols["sizes"]]).astype(np.int64)
     raw = np.frombuffer(b"".join(cols["texts"]), np.uint8)
     offs = np.concatenate([[0], np.cumsum(size)])
-    order = np.lexsort((doc, digest, key))
-    new = np.ones(len(order), bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (digest[order][1:] != digest[order][:-1])
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    head = order[new]  # a content's first sender has its smallest id
-    least, mask = doc[head], np.zeros(len(head), np.uint64)
-    group = np.cumsum(np.concatenate([[True], key[head][1:] != key[head][:-1]])) - 1
-    several = np.bincount(group)[group] > 1  # one content alone has no strings to compare
-    todo = np.flatnonzero(several)
-    # whole groups, about MERGE bytes at a time
-    batch = np.cumsum(size[head[todo]]) // MERGE
-    ends = np.flatnonzero(np.concatenate([group[todo][1:] != group[todo][:-1], [True]])) + 1 if len(todo) else np.zeros(0, int)
-    cuts = [0, *[int(e) for e, nxt in zip(ends[:-1], ends[1:]) if batch[e - 1] != batch[nxt - 1]], len(todo)]
+    order = np.argsort(key, kind="stable")
+    # whole groups of a key, about MERGE bytes at a time
+    last = np.flatnonzero(np.concatenate([key[order][1:] != key[order][:-1], [True]])) + 1
+    upto = np.cumsum(size[order])[last - 1] // MERGE
+    cuts = [0, *last[np.flatnonzero(np.concatenate([upto[1:] != upto[:-1], [True]]))].tolist()]
+    mask = np.zeros(len(key), np.uint64)
     for a, b in zip(cuts[:-1], cuts[1:]):
-        own = todo[a:b]
-        if len(own):
-            pieces = [raw[offs[i] : offs[i + 1]] for i in head[own].tolist()]
-            mask[own] = repeated_in(np.concatenate(pieces), np.concatenate([[0], np.cumsum(size[head[own]])]), least[own])
-    reply = np.where(least[of] < doc, _ALL, mask[of])
-    edges = np.concatenate([[0], np.cumsum([len(x) // 8 for x in cols["keys"]])]).tolist()
-    data = [reply[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return pa.table({"run": pa.array(cols["run"], pa.int64()), "part": pa.array(cols["part"], pa.int64()), "data": pa.array(data, pa.binary())})
+        own = order[a:b]
+        pieces = [raw[x:y] for x, y in zip(offs[own].tolist(), offs[own + 1].tolist())]
+        mask[own] = repeated_in(np.concatenate(pieces), np.concatenate([[0], np.cumsum(size[own])]), doc[own])
+    edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in cols["keys"]])]).tolist()
+    return _table([(run, part, mask[a:b].tobytes()) for run, part, a, b in zip(cols["run"], cols["part"], edges[:-1], edges[1:])], ["run", "part", "data"])
 
 
 def _remove(bits: int, texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         own = _Run(rows)
-        answered = np.asarray(told.column("answer").to_pylist(), bool)
-        shared = _shared_of(told.filter(pa.array(~answered)))
+        shared = _shared_of(_of_kind(told, _SHARED))
         change = np.zeros(len(own.raw) + 1, np.int32)
         if shared:
             found = own.contents(shared, bits)
-            replies = told.filter(pa.array(answered))
-            by_part = dict(zip(replies.column("part").to_pylist(), replies.column("data").to_pylist()))
-            mask = np.concatenate([np.frombuffer(by_part[p], np.uint64) for p, _, _ in found.parts(bits)])
+            verdict = _in_order(told, _VERDICT, found, bits, np.uint8)
+            mask = np.where(verdict == _GOES, _ALL, np.uint64(0))
+            mask[verdict == _ASKED] = _in_order(told, _MASK, found, bits, np.uint64)
             doc = own.doc[found.row]
             each = np.where(doc > doc[found.at][found.of], _ALL, mask[found.of])
             whole = each == _ALL
@@ -453,10 +503,16 @@ def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT) -> Data
     rows, bits = _runs(docs)
     listed = rows.groupBy("run").applyInArrow(_list_anchors(bits), "part long, run long, data binary")
     shared = durable(listed.groupBy("part").applyInArrow(_find_shared(hot), "run long, part long, data binary"), "shared")
-    sent = rows.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(
-        _send(bits), "part long, run long, keys binary, digests binary, ids binary, sizes binary, texts binary"
-    )
-    answers = durable(sent.groupBy("part").applyInArrow(_answer, "run long, part long, data binary"), "answers")
-    told = shared.withColumn("answer", F.lit(False)).unionByName(answers.withColumn("answer", F.lit(True)))
+    reply = "run long, part long, data binary"
+
+    def ask(told: DataFrame, what: Callable[[pa.Table, pa.Table], pa.Table], kind: str) -> DataFrame:
+        return rows.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(what, kind).groupBy("part")
+
+    offers = ask(shared, _offer(bits), "part long, run long, keys binary, digests binary, ids binary")
+    verdicts = durable(offers.applyInArrow(_decide, reply), "verdicts")
+    told = shared.withColumn("kind", F.lit(_SHARED)).unionByName(verdicts.withColumn("kind", F.lit(_VERDICT)))
+    sent = ask(told, _send(bits), "part long, run long, keys binary, ids binary, sizes binary, texts binary")
+    masks = durable(sent.applyInArrow(_answer, reply), "masks")
+    told = told.unionByName(masks.withColumn("kind", F.lit(_MASK)))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     return rows.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(_remove(bits, texts), kind)
