@@ -3,8 +3,8 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from daftar.llm import line_dedup, mixing, simhash_dedup
-from tests.llm.test_operators import brute_fingerprint, brute_groups, brute_targets, check_packing, words
+from daftar.llm import jaccard_dedup, line_dedup, mixing
+from tests.llm.test_operators import brute_jaccard, brute_targets, check_packing, words
 
 
 def test_stages(spark, sf, tmp_path):
@@ -38,7 +38,7 @@ def test_stages(spark, sf, tmp_path):
 
     before, after = tables["near_duplicates"]
     rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
-    groups = brute_groups([brute_fingerprint(t, simhash_dedup.SHINGLE) for _, t in rows], simhash_dedup.RADIUS)
+    groups = brute_jaccard([t for _, t in rows], jaccard_dedup.PERCENT)
     assert sorted(r["doc_id"] for r in after.collect()) == sorted({rows[g][0] for g in groups})
 
     before, after = tables["mixing"]
