@@ -10,7 +10,8 @@ from daftar.catalog.base import (
     query, s_cosine, s_re, s_trim, table,
 )
 from daftar.functions import names
-from daftar.operators import aliases, curriculum, dedup, health, resolve, retrieval
+from daftar.operators import aliases, curriculum, dedup, health, resolve, retrieval, vector_index
+from daftar.session import scratch_path
 
 
 def _token_sql(x: str) -> str:
@@ -299,6 +300,28 @@ def ann_recall(spark, sf):
     return out.select("neighbours", (F.col("recall") >= 0.9).alias("enough"))
 
 
+def _indexed(spark, sf):
+    """Four fifths of the vectors built into an index, the others added to it; everyone's queries."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    path = scratch_path(spark, "vector-index")
+    vector_index.build(e.filter("chunk_id % 5 <> 0"), path, dim=64, k=5)
+    vector_index.add(spark, path, e.filter("chunk_id % 5 = 0"))
+    queries = e.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return e, queries, vector_index.search(queries, vector_index.load(spark, path), 5)
+
+
+@query("ann_index_pairs")
+def ann_index_pairs(spark, sf):
+    return _indexed(spark, sf)[2]
+
+
+@query("ann_index_recall", "SELECT 5 * count(*) AS neighbours, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def ann_index_recall(spark, sf):
+    """Whether the probed cells hold nine of ten exact neighbours (queries: ids divisible by 20, against all rows)."""
+    e, queries, found = _indexed(spark, sf)
+    return retrieval.ann_recall(found, retrieval.cosine_topk(queries, e, 5)).select("neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("chunk_detail", """
 SELECT c_custkey AS chunk_id, kind, place, payload FROM customer LEFT JOIN (
   SELECT o_custkey AS k, 'version' AS kind, o_orderkey AS place, o_orderpriority AS payload FROM orders

@@ -10,7 +10,8 @@ from daftar.catalog.base import (
 )
 from daftar.functions import data, text
 from daftar.operators import edit, filters
-from daftar.sources import files, links
+from daftar.session import scratch_path
+from daftar.sources import files, keyed_store, links
 from daftar.sources import pages as page_source
 from daftar.sources import stores
 
@@ -75,6 +76,20 @@ def upsert(spark, sf):
     return stores.upsert(new, store, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).drop("ts")
 
 
+@query("keyed_upsert", """
+SELECT user_id, event_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def keyed_upsert(spark, sf):
+    """The store on files after two upserts, the second one repeated under its name."""
+    log = table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    path, by = scratch_path(spark, "keyed-store"), ["ts", "event_id"]
+    keyed_store.create(log.filter("event_type not in ('purchase', 'click')"), path, ["user_id"], by)
+    keyed_store.upsert(log.filter("event_type = 'purchase'"), path, ["user_id"], by)
+    for _ in range(2):
+        keyed_store.upsert(log.filter("event_type = 'click'"), path, ["user_id"], by, batch="clicks")
+    return keyed_store.read(spark, path).select("user_id", "event_id", "event_type")
+
+
 @query("conditional_update", f"""
 SELECT chunk_id, CASE WHEN embedding IS NULL AND embedding_status IN ('failed', 'processing') THEN 'pending' ELSE embedding_status END AS embedding_status,
   CASE WHEN embedding IS NULL AND embedding_status IN ('failed', 'processing') THEN NULL ELSE embedding_claimed_at END AS embedding_claimed_at
