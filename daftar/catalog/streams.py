@@ -13,9 +13,9 @@ def _events(spark, sf):
     return flows.table_stream(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("ingest_stream", "SELECT doc_id, source, n_chars FROM documents")
+@query("ingest_stream", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def ingest_stream(spark, sf):
-    docs = flows.table_stream(spark, sf, "documents.parquet").select("doc_id", "source", "n_chars")
+    docs = flows.table_stream(spark, sf, "documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     return flows.run_to_table(docs, "ingested")
 
 
@@ -72,6 +72,42 @@ def stream_job_state(spark, sf):
     return flows.latest_updates(flows.run_to_table(flows.stream_job_state(jobs), "jobs", "update"), "job_id")
 
 
+# States in their order, dealt out so that some jobs go a long way and some steps are not legal.
+_STATES = [*flows.JOB_STEPS]
+_PAIRS = ", ".join(f"('{a}', '{b}')" for a, nexts in flows.JOB_STEPS.items() for b in nexts)
+_ALWAYS = ", ".join(f"'{x}'" for x in flows.JOB_ALWAYS)
+_STEPS = f"""WITH RECURSIVE e AS (
+  SELECT user_id AS job_id, ts, event_id AS tie, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n,
+    CASE WHEN event_id % 7 = 0 THEN 'pending' WHEN event_id % 11 = 0 THEN 'failed' ELSE ({_STATES})[1 + event_id % 9] END AS status
+  FROM events WHERE epoch_us(ts) <= (SELECT (epoch_us(max(ts)) - 600000000) // 1000 * 1000 FROM events)
+), r AS (
+  SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS tie, CAST(NULL AS VARCHAR) AS status,
+    CAST(NULL AS VARCHAR) AS previous, CAST(NULL AS VARCHAR) AS state, false AS legal FROM e
+  UNION ALL
+  SELECT job_id, n, ts, tie, status, state, CASE WHEN ok THEN status ELSE state END, ok FROM (
+    SELECT e.job_id, e.n, e.ts, e.tie, e.status, r.state, CASE WHEN r.state IS NULL THEN e.status = 'pending'
+      ELSE e.status IN ({_ALWAYS}) OR (r.state, e.status) IN ({_PAIRS}) END AS ok
+    FROM r JOIN e ON e.job_id = r.job_id AND e.n = r.n + 1)
+)"""
+
+
+def _job_steps(spark, sf):
+    at = F.col("event_id")
+    status = F.when(at % 7 == 0, "pending").when(at % 11 == 0, "failed").otherwise(F.get(F.array(*map(F.lit, _STATES)), (at % 9).cast("int")))
+    jobs = _events(spark, sf).select(F.col("user_id").alias("job_id"), status.alias("status"), "ts", "event_id")
+    return flows.run_to_table(flows.stream_job_steps(jobs), "job-steps")
+
+
+@query("stream_job_steps", _STEPS + " SELECT job_id, ts, tie, status, coalesce(previous, '') AS previous, legal FROM r WHERE n > 0")
+def stream_job_steps(spark, sf):
+    return _job_steps(spark, sf).withColumn("previous", F.coalesce("previous", F.lit("")))
+
+
+@query("stream_current_states", _STEPS + " SELECT job_id, arg_max(status, n) AS status, max(ts) AS ts FROM r WHERE legal GROUP BY 1")
+def stream_current_states(spark, sf):
+    return flows.current_states(_job_steps(spark, sf))
+
+
 @query("recent_activity", "SELECT time_bucket(INTERVAL 2 MINUTE, ts) AS window_start, count(*) FILTER (WHERE event_type = 'view') AS pending FROM events GROUP BY 1")
 def recent_activity(spark, sf):
     rows = _events(spark, sf).select("ts", F.when(F.col("event_type") == "view", "pending").otherwise(F.col("event_type")).alias("status"))

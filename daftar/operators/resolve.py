@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daftar.functions.data import append_log
 from daftar.functions.names import slugify_label
+from daftar.operators.patterns import contained_in
 
 
 def unique_names(dim: DataFrame, name: str, payload: list[str]) -> DataFrame:
@@ -32,20 +33,13 @@ def resolve_ancestors(df: DataFrame, grades: DataFrame, cycles: DataFrame, grade
 def containment_join(needles: DataFrame, needle: str, texts: DataFrame, text: str, condition: Column | None = None) -> DataFrame:
     """Pairs where ``text`` contains the non-empty ``needle``.
 
-    A text containing the needle contains the needle's first three characters
-    (all of it when shorter), so both sides meet on that key and the containment
-    test runs only where it can succeed.
+    All distinct needles are sought at once (``patterns.contained_in``); the rows of
+    both sides then meet on whole strings.
     """
-    n = F.length(text)
-
-    def pieces(size: int):
-        at = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1)))
-        return F.coalesce(F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(size))), F.array().cast("array<string>"))
-
-    keyed = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))))
-    asked = needles.filter(F.col(needle) != "").withColumn("_head", F.left(F.col(needle), F.lit(3)))
-    match = (F.col("_head") == F.col("_gram")) & F.contains(F.col(text), F.col(needle))
-    return asked.join(keyed, match if condition is None else match & condition).drop("_head", "_gram")
+    pairs = contained_in(needles, needle, texts, text)
+    fits = F.col("_within") == F.col(text)
+    asked = needles.join(pairs, F.col(needle) == F.col("_sought")).drop("_sought")
+    return asked.join(texts, fits if condition is None else fits & condition).drop("_within")
 
 
 def topic_needle(hint: Column) -> Column:

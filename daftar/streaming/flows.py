@@ -219,6 +219,98 @@ def stream_job_state(stream: DataFrame, tie: str = "event_id") -> DataFrame:
     return stream.groupBy("job_id").agg(F.max_by("status", F.struct("ts", tie)).alias("status"), F.max("ts").alias("ts"))
 
 
+#: The order of a job's states; every state may also fail or be set back to pending.
+JOB_STEPS = {
+    "pending": ["extracting"], "extracting": ["ocr_running", "chunking"], "ocr_running": ["chunking"], "chunking": ["quality_scan"],
+    "quality_scan": ["repairing"], "repairing": ["embedding"], "embedding": ["completed"], "completed": [], "failed": [],
+}
+JOB_ALWAYS = ["failed", "pending"]
+
+
+def legal_step(now: str | None, status: str | None) -> bool:
+    """Whether a job in state ``now`` may go to ``status``; a new job starts as pending."""
+    if now is None:
+        return status == "pending"
+    return status in JOB_ALWAYS or status in JOB_STEPS[now]
+
+
+class JobStates(StatefulProcessor):
+    """Per job: takes its rows in the order of their times and checks each step.
+
+    Rows wait in the state until the watermark has passed them, so the order in
+    which they arrive does not matter within the delay.  A step that is not legal
+    is told as such and leaves the job where it was.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "status string")
+        self.waiting = handle.getListState("waiting", "ts timestamp, tie long, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            new = [(ts.to_pydatetime(), int(tie), status) for ts, tie, status in zip(frame["ts"], frame["tie"], frame["status"])]
+            if new:
+                self.waiting.appendList(new)
+        yield self._advance(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues)
+
+    def _advance(self, key, timerValues) -> pd.DataFrame:
+        upto = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
+        rows = sorted((pd.Timestamp(ts), tie, status or "") for ts, tie, status in self.waiting.get()) if self.waiting.exists() else []
+        now = self.now.get()[0] if self.now.exists() else None
+        told = []
+        for ts, tie, status in rows:
+            if ts > upto:
+                break
+            legal = legal_step(now, status)
+            told.append((key[0], ts, tie, status, now, legal))
+            now = status if legal else now
+        later = [(ts.to_pydatetime(), tie, status) for ts, tie, status in rows[len(told) :]]
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+        if now is not None:
+            self.now.update((now,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if later:
+            # A timer fires once the watermark is past it; it counts in whole milliseconds.
+            self.handle.registerTimer(-(-int(pd.Timestamp(later[0][0]).value) // 1_000_000))
+        out = pd.DataFrame(told, columns=["job_id", "ts", "tie", "status", "previous", "legal"])
+        return out.astype({"ts": "datetime64[us]", "tie": "int64", "legal": "bool", "status": object, "previous": object, "job_id": "int64" if isinstance(key[0], int) else object})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_job_steps(stream: DataFrame, tie: str = "event_id", delay: str = "10 minutes") -> DataFrame:
+    """Every step of every job, checked: job_id, ts, tie, status, previous, legal.
+
+    stream(job_id, ts, status and ``tie``, a number that orders rows of one time).  The legal
+    rows are the jobs' states (``current_states``), the others the side output.  Rows later
+    than ``delay`` are dropped; a null status is the empty one, which is never legal.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    key = stream.schema["job_id"].dataType.simpleString()
+    rows = stream.select("job_id", "ts", F.col(tie).cast("long").alias("tie"), "status")
+    return (
+        rows.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(
+            statefulProcessor=JobStates(),
+            outputStructType=f"job_id {key}, ts timestamp, tie long, status string, previous string, legal boolean",
+            outputMode="append",
+            timeMode="eventTime",
+        )
+    )
+
+
+def current_states(steps: DataFrame) -> DataFrame:
+    """The state each job has reached by legal steps."""
+    return steps.filter("legal").groupBy("job_id").agg(F.max_by("status", F.struct("ts", "tie")).alias("status"), F.max("ts").alias("ts"))
+
+
 def latest_updates(updates: DataFrame, key: str) -> DataFrame:
     """The last row per key out of the batches an update-mode stream wrote."""
     w = Window.partitionBy(key).orderBy(F.col("batch_id").desc())

@@ -67,3 +67,48 @@ def test_watermarked_dedup(spark, tmp_path):
     stream = flows.table_stream(spark, str(tmp_path / "in"), "*.parquet").withColumn("ts", F.timestamp_seconds("s"))
     out = flows.run_to_table(flows.stream_dedup(stream, ["content_hash"], "ts", "1 hour"), "dedup")
     assert sorted(r.content_hash for r in out.collect()) == ["a", "b"]
+
+
+STEPS = "job_id int, status string, ts timestamp, event_id long"
+
+
+def _job_rows():
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    good = ["pending", "extracting", "chunking", "quality_scan", "repairing", "embedding", "completed"]
+    rows = [(1, s, at(i), i) for i, s in enumerate(good)]
+    rows += [(2, "pending", at(0), 20), (2, "chunking", at(1), 21), (2, "extracting", at(1), 22), (2, "failed", at(2), 23), (2, "embedding", at(3), 24), (2, "pending", at(4), 25)]
+    rows += [(3, "extracting", at(0), 30), (3, None, at(1), 31), (3, "nonsense", at(2), 32), (3, "pending", at(3), 33)]
+    return rows, [(9, "pending", at(600), 99)]
+
+
+def test_job_steps_out_of_order(spark, tmp_path):
+    """Rows of one job in three files, last ones first: the same steps as in order; what is not legal changes no state."""
+    rows, end = _job_rows()
+    for part in (rows[2::3], rows[1::3], rows[::3], end):
+        write(spark, tmp_path / "in", part, STEPS)
+    stream = flows.table_stream(spark, str(tmp_path / "in"), "*.parquet", files_per_trigger=1)
+    steps = flows.run_to_table(flows.stream_job_steps(stream, delay="1 hour"), "steps")
+    got = sorted((r.job_id, r.tie, r.previous, r.legal) for r in steps.collect())
+    want, state = [], {}
+    for job, status, _, tie in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
+        legal = flows.legal_step(state.get(job), status)
+        want.append((job, tie, state.get(job), legal))
+        state[job] = status if legal else state.get(job)
+    assert got == sorted(want)
+    assert [(j, t) for j, t, _, legal in got if not legal] == [(2, 21), (2, 24), (3, 30), (3, 31), (3, 32)]
+    assert {r.job_id: r.status for r in flows.current_states(steps).collect()} == {1: "completed", 2: "pending", 3: "pending"}
+
+
+def test_job_steps_go_on_after_a_restart(spark, tmp_path):
+    """A second run over the same checkpoint starts from the stored states and tells no step twice."""
+    rows, end = _job_rows()
+    src, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    for part in (rows[:9], rows[9:], end):
+        write(spark, tmp_path / "in", part, STEPS)
+        steps = flows.stream_job_steps(flows.table_stream(spark, src, "*.parquet"), delay="1 hour")
+        flows.ingest_stream(steps, out, mark).awaitTermination()
+    told = spark.read.parquet(out)
+    assert told.count() == len(rows) == told.select("job_id", "tie").distinct().count()
+    assert {r.job_id: r.status for r in flows.current_states(told).collect()} == {1: "completed", 2: "pending", 3: "pending"}
