@@ -424,6 +424,26 @@ def prepare_corpus(spark, sf):
     return done.chunks.select("document_id", "chunk_index", "page_start", "page_end", "quality_score", "repair_status", "embedding_status")
 
 
+def _count_sql(stage, counter, of="count(*)", rows="x"):
+    return f"SELECT '{stage}' AS stage, '{counter}' AS counter, CAST({of} AS BIGINT) AS value FROM {rows}"
+
+
+@query("prepare_metrics", f"WITH x AS (SELECT * FROM {_scored_sql(_REVIEW_ROWS)}) " + " UNION ALL ".join([
+    _count_sql("pages", "rows", rows=PAGES), _count_sql("pages", "low_text", "count(*) FILTER (WHERE low_text)", PAGES),
+    _count_sql("scored", "rows"), *[_count_sql("scored", s, f"count(*) FILTER (WHERE repair_status = '{s}')") for s in ("clean", "needs_review", "embedded", "rejected")],
+    _count_sql("scored", "duplicates", "count(*) FILTER (WHERE dup)", _REVIEW_ROWS),
+    _count_sql("chunks", "rows"), _count_sql("chunks", "clean", "0 * count(*)"), _count_sql("chunks", "embedded", "count(*) FILTER (WHERE repair_status = 'clean')"),
+    *[_count_sql("chunks", s, f"count(*) FILTER (WHERE repair_status = '{s}')") for s in ("needs_review", "rejected")],
+    _count_sql("chunks", "vectors", "count(*) FILTER (WHERE repair_status = 'clean')"), _count_sql("chunks", "vectors_failed", "0 * count(*)"),
+]))
+def prepare_metrics(spark, sf):
+    """Counts that the review path observed in its own writes, against a recount."""
+    docs = _files(spark, sf).withColumnRenamed("file_id", "document_id")
+    grades = spark.createDataFrame([(g,) for g in _ALLOWED], "name string")
+    done = review.prepare_corpus(docs, grades, base.subjects(spark, sf), models.hashing_embedder(64), 64, _classifier, separator="\n")
+    return review.metrics_table(spark, done)
+
+
 _REPAIRABLE = "repair_status = 'needs_review' AND page_start % 7 <> 0"
 
 

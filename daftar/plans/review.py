@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.operators import chunking, dedup, edit, health, models, quality
@@ -21,6 +21,8 @@ class Prepared:
     versions: DataFrame
     logs: DataFrame
     paths: list[str] = field(default_factory=list)
+    #: Counts by stage, observed while the stages were written.
+    metrics: dict[str, dict[str, int]] = field(default_factory=dict)
 
     def close(self) -> None:
         """Delete the tables of the stages; call it when the results are stored."""
@@ -77,8 +79,15 @@ def prepare_corpus(
     return prepared
 
 
+def _status_counts() -> dict[str, Column]:
+    found = {s: F.count_if(F.col("repair_status") == s) for s in ("clean", "needs_review", "embedded", "rejected")}
+    return {"rows": F.count("*"), **found}
+
+
 def _prepare(docs, grades, subjects, embedder, dim, classifier, repairer, existing, separator, keep_newlines) -> Prepared:
-    pages = durable(page_source.page_scan(docs, separator=separator, keep_newlines=keep_newlines), "pages")
+    told: dict[str, dict[str, int]] = {}
+    seen = {"rows": F.count("*"), "low_text": F.count_if(F.col("low_text"))}
+    pages = durable(page_source.page_scan(docs, separator=separator, keep_newlines=keep_newlines), "pages", seen, told)
     mode = page_source.extraction_mode(pages)
     pages = page_source.ocr_mark(pages)
     preview = page_source.preview_text(pages)
@@ -90,10 +99,11 @@ def _prepare(docs, grades, subjects, embedder, dim, classifier, repairer, existi
         classification.drop("filename", "preview"), "document_id", "left"
     )
 
-    scored = durable(scored_chunks(pages, classification, existing), "scored")
+    scored = durable(scored_chunks(pages, classification, existing), "scored", {**_status_counts(), "duplicates": F.count_if(F.col("is_duplicate"))}, told)
     versions = None
     if repairer is not None:
-        answers = durable(models.repair_chunks(scored, repairer), "repairs")
+        seen = {"rows": F.count("*"), "failed": F.count("repair_error")}
+        answers = durable(models.repair_chunks(scored, repairer), "repairs", seen, told)
         edits = answers.filter(F.col("repair_error").isNull()).select(
             "chunk_id", F.col("repaired_content").alias("content"), "title", "language", "repair_status",
             F.current_timestamp().alias("edited_at"),
@@ -108,10 +118,11 @@ def _prepare(docs, grades, subjects, embedder, dim, classifier, repairer, existi
 
     embedded = models.embed_chunks(scored.filter(eligible()), embedder, dim)
     rest = scored.filter(~eligible())
-    chunks = durable(embedded.unionByName(rest, allowMissingColumns=True), "chunks")
+    seen = {**_status_counts(), "vectors": F.count("embedding"), "vectors_failed": F.count("embedding_error")}
+    chunks = durable(embedded.unionByName(rest, allowMissingColumns=True), "chunks", seen, told)
     if versions is None:
         versions = scored.limit(0).select("chunk_id", F.lit(1).alias("version_index"), "content", "content_hash")
-    return Prepared(documents, chunks, versions, page_source.ocr_logs(pages).unionByName(_failures(chunks)))
+    return Prepared(documents, chunks, versions, page_source.ocr_logs(pages).unionByName(_failures(chunks)), metrics=told)
 
 
 def _failures(chunks: DataFrame) -> DataFrame:
@@ -136,3 +147,9 @@ def _failures(chunks: DataFrame) -> DataFrame:
 def stage_counts(prepared: Prepared) -> DataFrame:
     """Rows per final status."""
     return health.status_counts(prepared.chunks, "repair_status")
+
+
+def metrics_table(spark: SparkSession, prepared: Prepared) -> DataFrame:
+    """(stage, counter, value): what the run counted while it wrote its stages."""
+    rows = [(stage, counter, int(value)) for stage, found in prepared.metrics.items() for counter, value in found.items()]
+    return spark.createDataFrame(rows, "stage string, counter string, value long")

@@ -11,7 +11,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Applied to a session that did not set them itself.  Joins carry no broadcast
 # hints: Catalyst and AQE broadcast a side only after looking at its size, and
@@ -99,18 +99,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def durable(df: DataFrame, name: str = "stage") -> DataFrame:
+def durable(df: DataFrame, name: str = "stage", counts: dict[str, Column] | None = None, told: dict | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used before and after injected model calls: a lost executor re-reads the
     table instead of calling the model again, and every later branch sees the
-    same rows.
+    same rows.  ``counts``, aggregates by name, are observed while the rows are
+    written and put into ``told`` under the stage's name; no row is read again for them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     for paths in _tracking:
         paths.append(path)
+    seen = Observation(f"{name}-{uuid.uuid4().hex}") if counts else None
+    if seen:
+        df = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
     df.write.parquet(path)
+    if seen:
+        told[name] = {k: seen.get.get(k) or 0 for k in counts}
     return spark.read.parquet(path)
 
 

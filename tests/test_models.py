@@ -148,6 +148,29 @@ def test_prepare_corpus_with_models(spark):
     assert out.versions.count() == sum(r.content.endswith("repaired") for r in rows.values())
     assert {r.document_id: r.extraction_mode for r in out.documents.collect()} == {1: "hybrid", 2: "scanned"}
     assert out.logs.count() == 4
+    # what the writes observed is what a recount finds
+    told = {(r.stage, r.counter): r.value for r in review.metrics_table(spark, out).collect()}
+    assert told["pages", "rows"] == 3 and told["chunks", "rows"] == len(rows) == told["scored", "rows"]
+    assert told["chunks", "embedded"] == told["chunks", "vectors"] == sum(r.embedding is not None for r in rows.values())
+    assert told["repairs", "failed"] == 0 and told["chunks", "rejected"] == sum(r.repair_status == "rejected" for r in rows.values())
+
+
+def test_stage_counts_cost_no_further_job(spark):
+    """Counting while writing runs the jobs that writing runs, also for an empty stage."""
+    from daftar.session import durable
+
+    def jobs(**more):
+        group = f"observed-{len(more)}"
+        spark.sparkContext.setJobGroup(group, group)
+        durable(spark.range(1000), "numbers", **more)
+        spark.sparkContext.setJobGroup("rest", "rest")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    told = {}
+    assert jobs(counts={"rows": F.count("*"), "even": F.count_if(F.col("id") % 2 == 0)}, told=told) == jobs()
+    assert told == {"numbers": {"rows": 1000, "even": 500}}
+    durable(spark.range(0), "none", {"rows": F.count("*")}, told)
+    assert told["none"] == {"rows": 0}
 
 
 def test_ingest_twice_adds_nothing(spark):
