@@ -113,8 +113,8 @@ def _prepare(docs, grades, subjects, embedder, dim, classifier, repairer, existi
         versions = scored.join(edited.filter("content_changed").select("chunk_id"), "chunk_id", "left_semi").select(
             "chunk_id", F.lit(1).alias("version_index"), "content", "content_hash"
         )
-        told = answers.select("chunk_id", "repair_notes", "quality_score_after", F.col("generated_content").alias("has_generated"), "repair_error")
-        scored = durable(edited.drop("content_changed", "embedding_status", "updated_at").join(told, "chunk_id", "left"), "repaired")
+        notes = answers.select("chunk_id", "repair_notes", "quality_score_after", F.col("generated_content").alias("has_generated"), "repair_error")
+        scored = durable(edited.drop("content_changed", "embedding_status", "updated_at").join(notes, "chunk_id", "left"), "repaired")
 
     embedded = models.embed_chunks(scored.filter(eligible()), embedder, dim)
     rest = scored.filter(~eligible())
