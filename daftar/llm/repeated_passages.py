@@ -47,7 +47,7 @@ from daftar.llm.common import durable
 
 WIDTH, GRAM = 50, 16
 #: Bytes of a run, of the text that a part answers for, and of a merge.
-RUN, PART, MERGE = 4 << 20, 16 << 20, 1 << 19
+RUN, PART, MERGE = 2 << 20, 16 << 20, 1 << 19
 #: Documents from which on an anchor's strings are sent one by one.
 HOT = 2000
 #: Bytes of a symbol of the transform, and shards of a merge.
@@ -146,8 +146,8 @@ class _Run:
 
     def digests(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         out = np.empty(len(first), np.uint64)
-        for at in range(0, len(first), 1 << 15):
-            part = slice(at, at + (1 << 15))
+        for at in range(0, len(first), 1 << 13):
+            part = slice(at, at + (1 << 13))
             words = np.ascontiguousarray(self.words(first[part], length[part])).view(np.uint64)
             out[part] = _mixed((_mixed(words + _FACTOR[: words.shape[1]]) * _FACTOR[: words.shape[1]]).sum(1, dtype=np.uint64) + length[part].astype(np.uint64))
         return out
