@@ -501,12 +501,13 @@ def _runs(docs: DataFrame) -> tuple[DataFrame, int]:
 def remove_repeats(docs: DataFrame, texts: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``texts`` also the kept bytes) of every row."""
     rows, bits = _runs(docs)
-    listed = rows.groupBy("run").applyInArrow(_list_anchors(bits), "part long, run long, data binary")
+    # Parts are dealt out by number: adaptive execution would put many into one task by their bytes, but their work is in the merging.
+    listed = rows.groupBy("run").applyInArrow(_list_anchors(bits), "part long, run long, data binary").repartition(1 << bits, "part")
     shared = durable(listed.groupBy("part").applyInArrow(_find_shared(hot), "run long, part long, data binary"), "shared")
     reply = "run long, part long, data binary"
 
     def ask(told: DataFrame, what: Callable[[pa.Table, pa.Table], pa.Table], kind: str) -> DataFrame:
-        return rows.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(what, kind).groupBy("part")
+        return rows.groupBy("run").cogroup(told.groupBy("run")).applyInArrow(what, kind).repartition(1 << bits, "part").groupBy("part")
 
     offers = ask(shared, _offer(bits), "part long, run long, keys binary, digests binary, ids binary")
     verdicts = durable(offers.applyInArrow(_decide, reply), "verdicts")
