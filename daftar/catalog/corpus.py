@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from daftar.catalog import base
-from daftar.catalog.base import CHUNKS, PAGES, WS, query, s_clean, s_cosine, s_norm, s_trim, table
+from daftar.catalog.base import CHUNKS, PAGES, WS, query, s_clean, s_collapse, s_cosine, s_norm, s_trim, table
 from daftar.catalog.functions import SEGMENT, SPACED, SYMBOLS, TITLE, _TOPIC, _grade_sql
 from daftar.functions import names
 from daftar.functions.text import detect_title
@@ -49,7 +49,53 @@ def chunk_window(spark, sf):
     return chunking.chunk_window(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("chunk_paragraph")
+def _tail(end: str, start: str, back: int) -> str:
+    """Place of the first non-blank among the last ``back`` characters of a span."""
+    sub = f"substr(t, greatest({start}, {end} - {back}) + 1, {end} - greatest({start}, {end} - {back}))"
+    return f"({end} - length(ltrim({sub}, ' ' || chr(10))))"
+
+
+# Paragraphs; sentence runs of those over 1200 characters; all units on one canvas; packing; then cuts of what is too long.
+_PACKED = f"""(WITH RECURSIVE par AS MATERIALIZED (
+  SELECT doc_id, p, x FROM (SELECT doc_id, generate_subscripts(a, 1) AS p, {s_collapse('unnest(a)')} AS x FROM (
+    SELECT doc_id, regexp_split_to_array({s_trim("regexp_replace(replace(text, chr(13), ''), '[ \t]+' || chr(10), chr(10), 'g')")}, '\n{WS}*\n') AS a FROM documents)) WHERE x <> ''),
+sen AS MATERIALIZED (SELECT doc_id, p, i, x, CAST(sum(length(x) + 1) OVER (PARTITION BY doc_id, p ORDER BY i) AS BIGINT) - 1 AS stop FROM (
+  SELECT doc_id, p, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (
+    SELECT doc_id, p, string_split(regexp_replace(x, '([.!?;:؟]) ', '\\1' || chr(1), 'g'), chr(1)) AS a FROM par WHERE length(x) > 1200))),
+run AS (
+  SELECT doc_id, p, i, stop, CAST(0 AS BIGINT) AS s FROM sen WHERE i = 1
+  UNION ALL
+  SELECT sen.doc_id, sen.p, sen.i, sen.stop, CASE WHEN sen.stop - run.s > 1200 THEN run.stop + 1 ELSE run.s END
+  FROM run JOIN sen ON sen.doc_id = run.doc_id AND sen.p = run.p AND sen.i = run.i + 1),
+unit AS (
+  SELECT doc_id, p, CAST(0 AS BIGINT) AS s, x FROM par WHERE length(x) <= 1200
+  UNION ALL
+  SELECT par.doc_id, par.p, g.s, substr(x, g.s + 1, g.e - g.s) FROM (SELECT doc_id, p, s, max(stop) AS e FROM run GROUP BY ALL) g JOIN par ON par.doc_id = g.doc_id AND par.p = g.p),
+placed AS MATERIALIZED (SELECT *, ue - length(x) AS us FROM (
+  SELECT doc_id, x, row_number() OVER w AS k, CAST(sum(length(x) + 2) OVER w AS BIGINT) - 2 AS ue FROM unit WINDOW w AS (PARTITION BY doc_id ORDER BY p, s))),
+canvas AS MATERIALIZED (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY k) AS t, max(k) AS units FROM placed GROUP BY doc_id),
+pack AS (
+  SELECT doc_id, t, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(NULL AS BIGINT) AS cs, CAST(NULL AS BIGINT) AS ce, CAST(NULL AS BIGINT) AS ls, CAST(NULL AS BIGINT) AS le FROM canvas
+  UNION ALL
+  SELECT doc_id, t, k, CASE WHEN ue - s1 > 1200 THEN ue ELSE s1 END, ue, CASE WHEN full_ THEN s END, CASE WHEN full_ THEN e END, CASE WHEN ue - s1 > 1200 THEN s1 END, CASE WHEN ue - s1 > 1200 THEN ue END FROM (
+    SELECT *, CASE WHEN e = s THEN us WHEN NOT full_ THEN s WHEN ue - us > 1200 OR {_tail('e', 's', 200)} = e THEN us ELSE {_tail('e', 's', 200)} END AS s1 FROM (
+      SELECT pack.doc_id, t, placed.k, us, ue, s, e, e > s AND ue - s > 1200 AS full_
+      FROM pack JOIN placed ON placed.doc_id = pack.doc_id AND placed.k = pack.k + 1))),
+long AS (
+  SELECT doc_id, t, k, 1 AS j, ls AS s, le AS e, ls + 660 + length(regexp_extract(substr(t, ls + 661, 540), '^(?s:.*)[ \n]')) AS c FROM pack WHERE ls IS NOT NULL
+  UNION ALL
+  SELECT doc_id, t, k, j, s, e, s + 660 + length(regexp_extract(substr(t, s + 661, 540), '^(?s:.*)[ \n]')) FROM (
+    SELECT doc_id, t, k, j + 1 AS j, {_tail('CASE WHEN c = s + 660 THEN s + 1200 ELSE c END', 's', 200)} AS s, e FROM long WHERE e - s > 1200)),
+cut AS (
+  SELECT doc_id, t, k, 0 AS j, cs AS s, ce AS e FROM pack WHERE cs IS NOT NULL
+  UNION ALL SELECT doc_id, t, k, j, s, CASE WHEN e - s <= 1200 THEN e WHEN c = s + 660 THEN s + 1200 ELSE c END FROM long
+  UNION ALL SELECT pack.doc_id, pack.t, pack.k + 1, 0, s, e FROM pack JOIN canvas ON canvas.doc_id = pack.doc_id AND pack.k = units WHERE e > s)
+SELECT doc_id, k, j, trim(substr(t, s + 1, e - s), ' ' || chr(10)) AS content FROM cut)"""
+
+
+@query("chunk_paragraph", f"""
+SELECT doc_id, content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS INTEGER) AS chunk_index
+FROM {_PACKED} WHERE length(content) >= 100""")
 def chunk_paragraph(spark, sf):
     return chunking.chunk_paragraph(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -83,12 +129,22 @@ _TITLED = f"""(SELECT x.*, {TITLE.format('line', 'fallback')} AS title, {SEGMENT
   FROM {_DRAFTS} a JOIN documents ON doc_id = document_id) x)"""
 
 
-@query("chunk_pages", f"SELECT document_id, chunk_index, content, page_start, page_end, ocr_detected, title, language, segment_type, content_hash FROM {_TITLED}")
+_PAGE_CHUNKS = f"SELECT document_id, chunk_index, content, page_start, page_end, ocr_detected, title, language, segment_type, content_hash FROM {_TITLED}"
+
+
+@query("chunk_pages", _PAGE_CHUNKS)
 def chunk_pages(spark, sf):
     out = chunking.chunk_pages(base.stored_pages(spark, sf), _classes(spark, sf))
     return out.drop("original_content", "document_title")
 
 
+@query("chunk_pages_split", _PAGE_CHUNKS)
+def chunk_pages_split(spark, sf):
+    """The same chunks, every document over five pages folded in several tasks."""
+    out = chunking.chunk_pages(base.stored_pages(spark, sf), _classes(spark, sf), giant_pages=5)
+    return out.drop("original_content", "document_title")
+
+
 # --- quality ---------------------------------------------------------------------
 
 _PENALTY = quality.PENALTIES

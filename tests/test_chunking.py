@@ -35,17 +35,59 @@ def test_window_terminates_on_short_text():
     assert list(chunking.window_cuts("")) == []
 
 
-def test_paragraph_cuts():
-    text = " ".join([f"Sentence number {i} explains one small idea about fractions." for i in range(20)] * 2)
-    pieces = [c for _, c in chunking.paragraph_cuts(text, 300, 50)]
-    assert len(pieces) > 1 and all(len(p) >= 100 for p in pieces)
-    with pytest.raises(ValueError):
-        list(chunking.paragraph_cuts(text, 300, 200))
+def paragraph_twin(text, size, overlap, min_len):
+    """From each begin, the farthest unit end that fits, found by trying all."""
+    units = list(chunking.paragraph_units(text, size))
+    canvas = "\n\n".join(units)
+    ends = [len("\n\n".join(units[: i + 1])) for i in range(len(units))]
+    begins = [e - len(u) for e, u in zip(ends, units)]
+    spans, i, start = [], 0, None
+    while i < len(units):
+        start = begins[i] if start is None else start
+        fitting = [j for j in range(i, len(units)) if ends[j] - start <= size]
+        if fitting:
+            i, end = fitting[-1] + 1, ends[fitting[-1]]
+            spans.append((start, end))
+            tail = canvas[max(start, end - overlap):end].lstrip()
+            start = end - len(tail) if tail and i < len(units) and ends[i] - begins[i] <= size else None
+            continue
+        end = ends[i]
+        while end - start > size:
+            breaks = [c + 1 for c in range(start + int(0.55 * size), start + size) if canvas[c].isspace()]
+            cut = breaks[-1] if breaks else start + size
+            spans.append((start, cut))
+            start = end - len(canvas[cut - overlap:end].lstrip())
+        spans.append((start, end))
+        i, start = i + 1, None
+    return [p for p in (canvas[a:b].strip() for a, b in spans) if len(p) >= min_len]
+
+
+@pytest.mark.parametrize("size,overlap,min_len", [(1200, 200, 100), (200, 40, 20), (90, 0, 1), (60, 30, 1)])
+@pytest.mark.parametrize("seed", range(4))
+def test_paragraphs_against_the_farthest_end(seed, size, overlap, min_len):
+    rnd = random.Random(seed)
+    text = "\n\n".join(long_text(rnd.random(), rnd.choice([1, 5, 30, 300]), rnd.choice([" ", ""])) for _ in range(25))
+    got = [p for _, p in chunking.paragraph_cuts(text, size, overlap, min_len)]
+    assert got == paragraph_twin(text, size, overlap, min_len)
+    assert all(min_len <= len(p) <= size for p in got)
+
+
+def test_paragraph_units():
+    assert list(chunking.paragraph_units(" un\tdeux \n \u00a0\n\n trois\nquatre ")) == ["un deux", "trois quatre"]
+    assert list(chunking.paragraph_units("Aa bb. Cc dd? Ee: ff", 13)) == ["Aa bb. Cc dd?", "Ee: ff"]
+    assert list(chunking.paragraph_units("")) == []
 
 
-def test_paragraph_oversized_unit():
-    pieces = [c for _, c in chunking.paragraph_cuts("word " * 800)]
-    assert all(100 <= len(p) <= 1200 for p in pieces) and len(pieces) >= 4
+def test_a_long_unit_takes_nothing_over():
+    text = "a" * 40 + "\n\n" + "b" * 130 + "\n\n" + "c" * 30
+    assert [p for _, p in chunking.paragraph_cuts(text, 100, 20, 1)] == ["a" * 40, "b" * 100, "b" * 50, "c" * 30]
+
+
+def test_a_full_chunk_hands_on_its_end():
+    text = "ab " * 15 + "\n\n" + "c" * 50
+    assert [p for _, p in chunking.paragraph_cuts(text, 80, 10, 1)] == [("ab " * 15).strip(), "b ab ab ab\n\n" + "c" * 50]
+    with pytest.raises(ValueError):
+        list(chunking.paragraph_cuts(text, 80, 44))
 
 
 def test_fixed_covers_text(spark):
@@ -63,21 +105,21 @@ def page_rows(spark, docs):
     return spark.createDataFrame(rows, "document_id int, page_number int, text string, extracted_text_length int, low_text boolean, ocr_detected boolean")
 
 
-def classes(spark, ids, title="Introduction to Fractions"):
+def classes(spark, ids, title="Plants and light"):
     return spark.createDataFrame([(i, title, "fr") for i in ids], "document_id int, title string, language string")
 
 
 def test_pages_titles_and_flags(spark):
     docs = {
-        1: [("Les fractions\nLes fractions sont des nombres rationnels utiles.", True)],
-        2: [("12345\nsome following text that is long enough to count", False)],
+        1: [("La photosynthèse\nLes feuilles captent la lumière et produisent du sucre.", True)],
+        2: [("2024 / 7\nthe first line has no letter, so the document gives the title", False)],
         3: [("x" * 900 + "\n\n" + "y" * 900 + "\n\n" + "z" * 900, False)],
         4: [("", False), ("", False), ("Text of the third page which is long enough to be kept.", False)],
     }
     out = chunking.chunk_pages(page_rows(spark, docs), classes(spark, docs)).collect()
     by = {(r.document_id, r.chunk_index): r for r in out}
-    assert by[1, 0].title == "Les fractions" and by[1, 0].ocr_detected
-    assert by[2, 0].title == "Introduction to Fractions"
+    assert by[1, 0].title == "La photosynthèse" and by[1, 0].ocr_detected
+    assert by[2, 0].title == "Plants and light"
     assert len([k for k in by if k[0] == 3]) == 2
     assert by[4, 0].content.startswith("[Page 1]\n\n[Page 2]\n\nText") and (by[4, 0].page_start, by[4, 0].page_end) == (1, 3)
 
@@ -99,42 +141,58 @@ def test_giant_documents_split_without_change(spark, giant):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
 
 
-GOOD = "Les fractions sont des nombres rationnels. " * 4
+CLEAN = "Une cellule végétale possède une paroi rigide et une grande vacuole. " * 3
 
 
-def scored(spark, **kw):
-    row = dict(content=GOOD, title="Les fractions", ocr_detected=False, is_duplicate=False, has_grade=True, has_subject=True, has_topic=True)
-    row.update(kw)
+def scored(spark, **changes):
+    row = dict(content=CLEAN, title="La cellule végétale", ocr_detected=False, is_duplicate=False, has_grade=True, has_subject=True, has_topic=True)
+    row |= changes
     schema = "content string, title string, ocr_detected boolean, is_duplicate boolean, has_grade boolean, has_subject boolean, has_topic boolean"
     return quality.score_chunks(spark.createDataFrame([tuple(row.values())], schema)).collect()[0]
 
 
-@pytest.mark.parametrize("kw,flag,status", [
-    ({}, None, "clean"),
-    ({"content": ""}, "empty_content", "rejected"),
-    ({"content": "   \n\t  "}, "empty_content", "rejected"),
-    ({"content": "Short text with enough letters to pass density."}, "too_short", "needs_review"),
-    ({"content": GOOD * 20}, "too_long", "needs_review"),
-    ({"content": "1234567890 !@#$% 1234567890 --- abc 1234567890 !@#$% *** 1234567890 ==="}, "low_alpha_density", "needs_review"),
-    ({"title": None}, "missing_title", "needs_review"),
-    ({"title": "123"}, "poor_title_quality", "needs_review"),
-    ({"title": "---"}, "poor_title_quality", "needs_review"),
-    ({"title": "ab"}, "poor_title_quality", "needs_review"),
-    ({"has_grade": False}, "missing_grade", "needs_review"),
-    ({"has_subject": False}, "missing_subject", "needs_review"),
-    ({"has_topic": False}, "missing_topic", "needs_review"),
-    ({"ocr_detected": True}, "ocr_detected", "needs_review"),
-    ({"content": GOOD + "aaaaaaaaaaa"}, "ocr_noise", "needs_review"),
-    ({"is_duplicate": True}, "duplicate", "duplicate"),
-    ({"content": "l e s", "title": None, "has_grade": False, "has_subject": False, "has_topic": False}, "below_quality_threshold", "rejected"),
-    ({"content": "!@#$%^&*()---===+++|||:::: ?? ... !!!"}, "low_educational_value", "rejected"),
-])
-def test_quality_flags(spark, kw, flag, status):
-    r = scored(spark, **kw)
-    assert r.repair_status == status
-    assert (flag in r.flags) if flag else r.flags == []
-    if flag == "empty_content":
-        assert r.quality_score == 0
+UNPLACED = dict(title="", has_grade=False, has_subject=False, has_topic=False)
+# One departure from a clean chunk each: the flags it gets, and what the penalty table leaves of 100 points.
+DEPARTURES = [
+    ({}, [], 100),
+    ({"content": CLEAN[:119].rstrip()}, ["too_short"], 75),
+    ({"content": CLEAN * 13}, ["too_long"], 80),
+    ({"content": "7.5 / 12 = 0,625 ; " * 9}, ["low_alpha_density"], None),
+    ({"content": CLEAN + "z" * 8}, ["ocr_noise"], 80),
+    ({"title": ""}, ["missing_title"], 90),
+    ({"title": "§ 4"}, ["poor_title_quality"], 90),
+    ({"has_grade": False}, ["missing_grade"], 90),
+    ({"has_subject": False}, ["missing_subject"], 90),
+    ({"has_topic": False}, ["missing_topic"], 90),
+    ({"ocr_detected": True}, ["ocr_detected"], 92),
+    ({"is_duplicate": True}, ["duplicate"], 60),
+    ({"has_topic": False, "ocr_detected": True}, ["missing_topic", "ocr_detected"], 82),
+]
+
+
+@pytest.mark.parametrize("changes,flags,points", DEPARTURES)
+def test_each_penalty(spark, changes, flags, points):
+    r = scored(spark, **changes)
+    if points is None:  # the flags beside the first are the text's own
+        assert flags[0] in r.flags
+    else:
+        assert (r.flags, round(100 * r.quality_score)) == (flags, points)
+        assert r.repair_status == ("duplicate" if "duplicate" in flags else "needs_review" if flags else "clean")
+
+
+@pytest.mark.parametrize("content", ["", "\n", "\u3000 \t"])
+def test_no_content_is_rejected(spark, content):
+    r = scored(spark, content=content)
+    assert (r.flags, r.quality_score, r.repair_status) == (["empty_content"], 0, "rejected")
+
+
+def test_below_threshold_is_rejected(spark):
+    r = scored(spark, content="Trop court.", **UNPLACED)  # 100 - 25 - 4 * 10 = 35
+    assert r.flags[-1] == "below_quality_threshold" and r.repair_status == "rejected" and r.quality_score == 0.35
+
+
+def test_no_letter_and_no_digit_teaches_nothing(spark):
+    assert "low_educational_value" in scored(spark, content="... ~ ... ; " * 12).flags
 
 
 def test_score_at_threshold_is_kept(spark):

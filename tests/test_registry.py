@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "page_scan", "link_discovery", "sync_delta", "enum_check", "ocr_logs", "alias_ngram_join", "alias_fuzzy_join", "resolve_fallback",
     "slug_match_join", "missing_combinations", "cosine_pairs", "null_diagnosis", "planner_steps", "curriculum_tree", "chunk_versions",
-    "mark_duplicates_in_document", "topk_similar", "document_index", "cleanup_topic", "parse_filename_hints", "chunk_window", "chunk_pages",
+    "mark_duplicates_in_document", "topk_similar", "document_index", "cleanup_topic", "parse_filename_hints", "chunk_window", "chunk_pages", "chunk_pages_split", "chunk_paragraph",
     "chunk_quality_rollup", "repair_chunks", "apply_edits", "generate_qa", "cleanup_report", "stream_claim_timeout",
 ]
 

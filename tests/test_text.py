@@ -37,7 +37,7 @@ def test_noise(spark):
 
 
 def test_broken_spacing(spark):
-    got = values(spark, text.broken_spacing, ["l e s", "ا ل م", "Les fractions sont utiles", "الكسور مفيدة جدا", "éa b c"])
+    got = values(spark, text.broken_spacing, ["v i t", "د ر س", "La lumière traverse le verre", "الضوء ينتشر بسرعة", "éa b c"])
     # The ASCII boundary before the "a" of "éa" counts as one.
     assert got == [True, True, False, False, True]
 
@@ -55,17 +55,17 @@ def test_generated_content(spark):
 
 def test_segment_type(spark):
     pad = " mot" * 30
-    got = values(spark, text.segment_type, ["Les fractions", "Définition: " + pad, "Exercice: " + pad, "exemple" + pad, "تعريف " + pad, "Une phrase" + pad])
+    got = values(spark, text.segment_type, ["Le volcan", "Définition: " + pad, "Exercice: " + pad, "exemple" + pad, "تعريف " + pad, "Une phrase" + pad])
     assert got == ["title", "definition", "exercise", "example", "paragraph", "paragraph"]
     aware = values(spark, lambda c: text.segment_type(c, True), ["تعريف " + pad])
     assert aware == ["definition"]
 
 
 def test_detect_title(spark):
-    inputs = ["Les fractions\nLes fractions sont", "12345\nx", "---===---\nx", "Hi\nx", "A" * 121 + "\nx", "مقدمة في الكسور\nx"]
+    inputs = ["Le volcan\nIl crache", "3 / 4\nx", "~~~\nx", "Oz\nx", "b" * 121 + "\nx", "طبقات الأرض\nx"]
     got = values(spark, lambda c: text.detect_title(c, F.lit("fallback")), inputs)
-    assert got == ["Les fractions"] + ["fallback"] * 5
-    assert values(spark, lambda c: text.detect_title(c, F.lit("f"), True), inputs[-1:]) == ["مقدمة في الكسور"]
+    assert got == ["Le volcan"] + ["fallback"] * 5
+    assert values(spark, lambda c: text.detect_title(c, F.lit("f"), True), inputs[-1:]) == ["طبقات الأرض"]
 
 
 def test_safe_filename(spark):
