@@ -12,6 +12,7 @@ from daftar.catalog.base import (
 from daftar.functions import names
 from daftar.operators import aliases, curriculum, dedup, health, resolve, retrieval, vector_index
 from daftar.session import scratch_path
+from daftar.sources import hash_index
 
 
 def _token_sql(x: str) -> str:
@@ -230,15 +231,33 @@ def already_ingested(spark, sf):
     return resolve.already_ingested(files, base.chunks(spark, sf)).select("c_custkey", F.col("shown").alias("filename"))
 
 
-@query("dedup_against_store", """
+_UNSTORED = """
 SELECT chunk_id, content_hash FROM (
   SELECT doc_id AS chunk_id, md5(text) AS content_hash, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents)
-WHERE r = 1 AND content_hash NOT IN (SELECT md5(text) FROM documents WHERE lang = 'de')""")
+WHERE r = 1 AND content_hash NOT IN (SELECT md5(text) FROM documents WHERE lang = 'de')"""
+
+
+def _hashed(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.md5("text").alias("content_hash"), "lang")
+
+
+@query("dedup_against_store", _UNSTORED)
 def dedup_against_store(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.md5("text").alias("content_hash"), "lang")
+    d = _hashed(spark, sf)
     return dedup.dedup_against_store(d, d.filter("lang = 'de'")).select("chunk_id", "content_hash")
 
 
+@query("dedup_against_index", _UNSTORED)
+def dedup_against_index(spark, sf):
+    """The same rows from the stored hash index, filled in three appends, one of them repeated."""
+    d, path = _hashed(spark, sf), scratch_path(spark, "hash-index")
+    de = d.filter("lang = 'de'")
+    hash_index.create(de.filter("chunk_id % 3 = 0"), path)
+    for part in (1, 2, 2):
+        hash_index.append(de.filter(f"chunk_id % 3 = {part}"), path, batch=f"part-{part}")
+    return hash_index.unseen(d, path).select("chunk_id", "content_hash")
+
+
 @query("coverage_anti_join", f"SELECT topic_id, title FROM {TOPICS} WHERE topic_id NOT IN (SELECT topic_id FROM {EXERCISES})")
 def coverage_anti_join(spark, sf):
     return resolve.missing_children(base.topics(spark, sf), base.exercises(spark, sf), "topic_id").select("topic_id", "title")

@@ -12,6 +12,7 @@ from daftar.functions.text import wash_text
 from daftar.operators import aliases, chunking, dedup, health, models, resolve
 from daftar.operators.filters import min_content_gate
 from daftar.session import durable
+from daftar.sources import hash_index
 
 
 @dataclass
@@ -54,10 +55,13 @@ def ingest_corpus(
     embedder: Callable[[], models.ModelFn],
     dim: int,
     formatter: Callable[[], models.ModelFn] | None = None,
+    hashes: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows to append to the chunk store, and the counters per file.
 
-    store(content_hash, metadata map) is the chunk table so far.
+    store(content_hash, metadata map) is the chunk table so far.  With ``hashes``, the path of
+    its ``hash_index``, new chunks are held against that instead of the whole table; once the
+    rows are stored, the caller appends their hashes there (``hash_index.append``).
     """
     new = resolve.already_ingested(files, store, present=False)
     classes = classified_files(new, dims)
@@ -66,7 +70,7 @@ def ingest_corpus(
         ready = new.join(subject, "file_id").withColumn("text", wash_text(F.col("text")))
         new = durable(models.format_documents(ready, formatter, key="file_id").drop("subject_hint"), "formatted")
     cut = durable(file_chunks(new), "cut")  # texts are cut once, for the rows and for the counters
-    fresh = dedup.dedup_against_store(cut, store)
+    fresh = hash_index.unseen(cut, hashes) if hashes else dedup.dedup_against_store(cut, store)
     embedded = models.embed_text(fresh, embedder, F.col("content"), dim)
     rows = embedded.join(classes.drop("filename"), "file_id", "left")
     ok = F.col("embedding").isNotNull()

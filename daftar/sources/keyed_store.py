@@ -26,14 +26,15 @@ from daftar.operators.skew import any_null, keep_first
 BUCKETS = 64
 
 
-def _at(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def at(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    at, files = _at(spark, f"{path}/manifest")
-    return sorted(int(s.getPath().getName()) for s in files.listStatus(at) if s.getPath().getName().isdigit()) if files.exists(at) else []
+    folder, files = at(spark, f"{path}/manifest")
+    return sorted(int(s.getPath().getName()) for s in files.listStatus(folder) if s.getPath().getName().isdigit()) if files.exists(folder) else []
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -45,8 +46,8 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> Data
 def _publish(spark: SparkSession, path: str, version: int, rows: list[tuple]) -> None:
     draft = f"{path}/manifest/_{version}-{uuid.uuid4().hex}"
     spark.createDataFrame(rows, "bucket int, folder string, batch string, buckets int").coalesce(1).write.parquet(draft)
-    source, files = _at(spark, draft)
-    target, _ = _at(spark, f"{path}/manifest/{version}")
+    source, files = at(spark, draft)
+    target, _ = at(spark, f"{path}/manifest/{version}")
     if files.exists(target) or not files.rename(source, target):
         files.delete(source, True)
         raise RuntimeError(f"version {version} of {path} was written meanwhile")
@@ -78,7 +79,7 @@ def create(rows: DataFrame, path: str, key: Sequence[str], version: Sequence[str
 
 def _folders(spark: SparkSession, path: str, rows: list, wanted: set[int]) -> list[str]:
     paths = [f"{path}/{r['folder']}/_bucket={r['bucket']}" for r in rows if r["bucket"] in wanted]
-    return [p for p in paths if (lambda at, files: files.exists(at))(*_at(spark, p))]
+    return [p for p in paths if (lambda where, files: files.exists(where))(*at(spark, p))]
 
 
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from daftar.operators import aliases, curriculum, edit, filters, models
 from daftar.plans import ingest, review
-from daftar.sources import files, links, stores
+from daftar.sources import files, hash_index, links, stores
 
 
 def test_embed_reports_failures_per_row(spark):
@@ -173,7 +173,7 @@ def test_stage_counts_cost_no_further_job(spark):
     assert told["none"] == {"rows": 0}
 
 
-def test_ingest_twice_adds_nothing(spark):
+def test_ingest_twice_adds_nothing(spark, tmp_path):
     def df(rows, schema):
         return spark.createDataFrame(rows, schema)
 
@@ -192,6 +192,10 @@ def test_ingest_twice_adds_nothing(spark):
     assert sum(a for a, _ in counts.values()) == len(got) == sum(b for _, b in counts.values())
     again, _ = ingest.ingest_corpus(new, rows.select("content_hash", "metadata"), dims, models.hashing_embedder(8), 8)
     assert again.count() == 0
+    hashes = str(tmp_path / "hashes")
+    hash_index.create(rows, hashes)
+    again, _ = ingest.ingest_corpus(new, store, dims, models.hashing_embedder(8), 8, hashes=hashes)
+    assert again.count() == 0
 
 
 def test_review_leaves_no_tables(spark):
