@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from daftar.catalog.base import query
+from daftar.catalog.base import query, table
 from daftar.session import scratch_path
-from daftar.streaming import flows
+from daftar.streaming import flows, levels
 
 
 def _events(spark, sf):
@@ -56,7 +56,10 @@ def stream_status_counts(spark, sf):
     return flows.latest_updates(flows.run_to_table(counts, "counts", "update"), "status")
 
 
-@query("stream_upsert", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+_NEWEST = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
+
+
+@query("stream_upsert", _NEWEST)
 def stream_upsert(spark, sf):
     log = _events(spark, sf).select("user_id", "event_id", "event_type", "ts")
     path = scratch_path(spark, "upsert")
@@ -66,6 +69,17 @@ def stream_upsert(spark, sf):
     return spark.read.parquet(path + "-table/batch_id=-1").select("user_id", "event_id", "event_type")
 
 
+@query("stream_upsert_levels", _NEWEST)
+def stream_upsert_levels(spark, sf):
+    """The same table from a stream of ten batches, kept in levels of three runs."""
+    source, path = scratch_path(spark, "level-input"), scratch_path(spark, "levels")
+    table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts").repartition(10, "event_id").write.parquet(source)
+    version = [F.col("ts").desc(), F.col("event_id").desc()]
+    batches = flows.table_stream(spark, source, "*.parquet", files_per_trigger=1)
+    levels.stream_upsert(batches, path, path + "-checkpoint", ["user_id"], version, fan=3).awaitTermination()
+    return levels.read(spark, path, ["user_id"], version).select("user_id", "event_id", "event_type")
+
+
 @query("stream_job_state", "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY 1")
 def stream_job_state(spark, sf):
     jobs = _events(spark, sf).select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts", "event_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daftar.functions.text import LOW_TEXT, collapse_spaces, normalize_content
@@ -66,9 +66,15 @@ def preview_text(pages: DataFrame, key: str = "document_id", n: int = 5000) -> D
 
     Page numbers may start anywhere and have gaps.  A page adds one character at
     least, so of each document the first ``n + 1`` pages in order are enough; the
-    rank filter runs before the shuffle and bounds what meets per document.
+    rank filter runs before the shuffle.  A running length then drops the pages
+    behind the first ``n`` characters and cuts the last one, so what is gathered
+    per document is ``n`` characters and no more.
     """
     head = keep_first(pages.select(key, "page_number", F.left("text", F.lit(n)).alias("text")), [key], [F.col("page_number")], n + 1)
-    part = F.struct("page_number", "text")
+    # A null text joins as nothing, without a newline of its own.
+    taken = F.when(F.col("text").isNotNull(), F.length("text") + 1).otherwise(0)
+    before = F.sum(taken).over(Window.partitionBy(key).orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1))
+    shown = head.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") <= n)
+    part = F.struct("page_number", F.left("text", (F.lit(n) - F.col("_before")).cast("int")).alias("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n")
-    return head.groupBy(key).agg(F.left(joined, F.lit(n)).alias("preview"))
+    return shown.groupBy(key).agg(F.left(joined, F.lit(n)).alias("preview"))
