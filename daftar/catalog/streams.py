@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from daftar.catalog.base import query, table
 from daftar.session import scratch_path
-from daftar.streaming import flows, levels
+from daftar.streaming import file_ingest, flows, levels
 
 
 def _events(spark, sf):
@@ -19,6 +19,35 @@ def ingest_stream(spark, sf):
     return flows.run_to_table(docs, "ingested")
 
 
+def _parse_documents(path: str, content: bytes) -> list[tuple]:
+    """Rows of a file of JSON lines; a text below 60 characters makes the file a broken one."""
+    import json
+
+    rows = [json.loads(line) for line in content.decode().splitlines()]
+    if any(len(r.get("text") or "") < 60 for r in rows):
+        raise ValueError("a text below 60 characters")
+    return [(r["doc_id"], r["text"]) for r in rows]
+
+
+@query("ingest_files", r"""
+SELECT CAST(doc_id // 25 AS BIGINT) AS file, CASE WHEN bool_and(coalesce(length(text), 0) >= 60) THEN 'done' ELSE 'error' END AS status,
+  CAST(CASE WHEN bool_and(coalesce(length(text), 0) >= 60) THEN count(*) ELSE 0 END AS BIGINT) AS n_rows,
+  CAST(CASE WHEN bool_and(coalesce(length(text), 0) >= 60) THEN sum(length(text)) ELSE 0 END AS BIGINT) AS n_chars
+FROM documents GROUP BY 1""")
+def ingest_files(spark, sf):
+    """All documents as files of up to 25, taken in by a stream; the outcome and what was stored of each file."""
+    folder, out = scratch_path(spark, "files"), scratch_path(spark, "taken")
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 25).cast("long").alias("file"))
+    docs.repartition("file").write.partitionBy("file").json(folder)
+    stream = file_ingest.arriving(spark, folder, "*.json", per_batch=100_000)
+    file_ingest.ingest_files(stream, _parse_documents, "doc_id long, text string", out, out + "-checkpoint").awaitTermination()
+    number = F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file")
+    rows = spark.read.schema("path string, doc_id long, text string").parquet(out + "/rows")
+    stored = rows.groupBy(number).agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars"))
+    log = spark.read.parquet(out + "/log").select(number, "status")
+    return log.join(stored, "file", "left").fillna(0, ["n_rows", "n_chars"]).select("file", "status", "n_rows", "n_chars")
+
+
 @query("stream_dedup", "SELECT DISTINCT md5(props) AS content_hash FROM events")
 def stream_dedup(spark, sf):
     # The log spans 30 days; keys older than that are forgotten.

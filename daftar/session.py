@@ -22,6 +22,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rank filters up to this many rows per key run before the shuffle (previews ask for 5,001).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
