@@ -251,6 +251,38 @@ def test_jaccard_keeps_one_of_a_group(spark, odd_docs, no_docs):
     assert jaccard_dedup.keep_representatives(no_docs).count() == 0
 
 
+def test_parities_bound_the_difference():
+    """What parities show is never more than what two sets differ by, whatever their sizes."""
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        n, own = int(rng.integers(1, 3000)), int(rng.integers(0, 300))
+        pool = rng.integers(0, 1 << 63, n + 2 * own).astype(np.uint64)
+        x, y = np.unique(pool[: n + own]), np.unique(np.concatenate([pool[:n], pool[n + own :]]))
+        bits = [1 << int(b) for b in rng.integers(6, 15, 2)]
+        assert jaccard_dedup.least_apart(jaccard_dedup.parities(x, bits[0]), jaccard_dedup.parities(y, bits[1])) <= len(np.setxor1d(x, y))
+    few, other = np.arange(40, dtype=np.uint64), np.arange(100, 140, dtype=np.uint64)
+    assert jaccard_dedup.least_apart(jaccard_dedup.parities(few, 256), jaccard_dedup.parities(other, 256)) == 80
+
+
+def test_jaccard_without_room_for_parities(spark, monkeypatch):
+    """Parities so few that they show nothing, and parities of sets far above their number: the same groups."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(12):
+        base = [f"W{v}" for v in rng.integers(0, 900, int(rng.integers(200, 900)))]
+        for changed in (0, 4, 9, 15, 30):
+            copy = list(base)
+            for at in rng.integers(0, len(base), changed):
+                copy[at] = f"n{rng.integers(0, 1 << 30)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(set(brute_jaccard(texts)))
+    for words_, most in ((1, 64), (8, 128)):
+        monkeypatch.setattr(jaccard_dedup, "WORDS", words_)
+        monkeypatch.setattr(jaccard_dedup, "MOST", most)
+        assert sorted(r["doc_id"] for r in jaccard_dedup.keep_representatives(docs).collect()) == want
+
+
 def test_jaccard_keeps_rows_without_ids(spark):
     text = lambda i: " ".join(f"t{i}w{j}" for j in range(40))
     rows = [(None, text(0)), (None, text(1)), (None, text(1)), (7, text(2)), (7, text(3)), (3, text(3) + " end")]
