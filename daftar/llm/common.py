@@ -28,6 +28,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return session.durable(df, f"llm-{name}")
 
 
+#: Bytes of a batch that goes to a Python worker, at most (Spark's default is 64 MB), unless one row is larger.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what Spark and each Python worker hold of long texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
