@@ -16,12 +16,12 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def table_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of the Parquet files in ``folder`` whose name fits ``pattern``."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Stream of the Parquet tables in ``folder`` whose name fits ``pattern``, each a file or a folder of files."""
+    found = f"{folder}/{pattern}"
+    reader = spark.readStream.schema(spark.read.parquet(found).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(found)
 
 
 def file_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:

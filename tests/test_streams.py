@@ -17,6 +17,13 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2]
 
 
+def test_table_that_is_a_folder_of_files(spark, tmp_path):
+    spark.range(40).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "pages.parquet"))
+    stream = flows.table_stream(spark, str(tmp_path), "documents.parquet")
+    assert sorted(r.id for r in flows.run_to_table(stream, "whole").collect()) == list(range(40))
+
+
 def test_pdf_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF")
