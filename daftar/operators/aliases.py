@@ -104,17 +104,33 @@ def alias_ngram_join(df: DataFrame, index: DataFrame, key: str, parts: str, kind
 
     ``key`` identifies a row; longer phrases win, then the leftmost.
     """
+    return _ngram_join(df, index, key, parts, {kind: output})
+
+
+def _ngram_join(df: DataFrame, index: DataFrame, key: str, parts: str, outputs: dict[str, str]) -> DataFrame:
+    """``alias_ngram_join`` for several kinds (with their output columns) in one pass over the phrases.
+
+    Phrases outweigh the files they come from by far, so the plan must not take them
+    for a small table: they stay on the left of an outer join, which only its right
+    side, the dictionary, can be broadcast for.
+    """
     def grams(n: int):
-        starts = F.when(F.size(parts) >= n, F.sequence(F.lit(1), F.size(parts) - (n - 1)))
+        starts = F.when(F.size("_norm") >= n, F.sequence(F.lit(1), F.size("_norm") - (n - 1)))
         phrase = lambda i: F.struct(
-            F.lit(3 - n).alias("n"), i.alias("i"), F.array_join(F.slice(F.col(parts), i, F.lit(n)), " ").alias("phrase")
+            F.lit(3 - n).alias("n"), i.alias("i"),
+            F.array_join(F.filter(F.slice("_norm", i, F.lit(n)), lambda p: p != ""), " ").alias("phrase"),
         )
         return F.coalesce(F.transform(starts, phrase), F.array().cast("array<struct<n:int,i:int,phrase:string>>"))
 
-    words = df.select(key, F.explode(F.concat(grams(3), grams(2), grams(1))).alias("g"))
-    words = words.select(key, "g.n", "g.i", normalise_token(F.col("g.phrase")).alias("_phrase"))
-    hits = words.join(_of_kind(index, kind), F.col("_phrase") == F.col("_token"))
-    best = hits.groupBy(key).agg(F.min_by("_canonical", F.struct("n", "i")).alias(output))
+    # A phrase's token is its parts' tokens, joined; few large files are dealt out before the work begins.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(key, parts).repartition(tasks, key).select(key, F.transform(parts, normalise_token).alias("_norm"))
+    words = rows.select(key, F.explode(F.concat(grams(3), grams(2), grams(1))).alias("g")).select(key, "g.n", "g.i", F.col("g.phrase").alias("_phrase"))
+    table = index.filter(F.col("kind").isin(*outputs)).select(F.col("kind").alias("_kind"), F.col("token").alias("_token"), F.col("canonical").alias("_canonical"))
+    hits = words.join(table, F.col("_phrase") == F.col("_token"), "left")
+    best = hits.groupBy(key).agg(*[
+        F.min_by("_canonical", F.when(F.col("_kind") == kind, F.struct("n", "i"))).alias(output) for kind, output in outputs.items()
+    ])
     return df.join(best, key, "left")
 
 

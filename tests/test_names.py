@@ -63,6 +63,21 @@ def test_filename_hints(spark, index):
     assert rows[5] == (None, "x", None, None)
 
 
+def test_phrases_are_never_broadcast(spark, tmp_path):
+    # The files look smaller to the planner than the dictionary; their phrases are not.
+    files = spark.createDataFrame([(1, ["l\u00e9", "", "grand bleu", "x"]), (2, ["x"]), (3, []), (4, ["x", "Le", "grand"])], "file_id int, parts array<string>")
+    files.coalesce(1).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    entries = spark.range(5000).select(
+        F.lit("subject").alias("kind"), F.concat(F.lit("s"), "id").alias("canonical"),
+        F.when(F.col("id") == 7, "le grand bleu").when(F.col("id") == 8, "x").when(F.col("id") == 9, "le grand").otherwise(F.concat(F.lit("v"), "id")).alias("variant"),
+        F.col("id").cast("int").alias("ord"),
+    )
+    out = aliases.alias_ngram_join(files, aliases.alias_index(entries), "file_id", "parts", "subject", "s")
+    assert {r.file_id: r.s for r in out.collect()} == {1: "s7", 2: "s8", 3: None, 4: "s9"}
+    assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fuzzy(spark, index):
     df = spark.createDataFrame([("mahts",), ("philosofie",), ("zz",), ("qqqqqqq",)], "w string")
     got = {r.w: r.s for r in aliases.alias_fuzzy_join(df, index, "w", "subject", "s").collect()}
