@@ -172,8 +172,7 @@ def filename_hints(files: DataFrame, index: DataFrame, key: str = "file_id", nam
     df = df.withColumn("_s1", names.first_token(F.col("_parts"), names.SUBJECT_TOKENS))
     # The phrase pass runs only for names without a subject token.
     open_names = df.filter(F.col("_s1").isNull()).select(key, "_parts")
-    phrases = alias_ngram_join(open_names, index, key, "_parts", "grade", "_g2")
-    phrases = alias_ngram_join(phrases, index, key, "_parts", "subject", "_s2").drop("_parts")
+    phrases = _ngram_join(open_names, index, key, "_parts", {"grade": "_g2", "subject": "_s2"}).drop("_parts")
     df = df.join(phrases, key, "left")
     return df.select(
         *files.columns,

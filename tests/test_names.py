@@ -78,6 +78,13 @@ def test_phrases_are_never_broadcast(spark, tmp_path):
     assert "BuildLeft" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_hint_phrases_are_never_broadcast(spark, index):
+    out = aliases.filename_hints(spark.createDataFrame([(1, "unit-langue anglaise.pdf")], "file_id int, filename string"), index)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # One pass over the phrases serves both kinds.
+    assert "BuildLeft" not in plan and plan.count("Generate explode(concat(") == 1
+
+
 def test_fuzzy(spark, index):
     df = spark.createDataFrame([("mahts",), ("philosofie",), ("zz",), ("qqqqqqq",)], "w string")
     got = {r.w: r.s for r in aliases.alias_fuzzy_join(df, index, "w", "subject", "s").collect()}
