@@ -17,7 +17,8 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 def table_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream of the Parquet tables in ``folder`` whose name fits ``pattern``, each a file or a folder of files."""
-    found = f"{folder}/{pattern}"
+    # Braces make any name a pattern: the stream takes a plain path for a folder, even if it is a file.
+    found = f"{folder}/{{{pattern}}}"
     reader = spark.readStream.schema(spark.read.parquet(found).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

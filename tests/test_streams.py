@@ -22,6 +22,9 @@ def test_table_that_is_a_folder_of_files(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "pages.parquet"))
     stream = flows.table_stream(spark, str(tmp_path), "documents.parquet")
     assert sorted(r.id for r in flows.run_to_table(stream, "whole").collect()) == list(range(40))
+    part = next((tmp_path / "pages.parquet").glob("part-*.parquet"))
+    one = flows.table_stream(spark, str(part.parent), part.name)  # a table that is a file
+    assert set(r.id for r in flows.run_to_table(one, "one").collect()) == set(r.id for r in spark.read.parquet(str(part)).collect())
 
 
 def test_pdf_stream(spark, tmp_path):
