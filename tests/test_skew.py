@@ -110,6 +110,25 @@ def test_unequal_length_scores_zero(spark):
     assert got == [(2, 1.0), (1, 0.0)]
 
 
+def test_best_of_a_block_holds_few_scores():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    a, b = np.empty(4096, object), np.empty(4096, object)
+    a[:], b[:] = list(rng.integers(-2, 3, (4096, 8)).astype(float)), list(rng.integers(-2, 3, (4096, 8)).astype(float))
+    a[7], b[5], b[9] = np.zeros(0), np.ones(3), np.zeros(0)
+    tracemalloc.start()
+    row, col, score = retrieval._best_of(a, b, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20  # all scores of the block at once are 128 MB
+    assert np.array_equal(np.bincount(row), np.full(4096, 5))
+    for i in (0, 7, 8, 4095):
+        one = np.array([a[i] @ v / n if len(v) == len(a[i]) and (n := np.linalg.norm(a[i]) * np.linalg.norm(v)) else 0.0 for v in b])
+        want = np.argsort(-np.round(one, 9), kind="stable")[:5]
+        assert col[row == i].tolist() == want.tolist() and np.allclose(score[row == i], one[want])
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((300, 32))
