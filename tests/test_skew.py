@@ -110,6 +110,16 @@ def test_unequal_length_scores_zero(spark):
     assert got == [(2, 1.0), (1, 0.0)]
 
 
+def test_ann_recall_of_many_scattered_vectors(spark, monkeypatch):
+    # Nothing lies near anything else, so small cells and few probes find too little.
+    monkeypatch.setattr(retrieval, "CELL_ROWS", 8)
+    rng = np.random.default_rng(11)
+    c = spark.createDataFrame([(i, rng.standard_normal(64).tolist()) for i in range(6000)], "chunk_id long, embedding array<double>")
+    q = c.filter("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    got = retrieval.ann_recall(retrieval.ann_pairs(q, c, 5, 64), retrieval.cosine_topk(q, c, 5)).first()
+    assert got.neighbours == 3000 and got.recall >= 0.9
+
+
 def test_best_of_a_block_holds_few_scores():
     import tracemalloc
 
