@@ -6,8 +6,8 @@ context, and only its text is under the loss mask.  The template writes a turn a
 the conversation's rendering.  The operator makes use of that: it returns a row
 per turn with the turn's ``piece`` of the rendering and where it starts, and for
 assistant turns the example that ends there.  The text of example k is the pieces
-up to its turn, joined; ``full_texts`` writes them out.  A conversation of n turns
-so takes n rows and not n * n / 2, whatever its length.
+up to its turn, joined; ``full_texts`` writes them out, and ``read_back`` expands them
+inside its tasks.  A conversation of n turns is so shuffled as n rows and not n * n / 2.
 
 Turns behind the last assistant turn, and conversations without one, get a closing
 example with an empty loss mask, so that no turn is lost.
@@ -82,6 +82,18 @@ def prefix_examples(conversations: DataFrame) -> DataFrame:
     )
 
 
+def _whole(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(conv_id, example, text, loss_start, loss_end) of each example, expanded; rows (conv_id, turn_no, piece, example, loss_start, loss_end) in order."""
+    conv, so_far = object(), ""
+    for batch in rows:
+        for now, piece, example, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+            if now != conv:
+                conv, so_far = now, ""
+            so_far += piece
+            if example is not None:
+                yield conv, example, so_far, a, b
+
+
 def full_texts(examples: DataFrame) -> DataFrame:
     """(conv_id, example, text, loss_start, loss_end) with every example's whole text.
 
@@ -90,16 +102,8 @@ def full_texts(examples: DataFrame) -> DataFrame:
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, so_far = object(), ""
-        for batch in rows:
-            for r in batch.to_pylist():
-                if r["conv_id"] != conv:
-                    conv, so_far = r["conv_id"], ""
-                so_far += r["piece"]
-                if r["example"] is not None:
-                    yield pa.RecordBatch.from_pylist(
-                        [{"conv_id": conv, "example": r["example"], "text": so_far, "loss_start": r["loss_start"], "loss_end": r["loss_end"]}], schema=_FULL
-                    )
+        for row in _whole(rows):
+            yield pa.RecordBatch.from_pylist([dict(zip(_FULL.names, row))], schema=_FULL)
 
     slim = examples.select("conv_id", "turn_no", "piece", "example", "loss_start", "loss_end")
     return slim.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no").mapInArrow(run, "conv_id long, example long, text string, loss_start long, loss_end long")
@@ -110,11 +114,12 @@ _PIECE = re.compile(re.escape(START) + "(.*?)" + re.escape(MESSAGE) + "(.*?)" +
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Digest of each conversation, parsed from the formatted pieces alone.
+    """Digest of each conversation, parsed from its whole examples alone.
 
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars (code
-    points of all examples' texts), examples.  Pieces stream through a task in
-    order; what it holds is two running hashes and one piece.
+    points of all examples' texts), examples.  Examples are expanded inside the
+    task, one after the other; what it holds is two running hashes and one example.
+    Each has to begin with the one before, and its turns behind that one are read.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "examples"]
 
@@ -133,22 +138,21 @@ def read_back(examples: DataFrame) -> DataFrame:
             out.clear()
             return batch
 
-        for batch in rows:
-            for conv, piece, example, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
-                if now is None or conv != now["conv"]:
-                    close()
-                    now = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0, "examples": 0, "at": 0}
-                for role, text in _PIECE.findall(piece):
-                    now["turns"] += 1
-                    now["all"].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
-                start, now["at"] = now["at"], now["at"] + len(piece)
-                if example is not None:
-                    now["examples"] += 1
-                    now["formatted"] += now["at"]
-                    trained = unescape(piece[a - start : b - start]) if b > a else ""
-                    now["chars"] += len(trained)
-                    now["loss"].update(trained.encode())
-            yield flush()
+        for conv, _, text, a, b in _whole(rows):
+            if now is None or conv != now["conv"]:
+                close()
+                now = {"conv": conv, "turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0, "examples": 0, "text": ""}
+                if len(out) >= 1000:
+                    yield flush()
+            if not text.startswith(now["text"]):
+                raise ValueError(f"an example of conversation {conv} does not begin with the one before")
+            for role, said in _PIECE.findall(text, len(now["text"])):
+                now["turns"] += 1
+                now["all"].update(f"{unescape(role)}\n{unescape(said)}\n".encode())
+            trained = unescape(text[a:b])
+            now["text"], now["examples"], now["formatted"] = text, now["examples"] + 1, now["formatted"] + len(text)
+            now["chars"] += len(trained)
+            now["loss"].update(trained.encode())
         close()
         yield flush()
 

@@ -56,6 +56,16 @@ def test_chat_read_back(spark):
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_chat_read_back_reads_whole_examples():
+    import pyarrow as pa
+
+    a, b = ("<|start|>user<|message|>hi<|end|>", "<|start|>assistant<|message|>yo<|end|>")
+    rows = [(1, 0, a, None, None, None), (1, 1, b, 0, 60, 62), (1, 2, a, None, None, None), (1, 3, b, 1, 130, 132)]
+    names = ["conv_id", "turn_no", "piece", "example", "loss_start", "loss_end"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r))], pa.schema([("conv_id", pa.int64()), ("turn_no", pa.int64()), ("piece", pa.string()), *[(n, pa.int64()) for n in names[3:]]])) for r in rows]
+    assert [x[:3] for x in chat_examples._whole(iter(batches))] == [(1, 0, a + b), (1, 1, a + b + a + b)]
+
+
 def test_chat_full_texts(spark):
     """One example per assistant turn: all turns before as context, and the reply alone under the mask."""
     ex = chat_examples.prefix_examples(talk(spark))
