@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,24 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: How to drop what operators keep in a Python worker from task to task; a module that keeps something adds to it.
+KEPT: list[Callable[[], None]] = []
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; allocators hold on to it otherwise, and Spark reuses workers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean_worker() -> None:
+    """Drop what other operators' tasks have left in this Python worker; their next task makes it again."""
+    for drop in KEPT:
+        drop()
+    give_back()
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

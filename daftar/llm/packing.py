@@ -24,6 +24,7 @@ result.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daftar.llm.common import durable, tokenizer_file
+from daftar.llm.common import KEPT, durable, give_back, tokenizer_file
 
 WINDOW = 2048
 #: Pieces in an enumerated mix at most.
@@ -64,6 +65,8 @@ class WordTokenizer:
     def __init__(self, file: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        # A task has one core: threads for all cores of the machine cost CPU time, and memory that each holds on to.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.inner = Tokenizer.from_file(file)
         self.plain = Tokenizer(self.inner.model)
         cut, to_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -165,6 +168,9 @@ def _word_tokenizer(file: str) -> WordTokenizer:
     return WordTokenizer(file)
 
 
+KEPT.append(_word_tokenizer.cache_clear)
+
+
 def _words(text: str) -> list[str]:
     """Cut at white space: Python's kind, without the four separators that the vocabulary keeps."""
     if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
@@ -178,6 +184,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, end: int = END, tokenize
     mark = np.array([end], "<u4").tobytes()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         words = _word_tokenizer(tokenizer_file(tokenizer))
         for batch in rows:
             cols: list[list] = [[] for _ in range(6)]
