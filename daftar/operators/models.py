@@ -30,15 +30,29 @@ ERROR_CHARS = 400
 def _call(fn: ModelFn, frame: pd.DataFrame, fields: list[str]) -> pd.DataFrame:
     """The model's outputs and ``error``; a failing batch is asked again row by row."""
     try:
+        if len(frame) == 1:
+            return pd.DataFrame([_call_row(fn, frame.iloc[:], fields)], columns=[*fields, "error"], dtype=object)
         out = fn(frame)[fields].reset_index(drop=True)
         if len(out) != len(frame):
             raise ValueError(f"model returned {len(out)} rows for {len(frame)}")
         return out.assign(error=None)
-    except Exception as exc:  # the model is foreign code
-        if len(frame) == 1:
-            return pd.DataFrame([[None] * len(fields) + [str(exc)[:ERROR_CHARS]]], columns=[*fields, "error"])
-        parts = [_call(fn, frame.iloc[i:i + 1].reset_index(drop=True), fields) for i in range(len(frame))]
-        return pd.concat(parts, ignore_index=True)
+    except Exception:  # the model is foreign code
+        rows = [_call_row(fn, frame.iloc[i:i + 1], fields) for i in range(len(frame))]
+        return pd.DataFrame(rows, columns=[*fields, "error"], dtype=object)
+
+
+def _call_row(fn: ModelFn, row: pd.DataFrame, fields: list[str]) -> list:
+    """The outputs and the error of one row, without a frame of their own."""
+    row.index = pd.RangeIndex(1)
+    try:
+        out = fn(row)
+        if not all(f in out for f in fields):
+            out = out[fields]
+        if len(out) != 1:
+            raise ValueError(f"model returned {len(out)} rows for 1")
+        return [*(out[f].tolist()[0] for f in fields), None]
+    except Exception as exc:
+        return [None] * len(fields) + [str(exc)[:ERROR_CHARS]]
 
 
 def _in_batches(fn: ModelFn, frame: pd.DataFrame, fields: list[str], batch: int) -> pd.DataFrame:

@@ -211,3 +211,20 @@ def test_review_leaves_no_tables(spark):
     assert len(paths) >= 3 and all(os.path.isdir(p.removeprefix("file:")) for p in paths)
     done.close()
     assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_failing_batch_makes_no_frame_per_row(monkeypatch):
+    asked = []
+
+    def fn(frame):
+        asked.append((len(frame), list(frame.index)))
+        if (frame["x"] == 3).any():
+            raise ValueError("three")
+        return pd.DataFrame({"y": frame["x"] * 1.5, "z": [["a"]] * len(frame)})
+
+    monkeypatch.setattr(models.pd, "concat", lambda *a, **k: 1 / 0)
+    out = models._call(fn, pd.DataFrame({"x": [1, 2, 3, 4]}), ["y", "z"])
+    assert out["y"].tolist() == [1.5, 3.0, None, 6.0] and out["z"].tolist() == [["a"], ["a"], None, ["a"]]
+    assert out["error"].tolist() == [None, None, "three", None]
+    assert asked == [(4, [0, 1, 2, 3])] + [(1, [0])] * 4
+    assert models._call(fn, pd.DataFrame({"x": [3]}), ["y", "z"])["error"].tolist() == ["three"] and len(asked) == 6
