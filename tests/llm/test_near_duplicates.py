@@ -81,3 +81,23 @@ def test_large_group_is_not_compared_with_itself(spark, monkeypatch):
     kept = jaccard_dedup.keep_representatives(spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(brute_jaccard(copies)))
     assert sum(asked) < 10 * len(copies)
+
+
+def test_joined_asks_few_pairs_of_a_group(spark, monkeypatch):
+    """All pairs of two groups are offered, the first ones lead nowhere; a pair for any two parts joins what can be joined."""
+    group = lambda x: x % 2
+    asked = []
+
+    def confirmed(docs, pairs, *_):
+        asked.append(pairs.count())
+        return pairs.filter("a % 2 = b % 2")
+
+    monkeypatch.setattr(jaccard_dedup, "confirmed", confirmed)
+    n = 40
+    pairs = spark.createDataFrame([(a, b) for b in range(n) for a in range(b)], "a long, b long")
+    _, roots = jaccard_dedup.joined(None, None, jaccard_dedup.one_each(pairs), pairs)
+    assert {r["node"]: r["root"] for r in roots.collect()} == {x: group(x) for x in range(2, n)}
+    assert sum(asked) < pairs.count()
+    _, roots = jaccard_dedup.joined(None, None, jaccard_dedup.one_each(pairs.filter("a % 2 = b % 2")), pairs.filter("a % 2 = b % 2"))
+    assert {r["node"]: r["root"] for r in roots.collect()} == {x: group(x) for x in range(2, n)}
+    assert asked[-1] == n - 2  # a pair each, and nothing more
