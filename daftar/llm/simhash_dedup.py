@@ -33,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daftar import session
 from daftar.llm.common import durable, fresh
 
 SHINGLE = 5
 RADIUS = 4
 TILE = 2048
 SEED = 42
+#: Links that one task makes stars of at a time (16 MB).
+LINKS = 1 << 20
 _CHUNK = 1 << 18
 
 
@@ -193,20 +196,52 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return found.unionByName(work.repartition("pair").sortWithinPartitions("pair").mapInPandas(compare_tiles, "a long, b long"))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _contracted(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of a partition as stars: every node but the smallest of what they connect, with that one."""
+    left, right, n = [], [], 0
+
+    def stars() -> tuple[np.ndarray, np.ndarray]:
+        ends = np.concatenate([*left, *right])
+        nodes, place = np.unique(ends, return_inverse=True)
+        label = _forest(nodes, place[: len(ends) // 2], place[len(ends) // 2 :])
+        child = np.flatnonzero(label != np.arange(len(nodes)))
+        return nodes[child], nodes[label[child]]
+
+    for batch in frames:
+        left.append(batch.column(0).to_numpy())
+        right.append(batch.column(1).to_numpy())
+        n += batch.num_rows
+        if n > LINKS:
+            u, v = stars()
+            left, right, n = [u], [v], 0
+    if left:
+        yield pa.RecordBatch.from_arrays([*map(pa.array, stars())], ["u", "v"])
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b", most: int = LINKS) -> DataFrame:
     """(node, root): the smallest node that links reach, for every node with a link.
 
-    Alternates two steps until nothing changes: every node hands the smallest of
-    its neighbourhood to its larger neighbours, then to its smaller ones.  Both
-    keep what is connected connected and flatten it to stars, in a number of
-    rounds that grows with the logarithm of the longest chain.  Each round's
-    links are written to the shared folder.
+    Each partition's links become stars first, without a shuffle; up to ``most`` links are
+    one partition, and done with that.  More of them alternate two steps until nothing
+    changes: every node hands the smallest of its neighbourhood to its larger neighbours,
+    then to its smaller ones.  Both keep what is connected connected and flatten it to
+    stars, in a number of rounds that grows with the logarithm of the longest chain.
+    Each round's links are written to the shared folder; their number and the
+    exclusive-or of their hashes, observed meanwhile, say whether a round changed any.
     """
-    now = durable(
-        links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"
-    )
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    told: dict = {}
+
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = {"n": F.count("*"), "hash": F.bit_xor(F.xxhash64("u", "v"))}
+        return session.durable(df, "llm-links", seen, told), told["llm-links"]
+
+    now, state = written(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    final = lambda df: df.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if not state["n"]:
+        return final(now)
+    if state["n"] <= most:
+        return final(written(now.coalesce(1).mapInArrow(_contracted, "u long, v long"))[0])
+    now, state = now.mapInArrow(_contracted, "u long, v long").distinct(), None
     while True:
         # large star: larger neighbours of u go to the smallest of u's neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -218,11 +253,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         narrow = (
             moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         )
-        new = durable(narrow, "links")
-        same = new.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(new, ["u", "v"], "left_anti").isEmpty()
-        now = new
-        if same:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state
+        now, state = written(narrow)
+        if state == before:
+            return final(now)
 
 
 def rooted(rows: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:

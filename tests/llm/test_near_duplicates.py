@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from daftar import session
 from daftar.llm import common, jaccard_dedup, packing, simhash_dedup
 from daftar.llm.common import tokenizer_file
 from tests.llm.test_operators import brute_jaccard
@@ -101,3 +102,17 @@ def test_joined_asks_few_pairs_of_a_group(spark, monkeypatch):
     _, roots = jaccard_dedup.joined(None, None, jaccard_dedup.one_each(pairs.filter("a % 2 = b % 2")), pairs.filter("a % 2 = b % 2"))
     assert {r["node"]: r["root"] for r in roots.collect()} == {x: group(x) for x in range(2, n)}
     assert asked[-1] == n - 2  # a pair each, and nothing more
+
+
+def test_components_in_few_jobs(spark):
+    """Chains, a star and a loop: few links need a round without a shuffle only; with one link per task the rounds agree."""
+    chain = [(i, i + 1) for i in range(300)]
+    rows = [*chain, *[(1000, 1000 + i) for i in range(1, 50)], (2002, 2001), (2001, 2000), (2000, 2002), (7, 7), (-5, -9)]
+    want = {i: 0 for i in range(1, 301)} | {1000 + i: 1000 for i in range(1, 50)} | {2001: 2000, 2002: 2000, -5: -9}
+    links = spark.createDataFrame(rows, "a long, b long").repartition(5)
+    for most, limit in ((simhash_dedup.LINKS, 2), (1, 12)):
+        with session.tracked() as paths:
+            found = simhash_dedup.components(links, most=most).collect()
+        assert len(found) == len(want) and {r["node"]: r["root"] for r in found} == want
+        assert len(paths) <= limit
+    assert simhash_dedup.components(links.filter("a > 5000")).count() == 0
