@@ -116,3 +116,12 @@ def test_components_in_few_jobs(spark):
         assert len(found) == len(want) and {r["node"]: r["root"] for r in found} == want
         assert len(paths) <= limit
     assert simhash_dedup.components(links.filter("a > 5000")).count() == 0
+
+
+def test_between_gives_a_pair_per_set(spark):
+    """Groups 1 to 3 meet at every shingle; each set meets one set of the smallest group, not all sets of the others."""
+    zero = [0] * jaccard_dedup.WORDS
+    rows = [(t, g * 100 + i, 10, t, g, *zero) for t in range(5) for g in (1, 2, 3) for i in range(20)]
+    words = ", ".join(f"w{i} long" for i in range(jaccard_dedup.WORDS))
+    member = spark.createDataFrame(rows, f"token long, sig long, size long, pos long, root long, {words}")
+    assert sorted(map(tuple, jaccard_dedup.between(member).collect())) == [(100, g * 100 + i) for g in (2, 3) for i in range(20)]
