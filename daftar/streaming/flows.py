@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,6 +81,50 @@ def stream_dedup(stream: DataFrame, key: Sequence[str], at: str | None = None, d
     return stream.dropDuplicates(list(key))
 
 
+_EPOCH = datetime(1970, 1, 1)
+
+
+def _watermark(timerValues) -> datetime:
+    return _EPOCH + timedelta(milliseconds=timerValues.getCurrentWatermarkInMs())
+
+
+def _times(column: pd.Series) -> list[datetime]:
+    return column.array.to_pydatetime().tolist()
+
+
+def _wake(handle: StatefulProcessorHandle, times: list[datetime]) -> None:
+    """Leave one timer, at the earliest of ``times``, or none; it fires once the watermark is past it and counts in whole milliseconds."""
+    at = min(-((_EPOCH - t) // timedelta(milliseconds=1)) for t in times) if times else None
+    known = list(handle.listTimers())
+    for timer in known:
+        if timer != at:
+            handle.deleteTimer(timer)
+    if at is not None and at not in known:
+        handle.registerTimer(at)
+
+
+def _laid_by(processor, new: list, timerValues) -> bool:
+    """Append rows that are all ahead of the watermark to those that wait; what waits is neither read nor written again.
+
+    Waiting rows that are due have a timer that fires in this batch.
+    """
+    now = _watermark(timerValues)
+    if not new or any(not row[0] > now for row in new):
+        return False
+    processor.waiting.appendList([(*row[:-1], row[-1] or "") for row in new])
+    first = -((_EPOCH - min(row[0] for row in new)) // timedelta(milliseconds=1))
+    if not any(timer <= first for timer in processor.handle.listTimers()):
+        processor.handle.registerTimer(first)
+    return True
+
+
+def _keep(waiting, later: list, kept: list) -> None:
+    if later:
+        waiting.put(later)
+    elif kept:
+        waiting.clear()
+
+
 class ClaimTimeout(StatefulProcessor):
     """Per chunk: a claim not followed by another event in time is given back.
 
@@ -88,7 +134,7 @@ class ClaimTimeout(StatefulProcessor):
     """
 
     def __init__(self, minutes: int) -> None:
-        self.limit = pd.Timedelta(minutes=minutes)
+        self.limit = timedelta(minutes=minutes)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -96,24 +142,22 @@ class ClaimTimeout(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "ts timestamp, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            new = [(ts.to_pydatetime(), status) for ts, status in zip(frame["ts"], frame["status"])]
-            if new:
-                self.waiting.appendList(new)
-        yield self._released(key, self._advance(timerValues))
+        new = [row for frame in rows for row in zip(_times(frame["ts"]), frame["status"])]
+        if not _laid_by(self, new, timerValues):
+            yield from self._advance(key, timerValues, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._released(key, self._advance(timerValues))
-
-    def _advance(self, timerValues) -> list:
-        """Take all rows up to the watermark; the claims that ran out on the way."""
-        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        rows = sorted((pd.Timestamp(ts), status or "") for ts, status in self.waiting.get()) if self.waiting.exists() else []
-        held = pd.Timestamp(self.claim.get()[0]) if self.claim.exists() else None
-        later, expired = [], []
-        for ts, status in rows:
+        yield from self._advance(key, timerValues, [])
+
+    def _advance(self, key, timerValues, new: list) -> Iterator[pd.DataFrame]:
+        """Take all rows up to the watermark; tell the claims that ran out on the way."""
+        now = _watermark(timerValues)
+        kept = list(self.waiting.get()) if self.waiting.exists() else []
+        before = self.claim.get()[0] if self.claim.exists() else None
+        held, later, expired = before, [], []
+        for ts, status in sorted((ts, status or "") for ts, status in [*kept, *new]):
             if ts > now:
-                later.append((ts.to_pydatetime(), status))
+                later.append((ts, status))
                 continue
             if held is not None and ts > held + self.limit:
                 expired.append(held)
@@ -121,19 +165,12 @@ class ClaimTimeout(StatefulProcessor):
         if held is not None and held + self.limit <= now:
             expired.append(held)
             held = None
-        self.waiting.clear()
-        if later:
-            self.waiting.put(later)
-        self.claim.clear()
-        if held is not None:
-            self.claim.update((held.to_pydatetime(),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        wake = [pd.Timestamp(later[0][0])] if later else []
-        wake += [held + self.limit] if held is not None else []
-        if wake:
-            self.handle.registerTimer(int(min(wake).timestamp() * 1000))
-        return expired
+        _keep(self.waiting, later, kept)
+        if held != before:
+            self.claim.update((held,)) if held is not None else self.claim.clear()
+        _wake(self.handle, [ts for ts, _ in later[:1]] + ([held + self.limit] if held is not None else []))
+        if expired:
+            yield self._released(key, expired)
 
     def _released(self, key, claims) -> pd.DataFrame:
         return pd.DataFrame({
@@ -249,39 +286,37 @@ class JobStates(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "ts timestamp, tie long, status string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            new = [(ts.to_pydatetime(), int(tie), status) for ts, tie, status in zip(frame["ts"], frame["tie"], frame["status"])]
-            if new:
-                self.waiting.appendList(new)
-        yield self._advance(key, timerValues)
+        new = [row for frame in rows for row in zip(_times(frame["ts"]), frame["tie"].tolist(), frame["status"])]
+        if not _laid_by(self, new, timerValues):
+            yield from self._advance(key, timerValues, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues)
-
-    def _advance(self, key, timerValues) -> pd.DataFrame:
-        upto = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        rows = sorted((pd.Timestamp(ts), tie, status or "") for ts, tie, status in self.waiting.get()) if self.waiting.exists() else []
-        now = self.now.get()[0] if self.now.exists() else None
-        told = []
+        yield from self._advance(key, timerValues, [])
+
+    def _advance(self, key, timerValues, new: list) -> Iterator[pd.DataFrame]:
+        upto = _watermark(timerValues)
+        kept = list(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted((ts, tie, status or "") for ts, tie, status in [*kept, *new])
+        before = self.now.get()[0] if self.now.exists() else None
+        now, told = before, []
         for ts, tie, status in rows:
             if ts > upto:
                 break
             legal = legal_step(now, status)
-            told.append((key[0], ts, tie, status, now, legal))
+            told.append((ts, tie, status, now, legal))
             now = status if legal else now
-        later = [(ts.to_pydatetime(), tie, status) for ts, tie, status in rows[len(told) :]]
-        self.waiting.clear()
-        if later:
-            self.waiting.put(later)
-        if now is not None:
+        later = rows[len(told) :]
+        _keep(self.waiting, later, kept)
+        if now != before:
             self.now.update((now,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if later:
-            # A timer fires once the watermark is past it; it counts in whole milliseconds.
-            self.handle.registerTimer(-(-int(pd.Timestamp(later[0][0]).value) // 1_000_000))
-        out = pd.DataFrame(told, columns=["job_id", "ts", "tie", "status", "previous", "legal"])
-        return out.astype({"ts": "datetime64[us]", "tie": "int64", "legal": "bool", "status": object, "previous": object, "job_id": "int64" if isinstance(key[0], int) else object})
+        _wake(self.handle, [ts for ts, *_ in later[:1]])
+        if told:
+            ts, tie, status, previous, legal = zip(*told)
+            yield pd.DataFrame({
+                "job_id": pd.Series([key[0]] * len(told), dtype="int64" if isinstance(key[0], int) else object),
+                "ts": np.array(ts, "datetime64[us]"), "tie": np.array(tie, np.int64),
+                "status": pd.Series(status, dtype=object), "previous": pd.Series(previous, dtype=object), "legal": np.array(legal, bool),
+            })
 
     def close(self) -> None:
         pass

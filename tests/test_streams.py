@@ -122,3 +122,82 @@ def test_job_steps_go_on_after_a_restart(spark, tmp_path):
     told = spark.read.parquet(out)
     assert told.count() == len(rows) == told.select("job_id", "tie").distinct().count()
     assert {r.job_id: r.status for r in flows.current_states(told).collect()} == {1: "completed", 2: "pending", 3: "pending"}
+
+
+class _State:
+    """A value or list state that counts how often it is read and written."""
+
+    def __init__(self):
+        self.rows, self.reads, self.writes = [], 0, 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows) if isinstance(self, _ListState) else self.rows[0]
+
+    def update(self, row):
+        self.rows, self.writes = [row], self.writes + 1
+
+    def clear(self):
+        self.rows = []
+
+
+class _ListState(_State):
+    def appendList(self, rows):
+        self.rows, self.writes = [*self.rows, *rows], self.writes + 1
+
+    def put(self, rows):
+        self.rows, self.writes = list(rows), self.writes + 1
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, *_):
+        return _State()
+
+    def getListState(self, *_):
+        return _ListState()
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_rows_ahead_of_the_watermark_are_only_appended():
+    import pandas as pd
+
+    at = lambda s: pd.to_datetime(pd.Series(s, dtype="int64"), unit="s")
+    jobs = flows.JobStates()
+    jobs.init(_Handle())
+    frames = [pd.DataFrame({"ts": at([30, 20]), "tie": [1, 2], "status": ["extracting", "pending"]}), pd.DataFrame({"ts": at([40]), "tie": [3], "status": ["completed"]})]
+    for frame in frames:
+        assert not [f for f in jobs.handleInputRows((5,), iter([frame]), _Clock(0)) if len(f)]
+    assert jobs.waiting.reads == 0 and jobs.waiting.writes == 2 and jobs.handle.timers == {20_000}
+    told = pd.concat(jobs.handleExpiredTimer((5,), _Clock(35_000), None))
+    assert list(zip(told["status"], told["legal"])) == [("pending", True), ("extracting", True)] and jobs.handle.timers == {40_000}
+    told = pd.concat(jobs.handleExpiredTimer((5,), _Clock(41_000), None))
+    assert list(zip(told["status"], told["legal"])) == [("completed", False)] and not jobs.handle.timers and not jobs.waiting.rows
+
+    claims = flows.ClaimTimeout(10)
+    claims.init(_Handle())
+    frame = pd.DataFrame({"ts": at([2000, 60]), "status": ["done", "processing"]})
+    assert not [f for f in claims.handleInputRows((7,), iter([frame]), _Clock(0)) if len(f)] and claims.waiting.reads == 0
+    told = pd.concat(claims.handleExpiredTimer((7,), _Clock(700_000), None))
+    assert list(told["claimed_at"]) == [pd.Timestamp(60, unit="s")] and claims.handle.timers == {2_000_000}
