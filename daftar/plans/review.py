@@ -35,17 +35,15 @@ def scored_chunks(pages: DataFrame, classification: DataFrame, existing: DataFra
     The drafts are written once: both the hash counts and the marked rows read
     them, and the page fold does not run twice.
     """
-    drafts = durable(chunking.chunk_pages(pages, classification), "drafts")
-    drafts = dedup.mark_duplicates_in_document(drafts, existing)
-    known = classification.select(
-        "document_id",
-        F.col("grade_name").isNotNull().alias("has_grade"),
-        F.col("subject_name").isNotNull().alias("has_subject"),
-        (F.coalesce("title", F.lit("")) != "").alias("has_topic"),
-        "grade_name", "subject_name",
-    ).withColumnRenamed("document_id", "_doc")
-    joined = drafts.join(known, F.col("document_id") == F.col("_doc"), "left").drop("_doc")
-    joined = joined.fillna(False, ["has_grade", "has_subject", "has_topic"])
+    # The text is written once; ``original_content`` is the same text here.
+    drafts = chunking.chunk_pages(pages, classification, keep=("grade_name", "subject_name")).drop("original_content")
+    drafts = dedup.mark_duplicates_in_document(durable(drafts, "drafts"), existing)
+    joined = drafts.withColumns({
+        "original_content": F.col("content"),
+        "has_grade": F.col("grade_name").isNotNull(),
+        "has_subject": F.col("subject_name").isNotNull(),
+        "has_topic": F.coalesce("document_title", F.lit("")) != "",
+    })
     scored = quality.score_chunks(joined)
     return scored.withColumns({
         "chunk_id": F.md5(F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_index").cast("string"))),
@@ -79,6 +77,12 @@ def prepare_corpus(
     return prepared
 
 
+def _durable_chunks(chunks: DataFrame, name: str, counts: dict[str, Column] | None = None, told: dict | None = None) -> DataFrame:
+    """``durable`` chunks, whose original text (never null) is stored where it differs from the text only."""
+    lean = chunks.withColumn("original_content", F.nullif("original_content", "content"))
+    return durable(lean, name, counts, told).withColumn("original_content", F.coalesce("original_content", "content"))
+
+
 def _status_counts() -> dict[str, Column]:
     found = {s: F.count_if(F.col("repair_status") == s) for s in ("clean", "needs_review", "embedded", "rejected")}
     return {"rows": F.count("*"), **found}
@@ -90,16 +94,13 @@ def _prepare(docs, grades, subjects, embedder, dim, classifier, repairer, existi
     pages = durable(page_source.page_scan(docs, separator=separator, keep_newlines=keep_newlines), "pages", seen, told)
     mode = page_source.extraction_mode(pages)
     pages = page_source.ocr_mark(pages)
-    preview = page_source.preview_text(pages)
-    asked = docs.select("document_id", "filename").join(preview, "document_id", "left")
-    classification = models.classify_documents(asked, classifier, grades, subjects)
+    asked = docs.select("document_id", "filename", page_source.document_preview(F.col("text"), separator, keep_newlines).alias("preview"))
+    classification = models.classify_documents(asked, classifier, grades, subjects).drop("filename", "preview")
     if classifier is not None:
         classification = durable(classification, "classification")
-    documents = docs.select("document_id", "filename").join(mode, "document_id", "left").join(
-        classification.drop("filename", "preview"), "document_id", "left"
-    )
+    documents = docs.select("document_id", "filename").join(mode, "document_id", "left").join(classification, "document_id", "left")
 
-    scored = durable(scored_chunks(pages, classification, existing), "scored", {**_status_counts(), "duplicates": F.count_if(F.col("is_duplicate"))}, told)
+    scored = _durable_chunks(scored_chunks(pages, classification, existing), "scored", {**_status_counts(), "duplicates": F.count_if(F.col("is_duplicate"))}, told)
     versions = None
     if repairer is not None:
         seen = {"rows": F.count("*"), "failed": F.count("repair_error")}
@@ -114,12 +115,12 @@ def _prepare(docs, grades, subjects, embedder, dim, classifier, repairer, existi
             "chunk_id", F.lit(1).alias("version_index"), "content", "content_hash"
         )
         notes = answers.select("chunk_id", "repair_notes", "quality_score_after", F.col("generated_content").alias("has_generated"), "repair_error")
-        scored = durable(edited.drop("content_changed", "embedding_status", "updated_at").join(notes, "chunk_id", "left"), "repaired")
+        scored = _durable_chunks(edited.drop("content_changed", "embedding_status", "updated_at").join(notes, "chunk_id", "left"), "repaired")
 
     embedded = models.embed_chunks(scored.filter(eligible()), embedder, dim)
     rest = scored.filter(~eligible())
     seen = {**_status_counts(), "vectors": F.count("embedding"), "vectors_failed": F.count("embedding_error")}
-    chunks = durable(embedded.unionByName(rest, allowMissingColumns=True), "chunks", seen, told)
+    chunks = _durable_chunks(embedded.unionByName(rest, allowMissingColumns=True), "chunks", seen, told)
     if versions is None:
         versions = scored.limit(0).select("chunk_id", F.lit(1).alias("version_index"), "content", "content_hash")
     return Prepared(documents, chunks, versions, page_source.ocr_logs(pages).unionByName(_failures(chunks)), metrics=told)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daftar.functions.text import LOW_TEXT, collapse_spaces, normalize_content
 from daftar.operators.skew import keep_first
 
+# Characters that a preview shows.
+PREVIEW = 5000
+
 
 def page_scan(docs: DataFrame, key: str = "document_id", text: str = "text", separator: str = "\f", keep_newlines: bool = False) -> DataFrame:
     """One row per page of a document text, cut at ``separator``.
@@ -16,8 +19,7 @@ def page_scan(docs: DataFrame, key: str = "document_id", text: str = "text", sep
     boundaries to cut at; the plain form collapses all whitespace.
     """
     cut = docs.select(key, F.posexplode(F.split(F.col(text), separator)).alias("_pos", "_page"))
-    body = normalize_content(F.col("_page")) if keep_newlines else collapse_spaces(F.col("_page"))
-    pages = cut.select(key, (F.col("_pos") + 1).alias("page_number"), body.alias("text"))
+    pages = cut.select(key, (F.col("_pos") + 1).alias("page_number"), _page_body(F.col("_page"), keep_newlines).alias("text"))
     n = F.length("text")
     return pages.select(
         key,
@@ -29,6 +31,23 @@ def page_scan(docs: DataFrame, key: str = "document_id", text: str = "text", sep
     )
 
 
+def _page_body(page: Column, keep_newlines: bool) -> Column:
+    return normalize_content(page) if keep_newlines else collapse_spaces(page)
+
+
+def document_preview(text: Column, separator: str = "\f", keep_newlines: bool = False, n: int = PREVIEW) -> Column:
+    """``preview_text`` of the pages that ``page_scan`` cuts ``text`` into, where the whole text is at hand.
+
+    Needs no shuffle; pages behind the first ``n`` characters are not cleaned.
+    """
+    # Each page is preceded by a newline, of which the first one is taken off in the end.
+    joined = F.aggregate(
+        F.split(text, separator), F.lit(""),
+        lambda shown, page: F.when(F.length(shown) > n, shown).otherwise(F.concat(shown, F.lit("\n"), F.left(_page_body(page, keep_newlines), F.lit(n)))),
+    )
+    return F.substring(joined, 2, n)
+
+
 def extraction_mode(pages: DataFrame, key: str = "document_id") -> DataFrame:
     """Per document: text, hybrid or scanned, and the number of pages."""
     low = F.count_if(F.col("low_text"))
@@ -61,7 +80,7 @@ def ocr_logs(pages: DataFrame, key: str = "document_id") -> DataFrame:
     )
 
 
-def preview_text(pages: DataFrame, key: str = "document_id", n: int = 5000) -> DataFrame:
+def preview_text(pages: DataFrame, key: str = "document_id", n: int = PREVIEW) -> DataFrame:
     """The first ``n`` characters of the page texts joined by newlines.
 
     Page numbers may start anywhere and have gaps.  A page adds one character at

@@ -1,8 +1,9 @@
 """Previews of many and of huge pages."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from daftar.sources.pages import preview_text
+from daftar.sources.pages import document_preview, page_scan, preview_text
 
 SCHEMA = "document_id int, page_number int, text string"
 
@@ -29,3 +30,13 @@ def test_only_shown_pages_are_gathered(spark):
     text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     # Per document one shuffle; rank filter before it, running length behind it.
     assert text.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in text
+
+
+@pytest.mark.parametrize("keep_newlines", [False, True])
+def test_preview_of_a_whole_text_needs_no_shuffle(spark, keep_newlines):
+    texts = ["", "\f", "a \t b\fc\r\n\n\n\nd\f\f e ", None, "\f".join(["x"] * 10_000), "y " * 6_000 + "\fz", "w" * 4_999 + "\fv", "w" * 5_000 + "\fv", "  \f" * 40 + "é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")
+    want = {r[0]: r[1] for r in preview_text(page_scan(docs, keep_newlines=keep_newlines)).collect()}
+    shown = docs.select("document_id", document_preview(F.col("text"), keep_newlines=keep_newlines))
+    assert {r[0]: r[1] for r in shown.collect()} == {**want, 3: None}
+    assert "Exchange" not in shown._jdf.queryExecution().executedPlan().toString()
