@@ -1,5 +1,7 @@
 """Golden values of the scalar text functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,20 @@ def test_merge_and_log(spark):
     )
     r = df.collect()[0]
     assert r.m == {"a": "1", "b": "3"} and r.n == {"x": "y"} and [x.message for x in r.l] == ["hi"]
+
+
+def test_faster_text_rules_are_the_plain_rules(spark):
+    """Against the plain patterns, on random strings of spaces of all kinds, letters and symbols."""
+    draw = random.Random(5)
+    marks = "ab Z9_éاب#-\t\n\r\x0b\x1c\x85  ᠎ ​  　﻿\U0001f600"
+    texts = ["".join(draw.choices(draw.sample(marks, draw.randint(2, 6)), k=draw.randint(0, 14))) for _ in range(6_000)]
+    t, w = F.col("t"), "[A-Za-z0-9_]"
+    ar = r"[\x{0600}-\x{06FF}]"
+    noise = t.rlike(r"(.)\1{7,}") | t.rlike(rf"[^\p{{L}}\p{{N}}{text.WS_IN}]{{6,}}")
+    spaced = t.rlike(rf"(?<!{w})[a-zA-Z]{text.WS}+[a-zA-Z]{text.WS}+[a-zA-Z](?!{w})") | t.rlike(f"{ar}{text.WS}+{ar}{text.WS}+{ar}")
+    blanks = text.js_trim(F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    pairs = [(text.repeated_noise(t), noise), (text.broken_spacing(t), spaced), (text.clean_text(t), blanks)]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert rows.filter(noise).count() > 50 and rows.filter(spaced).count() > 50
+    for got, want in pairs:
+        assert rows.filter(got != want).isEmpty()
