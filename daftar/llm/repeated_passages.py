@@ -10,12 +10,13 @@ that equal strings always meet, and each part is merged on its own:
    step reads its run in place, without a shuffle of texts.
 2. In every string of ``WIDTH`` bytes the ``GRAM`` bytes with the smallest hash are its anchor.  Equal
    strings have equal anchors.  A run lists its anchors' hashes; a part of the hash range tells each
-   run which of them other documents have, too.  Truncated hashes only let more through.
+   run which of them other documents have, too.  Truncated hashes only let more through.  Anchors
+   have small hashes by their making, so these are mixed once more before parts divide them.
 3. Around each shared anchor lies a content: the bytes of the strings that have it as their anchor.  A
    run offers the contents' digests with the smallest id of each; the part says which contents another
    document owns (all their strings go), which are alone with their anchor (nothing to compare), and
-   which the run shall send.  Anchors in ``HOT`` documents or more are offered string by string, under
-   the strings' own digests, so that no part gathers all surroundings of a common anchor.
+   which the run shall send.  Anchors that occur ``HOT`` times or more, in however few documents, are offered
+   string by string, under the strings' own digests, so that no part gathers all surroundings of a common anchor.
 4. A part sorts the suffixes of shards of the contents it was sent, and merges the shards' transforms: the
    interleaving starts without order and is refined by ``STEP`` bytes a round, each round dealing the
    shards' symbols out stably in the present order.  What shares its first bytes is a block; blocks
@@ -47,15 +48,15 @@ from daftar.llm.common import durable
 
 WIDTH, GRAM = 50, 16
 #: Bytes of a run, of the text that a part answers for, and of a merge.
-RUN, PART, MERGE = 2 << 20, 16 << 20, 1 << 19
-#: Documents from which on an anchor's strings are sent one by one.
-HOT = 2000
+RUN, PART, MERGE = 2 << 20, 16 << 20, 1 << 17
 #: Bytes of a symbol of the transform, and shards of a merge.
 STEP, SHARDS = 8, 4
 
 _CHUNK = 1 << 15
 _REACH = WIDTH - GRAM + 1  # places of an anchor in its string; also the most strings of one anchor
 _SEGMENT = _REACH + WIDTH - 1
+#: Occurrences from which on an anchor's strings are offered one by one: what fewer ones surround is half a megabyte.
+HOT = 6000
 _ALL = np.uint64((1 << 63) - 1)
 #: What a part says of a content: its strings stay, they all go, or its bytes are asked for.
 _STAYS, _GOES, _ASKED = range(3)
@@ -85,7 +86,8 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(hash, row, first string, strings) of each anchor: strings that follow one another and have it in common.
 
     ``offs`` has the rows' first bytes and the end.  Works in pieces, so that
-    what it keeps is a fraction of the text.
+    what it keeps is a fraction of the text.  The hashes are spread evenly, unlike
+    the smallest ones by which anchors are found.
     """
     length = np.diff(offs)
     last = np.maximum(offs[:-1], offs[1:] - WIDTH + 1)  # behind the last string of a row
@@ -106,7 +108,7 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         own = cuts[np.searchsorted(cuts, at) : np.searchsorted(cuts, to)]
         new[own - at] = True
         first = np.flatnonzero(new)
-        hashes.append(h[place[first]])
+        hashes.append(_mixed(h[place[first]]))
         firsts.append(first + at)
     if not firsts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -139,8 +141,8 @@ class _Run:
     def words(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The bytes from each place on as a row, zero behind the length."""
         width = -(-_SEGMENT // 8) * 8
-        at = first[:, None] + np.arange(width)
-        out = self.raw[np.minimum(at, len(self.raw) - 1)]
+        padded = np.concatenate([self.raw[first.min() : first.max() + width], np.zeros(width, np.uint8)])
+        out = np.lib.stride_tricks.sliding_window_view(padded, width)[first - first.min()]
         out[np.arange(width) >= length[:, None]] = 0
         return out
 
@@ -199,19 +201,31 @@ def shard_transform(words: np.ndarray, place: np.ndarray, left: np.ndarray) -> t
 
     ``words`` has the STEP bytes from each place of the text on, ``place`` the
     shard's places in order, ``left`` the bytes that a place has behind it in its
-    content.  Suffixes are ordered as far as a merge looks.
+    content.  Suffixes are ordered as far as a merge looks: by their first bytes, then
+    those that are still level by the order of what follows, twice as far each time.
     """
     n = len(place)
-    keys = []
-    for k in reversed(range(0, WIDTH, STEP)):
-        w = np.zeros(n, np.uint64)
-        ok = left >= k + STEP
-        w[ok] = words[place[ok] + k]
-        keys.append(w)
-    order = np.lexsort(keys)
+    begin = np.zeros(n, np.uint64)
+    whole = left >= STEP
+    begin[whole] = words[place[whole]]
+    order = np.argsort(begin, kind="stable")
+    new = np.ones(n + 1, bool)
+    new[1:-1] = begin[order[1:]] != begin[order[:-1]]
     rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new[:-1], np.arange(n), 0))
+    depth = STEP
+    while depth < WIDTH:
+        level = np.flatnonzero(~(new[:-1] & new[1:]))
+        own = order[level]
+        follows = np.where(left[own] >= depth, rank[np.minimum(own + depth, n - 1)] + 1, 0)  # a content's places follow one another
+        by = rank[own] * (n + 1) + follows
+        turn = np.argsort(by, kind="stable")
+        order[level], by = own[turn], by[turn]
+        new[level[1:]] = by[1:] != by[:-1]
+        rank[order[level]] = np.maximum.accumulate(np.where(new[level], level, 0))
+        depth *= 2
     rank[order] = np.arange(n)
-    spot = order - STEP  # a content's places follow one another
+    spot = order - STEP
     whole = spot >= 0
     whole[whole] = left[spot[whole]] == left[order[whole]] + STEP
     symbol = np.zeros(n, np.uint64)
@@ -296,20 +310,24 @@ def repeated_in(raw: np.ndarray, offs: np.ndarray, owner: np.ndarray, shards: in
     return mask
 
 
+def listed_count(times: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """A byte: whether several rows have an anchor, and eight times the binary logarithm of its occurrences, rounded up."""
+    return (np.minimum(np.ceil(8 * np.log2(times)), 127).astype(np.uint8) | np.where(several, 128, 0).astype(np.uint8)).astype(np.uint8)
+
+
 def _list_anchors(bits: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         own = _Run(table)
-        # an anchor counts once per row
         order = np.lexsort((own.row, own.hash))
         h, row = own.hash[order], own.row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        h = h[new]
-        h, count = np.unique(h, return_counts=True)
+        spots = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        times = np.diff(np.append(spots, len(h)))
+        count = listed_count(times, row[spots + times - 1] > row[spots])
+        h = h[spots]
         part, key = split_hash(h, bits)
         parts, spots = np.unique(part.astype(np.int64), return_index=True)
         edges = np.append(spots, len(h)).tolist()
-        data = [key[a:b].astype("<u4").tobytes() + np.minimum(count[a:b], 255).astype(np.uint8).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        data = [key[a:b].astype("<u4").tobytes() + count[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
         number = table.column("run")[0].as_py()
         return pa.table({"part": pa.array(parts, pa.int64()), "run": pa.array([number] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
 
@@ -324,9 +342,8 @@ def _find_shared(hot_from: int) -> Callable[[pa.Table], pa.Table]:
         key = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(data, sizes)])
         count = np.concatenate([np.frombuffer(x, np.uint8, offset=4 * n) for x, n in zip(data, sizes)])
         _, of = np.unique(key, return_inverse=True)
-        total = np.bincount(of, count)
-        hot = (total >= hot_from) | (np.bincount(of, count == 255) > 0)
-        shared, hot = (total > 1)[of], hot[of]
+        shared = ((np.bincount(of) > 1) | (np.bincount(of, count >> 7) > 0))[of]
+        hot = (np.bincount(of, np.exp2((count & 127) / 8)) >= hot_from)[of]
         out, at = [], 0
         for n in sizes:
             mine = shared[at : at + n]
@@ -463,10 +480,12 @@ def _remove(bits: int, texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
             whole = each == _ALL
             np.add.at(change, found.first[whole], 1)
             np.add.at(change, (found.first + found.n + WIDTH - 1)[whole], -1)
+            some = ~whole & (each > 0)
+            first, each = found.first[some], each[some]
             for k in range(_REACH):
-                hit = np.flatnonzero(~whole & (each >> np.uint64(k) & np.uint64(1) == 1))
-                np.add.at(change, found.first[hit] + k, 1)
-                np.add.at(change, found.first[hit] + k + WIDTH, -1)
+                hit = first[each >> np.uint64(k) & np.uint64(1) == 1]
+                np.add.at(change, hit + k, 1)
+                np.add.at(change, hit + k + WIDTH, -1)
         gone = np.cumsum(change[:-1]) > 0
         begin = gone.copy()
         begin[1:] &= ~gone[:-1]

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from daftar.llm import repeated_passages as rp
@@ -88,3 +89,27 @@ def test_merged_intervals(shards):
     for s, b in zip(spot.tolist(), block.tolist()):
         got.setdefault(b, set()).add(s)
     assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
+def test_parts_have_equal_shares():
+    """Anchors are the smallest hashes of their strings; parts of the hash range must not notice."""
+    raw = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8)
+    h = rp.anchors(raw, np.arange(0, len(raw) + 1, 4000))[0]
+    share = np.bincount(rp.split_hash(h, 4)[0].astype(np.int64), minlength=16)
+    assert share.max() < 1.5 * share.mean()
+
+
+def test_frequent_anchors_of_few_documents():
+    """An anchor that a few documents repeat with ever other surroundings goes string by string, too."""
+    rng = np.random.default_rng(3)
+    line = min((bytes([c]) * 40 for c in range(33, 97)), key=lambda x: rp.gram_hashes(np.frombuffer(x, np.uint8))[0])
+    texts = [b"".join(rng.integers(97, 123, 60).astype(np.uint8).tobytes() + line for _ in range(50)) for _ in range(4)]
+    listed = [rp._list_anchors(0)(pa.table({"run": [i], "doc_id": [i], "text": pa.array([t], pa.binary())})) for i, t in enumerate(texts)]
+    shared = rp._shared_of(rp._find_shared(100)(pa.concat_tables(listed)))[0]
+    times = {}
+    for t in texts:
+        for k in rp.split_hash(rp.anchors(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], 0)[1].tolist():
+            times[k] = times.get(k, 0) + 1
+    assert max(times.values()) >= 110
+    assert all(hot == (times[k] >= 100) for k, hot in zip(*shared) if abs(times[k] - 100) > 20)
+    assert any(shared[1])
