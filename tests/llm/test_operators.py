@@ -451,6 +451,42 @@ def test_knn_repeated_query_rows(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == want
 
 
+def test_knn_sends_a_vector_once_per_bundle(spark, monkeypatch):
+    """Nothing can be ruled out here: copies follow the bundles of query cells, not the cells."""
+    made, kind = [], type(spark.range(0))
+    for name in ("mapInArrow", "mapInPandas"):
+        plain = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda *a, plain=plain: made.append(plain(*a)) or made[-1])
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.2, 24)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = voronoi_knn.knn_join(vectors, vectors.filter("vec_id % 20 = 0"), pivots=20)
+    assert sorted(map(tuple, got.collect())) == brute_top([(r["vec_id"], r["embedding"]) for r in vectors.collect()], lambda i: i % 20 == 0, 20)
+    assert [df.count() for df in made if {"vec_id", "v"} <= set(df.columns)] == [400]
+
+
+@pytest.mark.parametrize("size", [0.3, 90.0, 5e5])
+def test_knn_bundles_pieces_and_kinds(spark, monkeypatch, size):
+    """Bundles of one query or a few, pieces of a few vectors, whole numbers of each width, ties between unlike ids."""
+    for name, value in (("PIECE", 7), ("ROWS", 2), ("LEAST", 50)):
+        monkeypatch.setattr(voronoi_knn, name, value)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.uniform(-size, size, 6).astype(np.float32)]) for i in range(150)]
+    rows = [(i, rows[7][1] if i % 3 == 0 else v) for i, v in rows] + rows[40:45]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_top(rows, lambda i: i % 10 == 0, 20)
+    for pivots, bundle in ((1, 3), (9, 1), (9, 4)):
+        got = voronoi_knn.knn_join(vectors, vectors.filter("vec_id % 10 = 0"), pivots=pivots, bundle=bundle)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_knn_bundles():
+    """Neighbours share a bundle, large cells get several, and none is left out."""
+    between = np.abs(np.arange(6.0)[:, None] - np.arange(6.0)[None])
+    assert voronoi_knn.bundles({0: 3, 1: 3, 3: 3, 4: 20, 5: 6}, between, 6) == {0: (0, 1), 1: (0, 1), 3: (1, 1), 4: (2, 4), 5: (6, 1)}
+    assert voronoi_knn.bundles({2: 1}, between, 6) == {2: (0, 1)}
+
+
 # --- 7: sharding -----------------------------------------------------------------------
 
 
