@@ -125,3 +125,16 @@ def test_between_gives_a_pair_per_set(spark):
     words = ", ".join(f"w{i} long" for i in range(jaccard_dedup.WORDS))
     member = spark.createDataFrame(rows, f"token long, sig long, size long, pos long, root long, {words}")
     assert sorted(map(tuple, jaccard_dedup.between(member).collect())) == [(100, g * 100 + i) for g in (2, 3) for i in range(20)]
+
+
+@pytest.mark.parametrize("offered", ["none", "wrong"])
+def test_no_link_hangs_on_fingerprints(spark, monkeypatch, offered):
+    """SimHash offers no pair, or only pairs that fail: prefix filtering alone finds every link."""
+    def pairs(sets, *_):
+        all_ = sets.select("sig").crossJoin(sets.select(sets["sig"].alias("b"))).toDF("a", "b").filter("a < b")
+        return all_.filter("false") if offered == "none" else all_.filter("a % 7 = b % 7")
+
+    monkeypatch.setattr(jaccard_dedup, "fingerprint_pairs", pairs)
+    rows = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect())
+    assert kept == sorted(set(brute_jaccard(texts())))
