@@ -512,7 +512,7 @@ def _runs(docs: DataFrame) -> tuple[DataFrame, int]:
     runs = max(1, -(-total // RUN))
     rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)))
     name, buckets = f"llm_runs_{uuid.uuid4().hex}", min(runs, 20_000)
-    table = rows.repartition(buckets, "run").write.bucketBy(buckets, "run").option("path", session.scratch_path(spark, "llm-runs"))
+    table = rows.repartition(buckets, "run").write.bucketBy(buckets, "run").option("compression", "zstd").option("path", session.scratch_path(spark, "llm-runs"))
     table.format("parquet").saveAsTable(name)
     return spark.table(name), max(0, (-(-total // PART) - 1).bit_length())
 
